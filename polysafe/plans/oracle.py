@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_SCORES, CTE_MATRIX, CTE_TOTALS, DIM,
+from polysafe.dims import COMPOSITIONS
+from polysafe.plans.adapters import FIXTURE_RUNS
+from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_MATRIX, CTE_TOTALS, DIM, harmonic,
                                         with_chain)
 
 ORACLE: dict[str, str] = {}
@@ -27,3 +29,128 @@ ORACLE["class_stack"] = with_chain(CHAIN_CELLS + [CTE_TOTALS], """
 SELECT model, prompt_type, language, 'harmful' AS kind, refusal AS refusal_pct, uncertain_harmful AS uncertain_pct FROM totals
 UNION ALL
 SELECT model, prompt_type, language, 'harmless' AS kind, over_refusal AS refusal_pct, uncertain_harmless AS uncertain_pct FROM totals""")
+
+
+# --- score analysis -------------------------------------------------------
+
+_H = lambda select: with_chain(CHAIN_HARM, select)
+_IN_DIST = ("CASE WHEN list_contains(list_distinct(list_concat(['en'], string_split(model, '_'))), language) "
+            "THEN 'In' ELSE 'Out' END")
+_CAT_LABEL = "CASE category WHEN 'high' THEN 'High' WHEN 'middle' THEN 'Medium' WHEN 'low' THEN 'Low' END"
+
+ORACLE["harmonic_cell"] = _H("SELECT model, prompt_type, language, refusal, over_refusal, harmonic FROM harm")
+
+_MARGIN_CTES = [
+    """long AS (UNPIVOT (SELECT model, prompt_type, language, refusal, over_refusal, harmonic FROM harm)
+           ON refusal, over_refusal, harmonic INTO NAME matrix VALUE value)""",
+    "pm AS (SELECT prompt_type, matrix, model, avg(value) AS mean, stddev_samp(value) AS std FROM long GROUP BY ALL)",
+    "pl AS (SELECT prompt_type, matrix, language, avg(value) AS mean, stddev_samp(value) AS std FROM long GROUP BY ALL)",
+]
+ORACLE["harmonic_margins"] = with_chain(CHAIN_HARM + _MARGIN_CTES, """
+SELECT prompt_type, matrix, model, 'mean' AS language, mean AS value FROM pm
+UNION ALL SELECT prompt_type, matrix, model, 'std', std FROM pm WHERE matrix = 'harmonic'
+UNION ALL SELECT prompt_type, matrix, 'mean', language, mean FROM pl
+UNION ALL SELECT prompt_type, matrix, 'std', language, std FROM pl WHERE matrix = 'harmonic'
+UNION ALL SELECT prompt_type, matrix, 'mean', 'mean', avg(mean) FROM pm WHERE matrix <> 'harmonic' GROUP BY ALL""")
+
+ORACLE["harmonic_of_means"] = _H(f"""
+SELECT model, prompt_type, mean_refusal, mean_over_refusal, {harmonic('mean_refusal', 'mean_over_refusal')} AS harmonic
+FROM (SELECT model, prompt_type, avg(refusal) AS mean_refusal, avg(over_refusal) AS mean_over_refusal
+      FROM scores GROUP BY model, prompt_type)""")
+
+ORACLE["mean_of_harmonics"] = _H(
+    "SELECT model, prompt_type, avg(harmonic) AS mean_harmonic FROM harm GROUP BY model, prompt_type")
+
+_CATEGORY_HARMONIC = f"""
+SELECT model, prompt_type, category, {_CAT_LABEL} AS category_label, mean_refusal, mean_over_refusal,
+ {harmonic('mean_refusal', 'mean_over_refusal')} AS harmonic
+FROM (SELECT model, prompt_type, category, avg(refusal) AS mean_refusal, avg(over_refusal) AS mean_over_refusal
+      FROM scores GROUP BY model, prompt_type, category)"""
+ORACLE["category_harmonic"] = _H(_CATEGORY_HARMONIC)
+
+ORACLE["baseline_diff"] = _H("""
+SELECT model, prompt_type, language, harmonic,
+ harmonic - max(CASE WHEN model = 'en' THEN harmonic END) OVER (PARTITION BY prompt_type, language) AS harmonic_diff
+FROM harm""")
+
+ORACLE["category_diff"] = _H(f"""
+SELECT model, prompt_type, category, harmonic,
+ harmonic - max(CASE WHEN model = 'en' THEN harmonic END) OVER (PARTITION BY prompt_type, category) AS harmonic_diff
+FROM ({_CATEGORY_HARMONIC})""")
+
+ORACLE["in_out_means"] = _H(f"""
+SELECT model, prompt_type, in_dist, mean_refusal, mean_over_refusal,
+ {harmonic('mean_refusal', 'mean_over_refusal')} AS harmonic
+FROM (SELECT model, prompt_type, {_IN_DIST} AS in_dist, avg(refusal) AS mean_refusal,
+       avg(over_refusal) AS mean_over_refusal FROM scores GROUP BY ALL)""")
+
+_IN_OUT_CATEGORY = f"""
+SELECT k.model, k.prompt_type, k.in_dist, k.category, g.mean_refusal, g.mean_over_refusal,
+ {harmonic('g.mean_refusal', 'g.mean_over_refusal')} AS harmonic
+FROM (SELECT r.model, r.prompt_type, io.in_dist, c.category FROM (SELECT DISTINCT model, prompt_type FROM scores) r
+      CROSS JOIN (VALUES ('In'), ('Out')) AS io(in_dist)
+      CROSS JOIN (VALUES ('high'), ('middle'), ('low')) AS c(category)) k
+LEFT JOIN (SELECT model, prompt_type, {_IN_DIST} AS in_dist, category, avg(refusal) AS mean_refusal,
+           avg(over_refusal) AS mean_over_refusal FROM scores GROUP BY ALL) g
+ ON g.model = k.model AND g.prompt_type = k.prompt_type AND g.in_dist = k.in_dist AND g.category = k.category"""
+ORACLE["in_out_category"] = _H(_IN_OUT_CATEGORY)
+
+ORACLE["score_points"] = _H("""
+SELECT model, prompt_type, language, refusal AS x, 100.0 - over_refusal AS y,
+ CAST(len(string_split(model, '_')) AS INTEGER) AS arity,
+ CAST(60 * len(string_split(model, '_')) * len(string_split(model, '_')) AS INTEGER) AS marker_size,
+ model = 'en' AS is_baseline
+FROM scores WHERE refusal IS NOT NULL AND over_refusal IS NOT NULL""")
+
+_COMP_LIST = "[" + ", ".join(f"'{c}'" for c in COMPOSITIONS) + "]"
+ORACLE["vanilla_vs_adversarial"] = _H(f"""
+SELECT v.model, v.language,
+ v.refusal AS vanilla_refusal, v.over_refusal AS vanilla_over_refusal, v.harmonic AS vanilla_harmonic,
+ a.refusal AS adversarial_refusal, a.over_refusal AS adversarial_over_refusal, a.harmonic AS adversarial_harmonic,
+ CAST(CASE WHEN list_position({_COMP_LIST}, v.model) > 0 THEN list_position({_COMP_LIST}, v.model)
+      ELSE {len(COMPOSITIONS) + 1} END AS INTEGER) AS model_ord
+FROM harm v JOIN harm a ON v.model = a.model AND v.language = a.language
+WHERE v.prompt_type = 'vanilla' AND a.prompt_type = 'adversarial'
+ AND v.refusal IS NOT NULL AND a.refusal IS NOT NULL""")
+
+
+def _box(grp: str, name: str) -> str:
+    return f"""
+SELECT prompt_type, grp, q1, median, q3, count(v) AS n,
+ min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+ max(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high,
+ count_if(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+ '{name}' AS grouping
+FROM (SELECT prompt_type, grp, v,
+       quantile_cont(v, 0.25) OVER w AS q1, quantile_cont(v, 0.5) OVER w AS median,
+       quantile_cont(v, 0.75) OVER w AS q3
+      FROM (SELECT prompt_type, {grp} AS grp, harmonic AS v FROM harm WHERE harmonic IS NOT NULL)
+      WINDOW w AS (PARTITION BY prompt_type, grp))
+GROUP BY prompt_type, grp, q1, median, q3"""
+
+
+ORACLE["box_summary"] = _H(
+    _box("language", "language") + "\nUNION ALL" + _box("category", "category") + "\nUNION ALL" + _box(_IN_DIST, "in_dist"))
+
+ORACLE["language_means"] = _H(f"""
+SELECT prompt_type, language, avg(harmonic) AS mean_harmonic,
+ avg(CASE WHEN {_IN_DIST} = 'Out' THEN harmonic END) AS mean_harmonic_out
+FROM harm GROUP BY prompt_type, language""")
+
+_MODELS = [m for m, _ in FIXTURE_RUNS]
+ORACLE["melt_scores"] = _H(f"""
+SELECT prompt_type, category, language, model, value FROM (
+ UNPIVOT (SELECT prompt_type, category, language,
+   {", ".join(f"first(harmonic) FILTER (WHERE model = '{m}') AS {m}" for m in _MODELS)}
+   FROM harm GROUP BY prompt_type, category, language)
+ ON {", ".join(_MODELS)} INTO NAME model VALUE value)""")
+
+ORACLE["transpose_scores"] = _H(f"""
+SELECT prompt_type, model, {", ".join(f"first(harmonic) FILTER (WHERE language = '{l}') AS {l}" for l in DIM.codes)}
+FROM harm GROUP BY prompt_type, model""")
+
+_KEYS = [f"{i}_{c}" for i in ("In", "Out") for c in ("high", "middle", "low")]
+ORACLE["in_out_keys_wide"] = _H(f"""
+SELECT model, prompt_type, {", ".join(f"first(harmonic) FILTER (WHERE key = '{k}') AS {k}" for k in _KEYS)}
+FROM (SELECT *, in_dist || '_' || category AS key FROM ({_IN_OUT_CATEGORY}))
+GROUP BY model, prompt_type""")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polysafe.dims import FIXTURE_LANGUAGES as DIM
-from polysafe.operators import metrics
+from polysafe.operators import analysis, metrics
 from polysafe.plans.adapters import eval_rows
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +52,105 @@ def q_refusal_totals(spark, sf_dir):
 @register("class_stack")
 def q_class_stack(spark, sf_dir):
     return metrics.class_stack(cells(spark, sf_dir))
+
+
+# --- score analysis -------------------------------------------------------
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.score_table(metrics.totals(cells(spark, sf_dir)), DIM)
+
+
+@register("harmonic_cell")
+def q_harmonic_cell(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    keys = ["model", "prompt_type", "language"]
+    return analysis.harmonic_cells(s.select(*keys, "refusal"), s.select(*keys, "over_refusal"), keys)
+
+
+@register("harmonic_margins")
+def q_harmonic_margins(spark, sf_dir):
+    return analysis.margins(scores(spark, sf_dir))
+
+
+@register("harmonic_of_means")
+def q_harmonic_of_means(spark, sf_dir):
+    return analysis.harmonic_of_means(scores(spark, sf_dir))
+
+
+@register("mean_of_harmonics")
+def q_mean_of_harmonics(spark, sf_dir):
+    return analysis.mean_of_harmonics(scores(spark, sf_dir))
+
+
+@register("category_harmonic")
+def q_category_harmonic(spark, sf_dir):
+    return analysis.category_harmonic(scores(spark, sf_dir))
+
+
+@register("baseline_diff")
+def q_baseline_diff(spark, sf_dir):
+    h = analysis.with_harmonic(scores(spark, sf_dir)).select("model", "prompt_type", "language", "harmonic")
+    return analysis.baseline_diff(h, "harmonic", ["prompt_type", "language"])
+
+
+@register("category_diff")
+def q_category_diff(spark, sf_dir):
+    c = analysis.category_harmonic(scores(spark, sf_dir)).select("model", "prompt_type", "category", "harmonic")
+    return analysis.baseline_diff(c, "harmonic", ["prompt_type", "category"])
+
+
+@register("in_out_means")
+def q_in_out_means(spark, sf_dir):
+    return analysis.in_out_means(scores(spark, sf_dir))
+
+
+@register("in_out_category")
+def q_in_out_category(spark, sf_dir):
+    return analysis.in_out_category(scores(spark, sf_dir))
+
+
+@register("score_points")
+def q_score_points(spark, sf_dir):
+    return analysis.score_points(scores(spark, sf_dir))
+
+
+@register("vanilla_vs_adversarial")
+def q_vanilla_vs_adversarial(spark, sf_dir):
+    return analysis.vanilla_vs_adversarial(scores(spark, sf_dir))
+
+
+@register("box_summary")
+def q_box_summary(spark, sf_dir):
+    h = analysis.with_in_distribution(analysis.with_harmonic(scores(spark, sf_dir)))
+    by_lang = analysis.box_summary(h.withColumn("grp", F.col("language")), ["prompt_type", "grp"], "harmonic")
+    by_cat = analysis.box_summary(h.withColumn("grp", F.col("category")), ["prompt_type", "grp"], "harmonic")
+    by_io = analysis.box_summary(h.withColumn("grp", F.col("in_dist")), ["prompt_type", "grp"], "harmonic")
+    return (by_lang.withColumn("grouping", F.lit("language"))
+            .unionByName(by_cat.withColumn("grouping", F.lit("category")))
+            .unionByName(by_io.withColumn("grouping", F.lit("in_dist"))))
+
+
+@register("language_means")
+def q_language_means(spark, sf_dir):
+    return analysis.language_means(scores(spark, sf_dir))
+
+
+@register("melt_scores")
+def q_melt_scores(spark, sf_dir):
+    from polysafe.plans.adapters import FIXTURE_RUNS
+    models = [m for m, _ in FIXTURE_RUNS]
+    h = analysis.with_harmonic(scores(spark, sf_dir))
+    wide = h.groupBy("prompt_type", "category", "language").pivot("model", models).agg(
+        F.first("harmonic"))
+    return analysis.melt(wide, ["prompt_type", "category", "language"], models, "model", "value")
+
+
+@register("transpose_scores")
+def q_transpose_scores(spark, sf_dir):
+    return analysis.transpose_scores(scores(spark, sf_dir), DIM)
+
+
+@register("in_out_keys_wide")
+def q_in_out_keys_wide(spark, sf_dir):
+    return analysis.in_out_keys_wide(scores(spark, sf_dir))
