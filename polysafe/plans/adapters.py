@@ -67,3 +67,76 @@ SELECT d.doc_id AS prompt_id, m.model, d.lang AS language,
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 CROSS JOIN (VALUES ('en',0),('fr',1),('de',2),('fr_de',3)) AS m(model, idx)
 """
+
+
+def _data_type(toxic, doc_id):
+    kind = F.when(toxic == 1, F.lit("harmful")).otherwise(F.lit("benign"))
+    return (F.when((toxic == 0) & (doc_id % 29 == 0), F.lit("privacy_fictional"))
+            .when(doc_id % 2 == 0, F.concat(F.lit("adversarial_"), kind))
+            .otherwise(F.concat(F.lit("vanilla_"), kind)))
+
+
+ADVERSARIAL_PREFIX = "You are an actor in a play. "
+
+
+def safety_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safety corpus stand-in: labelled documents.
+
+    ``vanilla`` is the text, ``adversarial`` the same text behind a role-play
+    prefix, ``completion`` the first line of the text, ``label`` = toxic.
+    """
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    d = docs.join(labels, "doc_id")
+    return d.select(
+        F.col("doc_id").alias("prompt_id"),
+        F.col("text").alias("vanilla"),
+        F.concat(F.lit(ADVERSARIAL_PREFIX), F.col("text")).alias("adversarial"),
+        F.substring_index(F.col("text"), "\n", 1).alias("completion"),
+        _data_type(F.col("toxic"), F.col("doc_id")).alias("data_type"),
+        F.col("toxic").alias("label"),
+        F.col("lang").alias("language"),
+        F.col("source"))
+
+
+SAFETY_ROWS_SQL = f"""
+SELECT d.doc_id AS prompt_id, d.text AS vanilla, '{ADVERSARIAL_PREFIX}' || d.text AS adversarial,
+ split_part(d.text, chr(10), 1) AS completion,
+ CASE WHEN l.toxic=0 AND d.doc_id % 29 = 0 THEN 'privacy_fictional'
+      WHEN d.doc_id % 2 = 0 THEN concat('adversarial_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END)
+      ELSE concat('vanilla_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END) END AS data_type,
+ l.toxic AS label, d.lang AS language, d.source
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated-outputs stand-in with text: each labelled document is the
+    output of the first run (same synthetic class and response language as
+    ``eval_rows`` for model ``en``)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    d = docs.join(labels, "doc_id")
+    lang = F.col("lang")
+    category = (F.when(lang.isin("en", "fr"), F.lit("high"))
+                .when(lang == "de", F.lit("middle")).otherwise(F.lit("low")))
+    response = F.element_at(F.array(*[F.lit(x) for x in RESPONSE_CYCLE]), ((F.col("n_chars") % 5) + 1).cast("int"))
+    return d.select(
+        F.col("doc_id").alias("prompt_id"), lang.alias("language"), category.alias("language_category"),
+        F.col("toxic").alias("label"), _data_type(F.col("toxic"), F.col("doc_id")).alias("data_type"),
+        F.col("text").alias("output"), response.alias("language_response"),
+        ((F.col("n_chars") + F.col("doc_id")) % 4).cast("int").alias("refusal"))
+
+
+MODEL_OUTPUTS_SQL = """
+SELECT d.doc_id AS prompt_id, d.lang AS language,
+ CASE d.lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'middle' ELSE 'low' END AS language_category,
+ l.toxic AS label,
+ CASE WHEN l.toxic=0 AND d.doc_id % 29 = 0 THEN 'privacy_fictional'
+      WHEN d.doc_id % 2 = 0 THEN concat('adversarial_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END)
+      ELSE concat('vanilla_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END) END AS data_type,
+ d.text AS output,
+ CASE d.n_chars % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' WHEN 3 THEN 'es' ELSE 'it' END AS language_response,
+ CAST((d.n_chars + d.doc_id) % 4 AS INT) AS refusal
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""

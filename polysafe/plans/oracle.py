@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from polysafe.dims import COMPOSITIONS
 from polysafe.plans.adapters import FIXTURE_RUNS
-from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_MATRIX, CTE_TOTALS, DIM, harmonic,
+from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_EVAL, CTE_MATRIX, CTE_TOTALS, DIM, LANG_DIM_SQL, harmonic,
                                         with_chain)
 
 ORACLE: dict[str, str] = {}
@@ -154,3 +154,159 @@ ORACLE["in_out_keys_wide"] = _H(f"""
 SELECT model, prompt_type, {", ".join(f"first(harmonic) FILTER (WHERE key = '{k}') AS {k}" for k in _KEYS)}
 FROM (SELECT *, in_dist || '_' || category AS key FROM ({_IN_OUT_CATEGORY}))
 GROUP BY model, prompt_type""")
+
+
+# --- sampling and corpora -------------------------------------------------
+from polysafe.dims import PROMPT_TEMPLATE, SUBSET_LANGUAGES  # noqa: E402
+from polysafe.plans import queries as _q  # noqa: E402
+from polysafe.plans.adapters import ADVERSARIAL_PREFIX, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL  # noqa: E402
+
+
+def _h(key: str, seed: int = 42) -> str:
+    return f"md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}'))"
+
+
+def _rn(part: str, key: str) -> str:
+    return f"row_number() OVER (PARTITION BY {part} ORDER BY {_h(key)}, {key})"
+
+
+ORACLE["sample_per_group"] = f"""
+SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, {_rn('source', 'doc_id')} AS rn FROM documents)
+WHERE rn <= {_q.SAMPLE_N}"""
+
+ORACLE["sample_quota"] = f"""
+WITH s AS ({SAFETY_ROWS_SQL})
+SELECT prompt_id, data_type, label FROM (
+ SELECT prompt_id, data_type, label, {_rn('data_type', 'prompt_id')} AS rn FROM s)
+WHERE rn <= CASE WHEN data_type = 'adversarial_harmful' THEN {_q.QUOTA_N} ELSE {int(_q.QUOTA_N * _q.PROP_BENIGN)} END"""
+
+ORACLE["sample_fraction"] = f"""
+SELECT doc_id, source FROM (
+ SELECT doc_id, source, {_rn('source', 'doc_id')} AS rn,
+  floor(count(*) OVER (PARTITION BY source) * CAST({_q.FRACTION} AS DOUBLE)) AS k FROM documents)
+WHERE rn <= k"""
+
+ORACLE["sample_global"] = f"""
+SELECT doc_id, lang FROM documents ORDER BY {_h('doc_id')}, doc_id LIMIT {_q.GLOBAL_N}"""
+
+ORACLE["sample_ceil"] = f"""
+SELECT doc_id, source FROM (
+ SELECT doc_id, source, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) AS rn,
+  ceil(count(*) OVER () * CAST({_q.CEIL_RATIO} AS DOUBLE)) AS k FROM documents)
+WHERE rn <= k"""
+
+ORACLE["balanced_classes"] = f"""
+WITH {CTE_EVAL},
+r AS (SELECT prompt_id, CASE WHEN label = 1 THEN 'harmful' ELSE 'harmless' END AS kind,
+       CASE WHEN refusal IN (2, 3) THEN 0 ELSE refusal END AS refusal
+      FROM eval_rows WHERE model = 'en'),
+k AS (SELECT * FROM r WHERE (kind = 'harmful' AND refusal = 1) OR (kind = 'harmless' AND refusal = 0)),
+c AS (SELECT min(n) AS m FROM (SELECT kind, count(*) AS n FROM k GROUP BY kind))
+SELECT prompt_id, kind, refusal FROM (
+ SELECT *, row_number() OVER (PARTITION BY kind ORDER BY prompt_id) AS rn FROM k) , c
+WHERE rn <= m"""
+
+_PRE, _MID, _POST = PROMPT_TEMPLATE.split("{}")
+
+
+def _sql_str(s: str) -> str:
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def _render(instr: str, resp: str) -> str:
+    return (f"({_sql_str(_PRE)} || coalesce({instr}, ' ') || {_sql_str(_MID)} || coalesce({resp}, ' ') "
+            f"|| {_sql_str(_POST)})")
+
+
+_PAIRS = """pairs AS (
+ SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS instruction,
+  arg_min(text, turn) FILTER (WHERE role = 'assistant') AS chosen_response,
+  arg_min(text, turn) FILTER (WHERE role = 'system') AS system,
+  count_if(role = 'system') AS n_system
+ FROM conversations GROUP BY conv_id)"""
+_SAFETY_INSTR = "CASE WHEN coalesce(data_type LIKE '%adversarial%', false) THEN adversarial ELSE vanilla END"
+_CORPUS = f"""{_PAIRS},
+s AS ({SAFETY_ROWS_SQL}),
+corpus AS (
+ SELECT conv_id AS prompt_id, {_render('instruction', 'chosen_response')} AS text, 0 AS safety,
+  CASE WHEN n_system > 0 THEN 'system_prompted' ELSE 'open' END AS category, instruction, chosen_response
+ FROM pairs
+ UNION ALL
+ SELECT prompt_id, {_render(_SAFETY_INSTR, 'completion')} AS text, 1 AS safety, data_type AS category,
+  {_SAFETY_INSTR} AS instruction, completion AS chosen_response
+ FROM s)"""
+
+ORACLE["train_text"] = f"WITH {_CORPUS}\nSELECT * FROM corpus"
+
+ORACLE["conversation_pairs"] = f"""WITH {_PAIRS}
+SELECT conv_id, instruction, chosen_response,
+ coalesce(instruction, '') || chr(10) || coalesce(system, '') AS prompt_with_input FROM pairs"""
+
+
+def _draw(src: str) -> str:
+    return f"""(SELECT row_key, safety, category, tk FROM (
+   SELECT *, {_rn('category', 'row_key')} AS rn FROM {src} WHERE safety = 1) WHERE rn <= {_q.SPLIT_N_SAFETY}
+  UNION ALL
+  SELECT row_key, safety, category, tk FROM (
+   SELECT b.*, {_rn('b.category', 'row_key')} AS rn, iq.k FROM {src} b JOIN iq ON b.category = iq.category
+   WHERE b.safety = 0) WHERE rn <= k)"""
+
+
+def _arr(langs) -> str:
+    return "'" + ",".join(langs) + "'"
+
+
+ORACLE["split_subsets"] = f"""WITH {_CORPUS},
+base AS (SELECT CAST(safety AS VARCHAR) || ':' || CAST(prompt_id AS VARCHAR) AS row_key, safety, category,
+          sha256(text) AS tk FROM corpus),
+iq AS (SELECT category, CAST(floor(count(*) * CAST({_q.SPLIT_FRACTION} AS DOUBLE)) AS BIGINT) AS k
+       FROM base WHERE safety = 0 GROUP BY category),
+d1 AS {_draw('base')},
+rest1 AS (SELECT * FROM base WHERE tk NOT IN (SELECT tk FROM d1)),
+d2 AS {_draw('rest1')},
+rest2 AS (SELECT * FROM rest1 WHERE tk NOT IN (SELECT tk FROM d2)),
+tagged AS (
+ SELECT row_key, safety, category, {_arr(SUBSET_LANGUAGES[0])} AS lg_subset FROM d1
+ UNION ALL SELECT row_key, safety, category, {_arr(SUBSET_LANGUAGES[1])} FROM d2
+ UNION ALL SELECT row_key, safety, category, {_arr(SUBSET_LANGUAGES[2])} FROM rest2)
+SELECT row_key, safety, category, lg_subset,
+ CASE WHEN list_contains(string_split(lg_subset, ','), 'pt') THEN 'pt'
+      WHEN list_contains(string_split(lg_subset, ','), 'fr') THEN 'fr' ELSE 'en' END AS language
+FROM tagged"""
+
+ORACLE["corpus_union"] = f"""WITH s AS ({SAFETY_ROWS_SQL})
+SELECT prompt_id, vanilla AS prompt, language, CASE WHEN label = 1 THEN 'harmful' ELSE 'harmless' END AS prompt_category,
+ source AS note, NULL::INTEGER AS label, NULL::VARCHAR AS data_type
+FROM s WHERE NOT data_type LIKE '%adversarial%'
+UNION ALL
+SELECT prompt_id, adversarial, language, NULL, NULL, label, data_type FROM s WHERE data_type LIKE '%adversarial%'"""
+
+_FANOUT = f"""fan AS (SELECT b.item_id, b.text, ld.language, ld.category AS language_category
+ FROM benchmark b CROSS JOIN {LANG_DIM_SQL})"""
+_STORE = "store AS (SELECT doc_id AS item_id, lang AS language, text AS translated FROM documents)"
+
+ORACLE["prompt_language_fanout"] = f"""WITH {_FANOUT}
+SELECT item_id, language, language_category, text AS source_text FROM fan"""
+
+ORACLE["translation_lookup"] = f"""WITH {_FANOUT}, {_STORE}
+SELECT f.item_id, f.language, CASE WHEN f.language = 'en' THEN f.text ELSE s.translated END AS prompt,
+ (CASE WHEN f.language = 'en' THEN f.text ELSE s.translated END) IS NOT NULL AS has_prompt
+FROM fan f LEFT JOIN store s ON f.item_id = s.item_id AND f.language = s.language"""
+
+ORACLE["pending_keys"] = f"""WITH {_FANOUT}, {_STORE}
+SELECT f.item_id, f.language FROM fan f
+WHERE f.language <> 'en' AND NOT EXISTS (
+ SELECT 1 FROM store s WHERE s.item_id = f.item_id AND s.language = f.language)"""
+
+ORACLE["complete_harmless"] = f"""WITH s AS ({SAFETY_ROWS_SQL}),
+base AS (SELECT prompt_id, vanilla AS prompt, label FROM (
+  SELECT *, {_rn('source', 'prompt_id')} AS rn FROM s WHERE label = 0) WHERE rn <= {_q.BASE_HARMLESS_PER_SOURCE}),
+fresh AS (SELECT prompt_id, vanilla AS prompt, label FROM s
+  WHERE label = 0 AND sha256(vanilla) NOT IN (SELECT sha256(prompt) FROM base)),
+picked AS (SELECT * FROM fresh ORDER BY {_h('prompt_id')}, prompt_id LIMIT {_q.NEW_HARMLESS})
+SELECT b.prompt_id, ld.language, ld.category AS language_category, b.label, false AS is_new
+FROM base b CROSS JOIN {LANG_DIM_SQL}
+UNION ALL
+SELECT p.prompt_id, ld.language, ld.category, p.label, true
+FROM picked p CROSS JOIN {LANG_DIM_SQL}"""

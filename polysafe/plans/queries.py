@@ -154,3 +154,256 @@ def q_transpose_scores(spark, sf_dir):
 @register("in_out_keys_wide")
 def q_in_out_keys_wide(spark, sf_dir):
     return analysis.in_out_keys_wide(scores(spark, sf_dir))
+
+
+# --- sampling and corpora -------------------------------------------------
+from polysafe.operators import corpus, sampling  # noqa: E402
+from polysafe.plans.adapters import safety_rows  # noqa: E402
+from polysafe.sources.tables import read_table  # noqa: E402
+
+SAMPLE_N = 5
+QUOTA_N, PROP_BENIGN = 20, 0.5
+FRACTION = 0.1
+GLOBAL_N = 100
+CEIL_RATIO = 0.05
+SPLIT_N_SAFETY, SPLIT_FRACTION = 5, 0.1
+BASE_HARMLESS_PER_SOURCE, NEW_HARMLESS = 3, 20
+
+
+def documents(spark, sf_dir, *cols):
+    return read_table(spark, sf_dir, "documents", *(cols or ("doc_id", "text", "lang", "source", "n_chars")))
+
+
+@register("sample_per_group")
+def q_sample_per_group(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "source", "lang")
+    return sampling.sample_per_group(d, ["source"], SAMPLE_N, "doc_id")
+
+
+@register("sample_quota")
+def q_sample_quota(spark, sf_dir):
+    s = safety_rows(spark, sf_dir).select("prompt_id", "data_type", "label")
+    quotas = s.select("data_type").distinct().withColumn(
+        "k", F.when(F.col("data_type") == "adversarial_harmful", F.lit(QUOTA_N))
+        .otherwise(F.lit(int(QUOTA_N * PROP_BENIGN))).cast("long"))
+    return sampling.sample_quota(s, ["data_type"], quotas, "prompt_id")
+
+
+@register("sample_fraction")
+def q_sample_fraction(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "source")
+    return sampling.sample_fraction(d, ["source"], FRACTION, "doc_id")
+
+
+@register("sample_global")
+def q_sample_global(spark, sf_dir):
+    return sampling.sample_global(documents(spark, sf_dir, "doc_id", "lang"), GLOBAL_N, "doc_id")
+
+
+@register("sample_ceil")
+def q_sample_ceil(spark, sf_dir):
+    return sampling.sample_ceil(documents(spark, sf_dir, "doc_id", "source"), CEIL_RATIO, "doc_id")
+
+
+@register("balanced_classes")
+def q_balanced_classes(spark, sf_dir):
+    from polysafe.operators.scoring import binary_class
+    r = eval_rows(spark, sf_dir).where(F.col("model") == "en").select(
+        "prompt_id", F.when(F.col("label") == 1, F.lit("harmful")).otherwise(F.lit("harmless")).alias("kind"),
+        binary_class(F.col("refusal")).alias("refusal"))
+    return sampling.balanced_classes(r, "kind", "refusal", {"harmful": 1, "harmless": 0}, "prompt_id")
+
+
+def train_corpus(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    instr = corpus.format_instruction(corpus.first_messages(conv))
+    safety = corpus.format_safety(safety_rows(spark, sf_dir))
+    return instr.unionByName(safety)
+
+
+@register("train_text")
+def q_train_text(spark, sf_dir):
+    return train_corpus(spark, sf_dir)
+
+
+@register("conversation_pairs")
+def q_conversation_pairs(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    p = corpus.first_messages(conv)
+    return p.select("conv_id", "instruction", "chosen_response",
+                    corpus.instruction_with_input(F.col("instruction"), F.col("system")).alias("prompt_with_input"))
+
+
+@register("split_subsets")
+def q_split_subsets(spark, sf_dir):
+    c = train_corpus(spark, sf_dir).select(
+        F.concat_ws(":", F.col("safety").cast("string"), F.col("prompt_id").cast("string")).alias("row_key"),
+        "safety", "category", "text")
+    s = corpus.split_subsets(c, SPLIT_N_SAFETY, SPLIT_FRACTION)
+    return s.select("row_key", "safety", "category", F.concat_ws(",", "lg_subset").alias("lg_subset"),
+                    corpus.training_language(F.col("lg_subset"), "fr", "pt").alias("language"))
+
+
+@register("corpus_union")
+def q_corpus_union(spark, sf_dir):
+    s = safety_rows(spark, sf_dir)
+    kind = F.when(F.col("label") == 1, F.lit("harmful")).otherwise(F.lit("harmless"))
+    vanilla = s.where(~F.col("data_type").contains("adversarial")).select(
+        "prompt_id", F.col("vanilla").alias("prompt"), "language", kind.alias("prompt_category"),
+        F.col("source").alias("note"))
+    adv = s.where(F.col("data_type").contains("adversarial")).select(
+        "prompt_id", F.col("adversarial").alias("prompt"), "language", "label", "data_type")
+    return vanilla.unionByName(adv, allowMissingColumns=True)
+
+
+def benchmark_fanout(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return corpus.fan_out(b, DIM)
+
+
+def translation_store(spark, sf_dir):
+    return documents(spark, sf_dir, "doc_id", "lang", "text").select(
+        F.col("doc_id").alias("item_id"), F.col("lang").alias("language"), F.col("text").alias("translated"))
+
+
+@register("prompt_language_fanout")
+def q_prompt_language_fanout(spark, sf_dir):
+    return benchmark_fanout(spark, sf_dir).select("item_id", "language", "language_category",
+                                                  F.col("text").alias("source_text"))
+
+
+@register("translation_lookup")
+def q_translation_lookup(spark, sf_dir):
+    j = corpus.lookup_translations(benchmark_fanout(spark, sf_dir), translation_store(spark, sf_dir),
+                                   "item_id", "text")
+    return j.select("item_id", "language", "prompt", F.col("prompt").isNotNull().alias("has_prompt"))
+
+
+@register("pending_keys")
+def q_pending_keys(spark, sf_dir):
+    wanted = benchmark_fanout(spark, sf_dir).where(F.col("language") != "en").select("item_id", "language")
+    return corpus.pending_keys(wanted, translation_store(spark, sf_dir), ["item_id", "language"])
+
+
+@register("complete_harmless")
+def q_complete_harmless(spark, sf_dir):
+    s = safety_rows(spark, sf_dir).select("prompt_id", F.col("vanilla").alias("prompt"), "label", "source")
+    harmless = s.where(F.col("label") == 0)
+    base = corpus.fan_out(sampling.sample_per_group(harmless, ["source"], BASE_HARMLESS_PER_SOURCE, "prompt_id"), DIM)
+    base = base.withColumn("is_new", F.lit(False))
+    pool = s.withColumn("is_new", F.lit(True))
+    out = corpus.complete_harmless(base, pool, NEW_HARMLESS, DIM, "prompt_id")
+    return out.select("prompt_id", "language", "language_category", "label", "is_new")
+
+
+# --- text functions and scoring ------------------------------------------
+from polysafe.functions import text as tx  # noqa: E402
+from polysafe.operators import scoring  # noqa: E402
+from polysafe.plans.adapters import model_outputs  # noqa: E402
+
+
+def assistant_turns(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("output"))
+
+
+@register("clean_output")
+def q_clean_output(spark, sf_dir):
+    return scoring.clean_outputs(assistant_turns(spark, sf_dir)).select("conv_id", "turn", "output_clean")
+
+
+def normalized_outputs(spark, sf_dir):
+    o = scoring.clean_outputs(model_outputs(spark, sf_dir))
+    return scoring.with_normalized(o)
+
+
+@register("normalized_match")
+def q_normalized_match(spark, sf_dir):
+    o = scoring.reference_refusal_flags(normalized_outputs(spark, sf_dir), spark)
+    return o.select("prompt_id", "output_normalized", "is_reference_refusal")
+
+
+@register("rephrase_override")
+def q_rephrase_override(spark, sf_dir):
+    o = scoring.without_rephrase(scoring.clean_outputs(model_outputs(spark, sf_dir)))
+    return o.select("prompt_id", "refusal", "rephrase", "refusal_without_rephrase")
+
+
+@register("needs_translation")
+def q_needs_translation(spark, sf_dir):
+    o = normalized_outputs(spark, sf_dir)
+    sel = scoring.drop_reference_refusals(o.where(scoring.needs_translation_mask(o)), spark)
+    return sel.select("prompt_id", "language", "language_response", "refusal")
+
+
+@register("final_class")
+def q_final_class(spark, sf_dir):
+    o = normalized_outputs(spark, sf_dir).select(
+        "prompt_id", "language_category", "language_response", "refusal", "output_clean", "output_normalized")
+    t = scoring.translate_selected(o, spark)
+    r = scoring.rescore_translated(t)
+    return r.select("prompt_id", "refusal_first", "refusal_translation", "refusal",
+                    scoring.binary_class(F.col("refusal")).alias("refusal_binary"))
+
+
+@register("response_language")
+def q_response_language(spark, sf_dir):
+    o = scoring.clean_outputs(model_outputs(spark, sf_dir)).select("prompt_id", "language", "output_clean")
+    return scoring.detect_language(o).select("prompt_id", "language", "language_response")
+
+
+@register("translate_stub")
+def q_translate_stub(spark, sf_dir):
+    o = normalized_outputs(spark, sf_dir).select(
+        "prompt_id", "language_category", "language_response", "refusal", "output_clean", "output_normalized")
+    t = scoring.translate_selected(o, spark)
+    return t.select("prompt_id", F.col("output_translated").isNotNull().alias("translated"),
+                    F.length("output_translated").alias("translated_chars"))
+
+
+@register("iso_codes")
+def q_iso_codes(spark, sf_dir):
+    from polysafe.dims import ISO_CODES
+    inverse = {v: k for k, v in ISO_CODES.items()}
+    back = F.create_map(*[x for k, v in inverse.items() for x in (F.lit(k), F.lit(v))])
+    d = documents(spark, sf_dir, "doc_id", "lang", "source")
+    labels = d.select("doc_id", F.concat(F.coalesce(F.try_element_at(back, F.col("lang")), F.col("lang")),
+                                         F.lit("_Latn")).alias("detector_label")) \
+        .unionByName(d.select("doc_id", F.concat(F.col("source"), F.lit("_Latn")).alias("detector_label")))
+    return labels.select("doc_id", "detector_label", tx.iso_code(F.col("detector_label")).alias("iso"))
+
+
+def _event_label():
+    return F.when(F.col("value") > 50, F.col("event_type")).otherwise(
+        F.concat(F.col("event_type"), F.lit("_"), (F.floor(F.col("value")).cast("long") % 4).cast("string")))
+
+
+@register("class_parse")
+def q_class_parse(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "event_type", "value")
+    return e.select("event_id", _event_label().alias("label_text")).select(
+        "event_id", "label_text", tx.class_from_label(F.col("label_text")).alias("class"))
+
+
+@register("run_name_parse")
+def q_run_name_parse(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    f = F.concat(F.lit("checkpoint-"), F.col("user_id").cast("string"), F.lit(".csv"))
+    return e.select("event_id", f.alias("file_name"),
+                    tx.checkpoint_number(f).alias("checkpoint"),
+                    tx.run_name(F.col("event_type"), F.lit("data"), F.lit("SFT"), F.lit("2e-05")).alias("run_name"))
+
+
+@register("json_value")
+def q_json_value(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "props")
+    return e.select("event_id", tx.json_value(F.col("props"), "k").alias("k"))
+
+
+@register("token_id_filter")
+def q_token_id_filter(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text")
+    ids = F.transform(F.split(F.col("text"), " "), lambda w: F.length(w))
+    g = tx.generated_ids(ids, F.lit(3), 68)
+    return d.select("doc_id", F.size(g).alias("n_generated"),
+                    F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
