@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from polysafe.dims import ISO_CODES, ARABIC_DIALECTS
 
@@ -73,14 +74,14 @@ def normalize_py(text) -> str | None:
     return None if text is None else _normalize_one(text)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     """Exact-match normalisation: entities decoded, ``<|`` removed, NFC, no
     combining marks, straight quotes, Maltese dotted/barred letters folded."""
     return texts.map(normalize_py, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

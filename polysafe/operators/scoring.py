@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polysafe.dims import (CLASS_OTHER, REFERENCE_REFUSALS, SKIP_RESPONSE_LANGUAGE, reference_refusal_frame)
+from polysafe.session import ship_package
 from polysafe.functions.text import (class_from_label, contains_rephrase, first_segment, iso_code,
                                      normalize_py, normalize_text)
 
@@ -38,11 +39,13 @@ def clean_outputs(df: DataFrame, output: str = "output", out: str = "output_clea
 
 
 def with_normalized(df: DataFrame, col: str = "output_clean", out: str = "output_normalized") -> DataFrame:
+    ship_package(df.sparkSession)
     return df.withColumn(out, normalize_text(F.col(col)))
 
 
 def normalized_references(spark) -> DataFrame:
     """The 18 reference refusals, normalised (literal-sized, broadcast)."""
+    ship_package(spark)
     return reference_refusal_frame(spark).withColumn("ref_normalized", normalize_text(F.col("sentence")))
 
 
@@ -97,6 +100,7 @@ def identity_translator(texts: pd.Series) -> pd.Series:
 def apply_model(df: DataFrame, fn: SeriesFn, input_col: str, output_col: str, on_error=None) -> DataFrame:
     """Run ``fn`` over Arrow batches of ``input_col``; a failing batch falls back
     to row-by-row calls, and a failing row gets ``on_error``."""
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(output_col, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -310,3 +310,105 @@ FROM base b CROSS JOIN {LANG_DIM_SQL}
 UNION ALL
 SELECT p.prompt_id, ld.language, ld.category, p.label, true
 FROM picked p CROSS JOIN {LANG_DIM_SQL}"""
+
+
+# --- text functions and scoring ------------------------------------------
+from polysafe.dims import ARABIC_DIALECTS, ISO_CODES, REFERENCE_REFUSALS  # noqa: E402
+from polysafe.functions.text import DELETE_MARKERS, SKIP_SEGMENTS, normalize_py  # noqa: E402
+
+_WS = r"[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARK_RE = r'(</think>|<think>|<\|user_end\|>|<\|assistant_start\|>|"<end_of_turn>"|"<\|im_end\|>")'
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _first_segment(x: str) -> str:
+    skip = "[" + ", ".join(_lit(s) for s in SKIP_SEGMENTS) + "]"
+    segs = f"string_split(regexp_replace({x}, '{_MARK_RE}', chr(1) || '\\1', 'g'), chr(1))"
+    chosen = f"list_filter({segs}, lambda s: length({_strip('s')}) > 0 AND NOT list_contains({skip}, {_strip('s')}))[1]"
+    for m in DELETE_MARKERS:
+        chosen = f"replace({chosen}, {_lit(m)}, '')"
+    return f"coalesce({_strip(chosen)}, ' ')"
+
+
+def _normalize(x: str) -> str:
+    # Entity decoding has no SQL counterpart; the driver texts contain no entity references.
+    t = f"nfc_normalize(replace({x}, '<|', ''))"
+    t = f"regexp_replace({t}, '\\p{{Mn}}', '', 'g')"
+    for a, b in [("‘", "'"), ("’", "'"), ("`", "'"), ("“", '"'), ("”", '"'), ("ċ", "c"), ("ħ", "h")]:
+        t = f"replace({t}, {_lit(a)}, {_lit(b)})"
+    return f"nfc_normalize({t})"
+
+
+_REFS = "(" + ", ".join(_lit(normalize_py(s)) for s in REFERENCE_REFUSALS.values()) + ")"
+_OUT = f"""o AS ({MODEL_OUTPUTS_SQL}),
+c AS (SELECT *, {_first_segment('output')} AS output_clean FROM o),
+n AS (SELECT *, {_normalize('output_clean')} AS output_normalized FROM c)"""
+_NEEDS = ("language_category IN ('low', 'middle') AND language_response IS DISTINCT FROM 'en' "
+          f"AND refusal IS DISTINCT FROM 3 AND (output_normalized IS NULL OR output_normalized NOT IN {_REFS})")
+
+ORACLE["clean_output"] = f"""
+SELECT conv_id, turn, {_first_segment('text')} AS output_clean FROM conversations WHERE role = 'assistant'"""
+
+ORACLE["normalized_match"] = f"""WITH {_OUT}
+SELECT prompt_id, output_normalized, coalesce(output_normalized IN {_REFS}, false) AS is_reference_refusal FROM n"""
+
+ORACLE["rephrase_override"] = f"""WITH {_OUT}
+SELECT prompt_id, refusal, regexp_matches(output_clean, 'rephrase|clarify') AS rephrase,
+ CASE WHEN coalesce(regexp_matches(output_clean, 'rephrase|clarify'), false) THEN 0 ELSE refusal END
+  AS refusal_without_rephrase
+FROM c"""
+
+ORACLE["needs_translation"] = f"""WITH {_OUT}
+SELECT prompt_id, language, language_response, refusal FROM n WHERE {_NEEDS}"""
+
+ORACLE["final_class"] = f"""WITH {_OUT},
+t AS (SELECT *, CASE WHEN {_NEEDS} THEN output_clean END AS output_translated FROM n),
+r AS (SELECT prompt_id, refusal AS refusal_first,
+  CASE WHEN output_translated IS NOT NULL AND language_response IS DISTINCT FROM 'wol'
+       THEN CASE WHEN {_normalize('output_translated')} IN {_REFS} THEN 1 ELSE 0 END END AS refusal_translation
+ FROM t)
+SELECT prompt_id, refusal_first, refusal_translation, coalesce(refusal_translation, refusal_first) AS refusal,
+ CASE WHEN coalesce(refusal_translation, refusal_first) IN (2, 3) THEN 0
+      ELSE coalesce(refusal_translation, refusal_first) END AS refusal_binary
+FROM r"""
+
+ORACLE["translate_stub"] = f"""WITH {_OUT}
+SELECT prompt_id, coalesce({_NEEDS}, false) AS translated,
+ CASE WHEN {_NEEDS} THEN length(output_clean) END AS translated_chars FROM n"""
+
+_INV = "CASE lang " + " ".join(f"WHEN {_lit(v)} THEN {_lit(k)}" for k, v in {v: k for k, v in ISO_CODES.items()}.items()) + " END"
+_INV = "CASE lang " + " ".join(f"WHEN {_lit(iso)} THEN {_lit(code)}"
+                               for iso, code in {v: k for k, v in ISO_CODES.items()}.items()) + " END"
+_MAP = "CASE p " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in ISO_CODES.items()) + " END"
+_DIALECTS = "(" + ", ".join(_lit(d) for d in ARABIC_DIALECTS) + ")"
+ORACLE["iso_codes"] = f"""WITH l AS (
+ SELECT doc_id, coalesce({_INV}, lang) || '_Latn' AS detector_label FROM documents
+ UNION ALL SELECT doc_id, source || '_Latn' FROM documents),
+p AS (SELECT *, split_part(detector_label, '_', 1) AS p FROM l),
+m AS (SELECT *, coalesce({_MAP}, p) AS iso0 FROM p)
+SELECT doc_id, detector_label,
+ CASE WHEN iso0 = 'zh-cn' THEN 'zh' WHEN iso0 IN {_DIALECTS} THEN 'ar' ELSE iso0 END AS iso FROM m"""
+
+ORACLE["class_parse"] = """WITH e AS (
+ SELECT event_id, CASE WHEN value > 50 THEN event_type
+  ELSE event_type || '_' || CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR) END AS label_text FROM events)
+SELECT event_id, label_text, coalesce(TRY_CAST(string_split(label_text, '_')[-1] AS INTEGER), 0) AS class FROM e"""
+
+ORACLE["run_name_parse"] = """WITH e AS (SELECT event_id, event_type, 'checkpoint-' || CAST(user_id AS VARCHAR) || '.csv' AS file_name
+ FROM events)
+SELECT event_id, file_name, regexp_replace(string_split(file_name, '-')[-1], '\\.csv$', '') AS checkpoint,
+ event_type || '-Base_data_SFT_2e-05' AS run_name FROM e"""
+
+ORACLE["json_value"] = "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"
+
+ORACLE["token_id_filter"] = """WITH g AS (
+ SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: length(w))[4:], lambda x: x <> 68) AS ids
+ FROM documents)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_generated, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS sum_ids FROM g"""
