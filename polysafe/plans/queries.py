@@ -407,3 +407,123 @@ def q_token_id_filter(spark, sf_dir):
     g = tx.generated_ids(ids, F.lit(3), 68)
     return d.select("doc_id", F.size(g).alias("n_generated"),
                     F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
+
+
+# --- chat, language sets, nested scores, profiles ------------------------
+from polysafe.dims import (HARD_LANGUAGES, LANGUAGE_DRAW_SEED, STUDY_LANGUAGES)  # noqa: E402
+from polysafe.functions import chat  # noqa: E402
+from polysafe.functions.scores import display_round, resource_class  # noqa: E402
+from polysafe.operators import profile  # noqa: E402
+
+
+def pairs(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return corpus.first_messages(conv)
+
+
+@register("chat_messages")
+def q_chat_messages(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    cols = {"user_chat": chat.user_chat(F.col("instruction")),
+            "training_chat": chat.training_chat(F.col("instruction"), F.col("chosen_response")),
+            "translation_chat": chat.translation_chat(F.col("chosen_response"))}
+    out = [F.col("conv_id")]
+    for name, arr in cols.items():
+        out += [F.concat_ws(",", F.transform(arr, lambda m: m["role"])).alias(f"{name}_roles"),
+                F.element_at(arr, -1)["content"].alias(f"{name}_last")]
+    return p.select(*out)
+
+
+@register("chat_render")
+def q_chat_render(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select(
+        "conv_id",
+        chat.render_chat("gemma", F.col("instruction")).alias("gemma_prompt"),
+        chat.render_chat("gemma", F.col("instruction"), trailing_whitespace=False,
+                         output=F.col("chosen_response")).alias("gemma_with_output"),
+        chat.render_chat("qwen", F.col("instruction"), system=F.col("system")).alias("qwen_prompt"))
+
+
+@register("lang_set_ops")
+def q_lang_set_ops(spark, sf_dir):
+    present = documents(spark, sf_dir, "lang").select(F.col("lang").alias("language")).distinct()
+    study = STUDY_LANGUAGES.frame(spark).select("language")
+    used = eval_rows(spark, sf_dir).select(F.explode(F.split("model", "_")).alias("language")).distinct()
+    in_study = present.join(study, "language", "left_semi")
+    unused = in_study.join(used.select(F.lower("language").alias("language")), "language", "left_anti")
+    missing = study.subtract(present)
+    tag = lambda df, name: df.select(F.lit(name).alias("set_name"), "language")
+    return (tag(present, "present").unionByName(tag(in_study, "in_study"))
+            .unionByName(tag(unused, "unused")).unionByName(tag(missing, "study_not_present")))
+
+
+@register("resource_bins")
+def q_resource_bins(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "lang", "source")
+    cat = F.regexp_extract(F.col("source"), r"(\d+)", 1).cast("int") % 6
+    return d.groupBy("lang", cat.alias("taxonomy_class")).agg(F.count(F.lit(1)).alias("n_docs")) \
+        .withColumn("resource", resource_class(F.col("taxonomy_class")))
+
+
+@register("hard_lang_route")
+def q_hard_lang_route(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).select("prompt_id", "model", "language")
+    hard = F.col("language").isin(HARD_LANGUAGES)
+    return rows.select("prompt_id", "model", "language",
+                       F.when(hard, F.lit("hard")).otherwise(F.lit("easy")).alias("cost_class"),
+                       F.when(hard, F.lit(16)).otherwise(F.lit(32)).alias("batch_size"))
+
+
+@register("language_draw")
+def q_language_draw(spark, sf_dir):
+    present = documents(spark, sf_dir, "lang").select(F.col("lang").alias("language")).distinct()
+    cands = present.withColumn("category", DIM.category_col(F.col("language")))
+    return sampling.sample_per_group(cands, ["category"], 3, "language", seed=LANGUAGE_DRAW_SEED)
+
+
+@register("nested_scores_roundtrip")
+def q_nested_scores_roundtrip(spark, sf_dir):
+    from polysafe.sources import sinks
+    m = metrics.refusal_matrix(typed_rows(spark, sf_dir), DIM)
+    long = m.unpivot(["model", "prompt_type", "language", "language_response"], metrics.PCT_COLS, "metric", "pct")
+    nested = sinks.nested_json(long, ["model", "prompt_type", "metric"], "language", "language_response", "pct")
+    back = sinks.parse_nested_json(nested, ["model", "prompt_type", "metric"], "json")
+    return back.groupBy("model", "prompt_type", "metric", "language").agg(
+        F.round(F.sum("value"), 6).alias("total"), F.count(F.lit(1)).alias("n_responses"))
+
+
+@register("all_runs_metrics")
+def q_all_runs_metrics(spark, sf_dir):
+    rows = typed_rows(spark, sf_dir)
+    kept = metrics.not_privacy(F.col("data_type"))
+    harmful, harmless = F.col("label") == 1, (F.col("label") == 0) & kept
+    return rows.groupBy("model", "prompt_type").agg(
+        F.count_if(harmful).alias("n_harmful"), F.count_if(harmless).alias("n_harmless"),
+        F.count_if(harmful & kept & F.col("refusal").isin(1, 2)).alias("n_refused_harmful"),
+        F.count_if(harmless & (F.col("refusal") == 1)).alias("n_refused_harmless"),
+        F.count_if(~kept).alias("n_privacy"))
+
+
+@register("rounded_scores")
+def q_rounded_scores(spark, sf_dir):
+    h = analysis.with_harmonic(scores(spark, sf_dir))
+    return h.select("model", "prompt_type", "language",
+                    display_round(F.col("refusal")).alias("refusal"),
+                    display_round(F.col("over_refusal")).alias("over_refusal"),
+                    display_round(F.col("harmonic")).alias("harmonic"),
+                    F.col("prompt_type").contains("adv").alias("is_adversarial"))
+
+
+@register("language_profile")
+def q_language_profile(spark, sf_dir):
+    d = documents(spark, sf_dir, "lang", "text", "n_chars")
+    t = profile.text_profile(d, ["lang"], "text")
+    n = profile.numeric_profile(d, ["lang"], "n_chars").select(
+        "lang", *[F.col(c).alias(f"n_chars_{c}") for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")])
+    return t.join(n, "lang")
+
+
+@register("class_counts")
+def q_class_counts(spark, sf_dir):
+    return metrics.class_counts(eval_rows(spark, sf_dir), ["model", "label"])
