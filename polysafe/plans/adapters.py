@@ -140,3 +140,31 @@ SELECT d.doc_id AS prompt_id, d.lang AS language,
  CAST((d.n_chars + d.doc_id) % 4 AS INT) AS refusal
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
+
+
+ACTIVATION_LAYERS = [27, 23, 19]
+
+
+def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activation-table stand-in on ``embeddings``: label 5..9 = harmful, even
+    labels = vanilla prompts, refusal class and language/layer from the id."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    langs = F.array(*[F.lit(x) for x in RESPONSE_CYCLE[:4]])
+    layers = F.array(*[F.lit(x) for x in ACTIVATION_LAYERS])
+    return e.select(
+        F.col("vec_id").alias("prompt_id"),
+        F.element_at(langs, ((F.col("vec_id") % 4) + 1).cast("int")).alias("language"),
+        F.element_at(layers, ((F.col("vec_id") % 3) + 1).cast("int")).alias("layer"),
+        (F.col("label") >= 5).cast("int").alias("harmful"),
+        F.when(F.col("label") % 2 == 0, F.lit("vanilla")).otherwise(F.lit("adversarial")).alias("prompt_type"),
+        ((F.col("vec_id") + F.col("label")) % 3 == 0).cast("int").alias("refusal"),
+        F.col("embedding").alias("vec"))
+
+
+ACTIVATIONS_SQL = f"""
+SELECT vec_id AS prompt_id, {[x for x in RESPONSE_CYCLE[:4]]}[(vec_id % 4) + 1] AS language,
+ {ACTIVATION_LAYERS}[(vec_id % 3) + 1] AS layer, CAST(label >= 5 AS INTEGER) AS harmful,
+ CASE WHEN label % 2 = 0 THEN 'vanilla' ELSE 'adversarial' END AS prompt_type,
+ CAST((vec_id + label) % 3 = 0 AS INTEGER) AS refusal, embedding AS vec
+FROM embeddings
+"""

@@ -481,7 +481,7 @@ SELECT language, category FROM (
 WHERE rn <= 3"""
 
 ORACLE["nested_scores_roundtrip"] = with_chain(CHAIN_CELLS + [CTE_MATRIX], """
-SELECT model, prompt_type, metric, language, round(sum(pct), 6) AS total, count(*) AS n_responses
+SELECT model, prompt_type, metric, language, (round(sum(pct), 6) + 0.0) AS total, count(*) AS n_responses
 FROM (UNPIVOT matrix ON refusal, over_refusal, uncertain_harmful, uncertain_harmless INTO NAME metric VALUE pct)
 GROUP BY model, prompt_type, metric, language""")
 
@@ -511,3 +511,41 @@ ORACLE["class_counts"] = f"""WITH {CTE_EVAL}
 SELECT model, label, count_if(refusal = 0) AS n_answer, count_if(refusal = 1) AS n_refusal,
  count_if(refusal = 2) AS n_uncertain, count_if(refusal = 3) AS n_other, count(*) AS n_rows
 FROM eval_rows GROUP BY model, label"""
+
+
+# --- vector analytics -----------------------------------------------------
+from polysafe.plans.adapters import ACTIVATIONS_SQL  # noqa: E402
+
+_DIR = f"""a AS ({ACTIVATIONS_SQL}),
+m AS (SELECT harmful, i, avg(CAST(x AS DOUBLE)) AS mu FROM (
+  SELECT harmful, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS i FROM a) GROUP BY harmful, i),
+d AS (SELECT list(h.mu - l.mu ORDER BY h.i) AS direction FROM m h JOIN m l ON h.i = l.i AND h.harmful = 1 AND l.harmful = 0),
+u AS (SELECT direction, list_transform(direction, lambda x: x / (sqrt(list_sum(list_transform(direction, lambda y: y * y))) + 1e-8)) AS u FROM d),
+v AS (SELECT a.prompt_id, CAST(a.vec AS DOUBLE[]) AS a, u.direction, u.u FROM a, u)"""
+
+
+def _dot(x: str, y: str) -> str:
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1] * p[2]))"
+
+
+_AB = f"list_transform(list_zip(a, u), lambda p: p[1] - {_dot('a', 'u')} * p[2])"
+ORACLE["vector_ablate"] = f"""WITH {_DIR}
+SELECT prompt_id, (round({_dot('a', 'u')}, 6) + 0.0) AS proj_before, (round({_dot(_AB, 'u')}, 6) + 0.0) AS proj_after,
+ (round(sqrt({_dot(_AB, _AB)}), 6) + 0.0) AS norm_after FROM v"""
+
+_PATCH = f"list_transform(list_zip({_AB}, u), lambda p: p[1] + {_q.PATCH_COEFF} * p[2])"
+ORACLE["vector_patch"] = f"""WITH {_DIR}
+SELECT prompt_id, (round({_dot(_PATCH, 'u')}, 6) + 0.0) AS proj_after, (round(sqrt({_dot(_PATCH, _PATCH)}), 6) + 0.0) AS norm_after FROM v"""
+
+_ADD = f"list_transform(list_zip(a, direction), lambda p: p[1] + {_q.ADD_COEFF} * p[2])"
+ORACLE["vector_add"] = f"""WITH {_DIR}
+SELECT prompt_id, (round(sqrt({_dot(_ADD, _ADD)}), 6) + 0.0) AS norm_after, (round({_dot(_ADD, 'u')}, 6) + 0.0) AS proj_after FROM v"""
+
+ORACLE["auc_rank"] = f"""WITH a AS ({ACTIVATIONS_SQL}),
+s AS (SELECT prompt_type, harmful, CAST(vec[1] AS DOUBLE) AS score FROM a),
+r AS (SELECT *, rank() OVER (PARTITION BY prompt_type ORDER BY score)
+        + (count(*) OVER (PARTITION BY prompt_type, score) - 1) / 2.0 AS rk FROM s)
+SELECT prompt_type, count_if(harmful = 1) AS n_pos, count_if(harmful = 0) AS n_neg,
+ (round((sum(CASE WHEN harmful = 1 THEN rk END) - count_if(harmful = 1) * (count_if(harmful = 1) + 1) / 2.0)
+  / (count_if(harmful = 1) * count_if(harmful = 0)), 6) + 0.0) AS auc
+FROM r GROUP BY prompt_type"""

@@ -527,3 +527,128 @@ def q_language_profile(spark, sf_dir):
 @register("class_counts")
 def q_class_counts(spark, sf_dir):
     return metrics.class_counts(eval_rows(spark, sf_dir), ["model", "label"])
+
+
+# --- vector analytics -----------------------------------------------------
+from polysafe.operators import vectors as vx  # noqa: E402
+from polysafe.plans.adapters import activations  # noqa: E402
+
+PATCH_COEFF, ADD_COEFF = 2.0, 0.5
+
+
+def _directional(spark, sf_dir):
+    a = activations(spark, sf_dir)
+    d = vx.mean_difference_direction(a, "vec", "harmful")
+    v = vx.with_direction(a.select("prompt_id", vx.as_double_array(F.col("vec")).alias("a")),
+                          d.select("direction", vx.unit(F.col("direction")).alias("u")))
+    return v
+
+
+def _r6(c):
+    # "+ 0.0" turns a rounded negative zero into 0.0
+    return F.round(c, 6) + F.lit(0.0)
+
+
+@register("vector_ablate")
+def q_vector_ablate(spark, sf_dir):
+    v = _directional(spark, sf_dir).withColumn("ab", vx.ablate(F.col("a"), F.col("u")))
+    return v.select("prompt_id", _r6(vx.dot(F.col("a"), F.col("u"))).alias("proj_before"),
+                    _r6(vx.dot(F.col("ab"), F.col("u"))).alias("proj_after"), _r6(vx.norm(F.col("ab"))).alias("norm_after"))
+
+
+@register("vector_patch")
+def q_vector_patch(spark, sf_dir):
+    v = _directional(spark, sf_dir).withColumn("p", vx.patch(F.col("a"), F.col("u"), PATCH_COEFF))
+    return v.select("prompt_id", _r6(vx.dot(F.col("p"), F.col("u"))).alias("proj_after"),
+                    _r6(vx.norm(F.col("p"))).alias("norm_after"))
+
+
+@register("vector_add")
+def q_vector_add(spark, sf_dir):
+    v = _directional(spark, sf_dir).withColumn("s", vx.add(F.col("a"), F.col("direction"), ADD_COEFF))
+    return v.select("prompt_id", _r6(vx.norm(F.col("s"))).alias("norm_after"),
+                    _r6(vx.dot(F.col("s"), F.col("u"))).alias("proj_after"))
+
+
+@register("auc_rank")
+def q_auc_rank(spark, sf_dir):
+    a = activations(spark, sf_dir).select("prompt_type", "harmful", F.col("vec")[0].cast("double").alias("score"))
+    r = vx.auc_rank(a, "score", "harmful", "prompt_type", n_parts=8)
+    return r.select("prompt_type", "n_pos", "n_neg", _r6(F.col("auc")).alias("auc"))
+
+
+def _projection(spark, sf_dir, lg1="en"):
+    a = activations(spark, sf_dir)
+    fit = a.where(F.col("language") == lg1)
+    app = a.where(F.col("language") != lg1)
+    p = vx.pca_fit_apply(fit, app, "vec", 2)
+    return p.select("prompt_id", "language", "layer", "harmful", "prompt_type", "refusal",
+                    F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    return _projection(spark, sf_dir)
+
+
+@register("standardize_2d")
+def q_standardize_2d(spark, sf_dir):
+    p = _projection(spark, sf_dir)
+    scoped = p.withColumn("scope", F.lit("all")).unionByName(p.withColumn("scope", F.col("prompt_type")))
+    return vx.standardize(scoped, ["x", "y"], ["scope"])
+
+
+PROBE_TARGETS = [("all", "harmful"), ("all", "form"), ("all", "refusal"), ("vanilla", "harmful"),
+                 ("vanilla", "refusal"), ("adversarial", "harmful"), ("adversarial", "refusal")]
+
+
+def probe_metrics_frame(spark, p: DataFrame, kind: str = "logistic") -> DataFrame:
+    """Seven (scope, target) probes, each with its own scaler and classifier.
+
+    A short driver loop of distributed fits; only the metric values (two
+    floats per probe) reach the driver.
+    """
+    rows = []
+    p = p.withColumn("form", (F.col("prompt_type") == "adversarial").cast("int"))
+    for scope, target in PROBE_TARGETS:
+        s = p if scope == "all" else p.where(F.col("prompt_type") == scope)
+        s = vx.standardize(s, ["x", "y"])
+        model, pred = vx.fit_probe(s, ["x_std", "y_std"], target, kind)
+        rows.append((scope, target, float(vx.accuracy(pred)), float(vx.auc_evaluator(pred))))
+    return spark.createDataFrame(rows, "scope string, target string, accuracy double, auc double")
+
+
+@register("probe_metrics")
+def q_probe_metrics(spark, sf_dir):
+    return probe_metrics_frame(spark, _projection(spark, sf_dir))
+
+
+@register("decision_grid")
+def q_decision_grid(spark, sf_dir):
+    p = _projection(spark, sf_dir)
+    s = vx.standardize(p, ["x", "y"])
+    model, _ = vx.fit_probe(s, ["x_std", "y_std"], "harmful")
+    stats = p.agg(F.avg("x").alias("_mu_x"), F.stddev_pop("x").alias("_sd_x"),
+                  F.avg("y").alias("_mu_y"), F.stddev_pop("y").alias("_sd_y"))
+    coef = model.coefficients.toArray().tolist()
+    return vx.decision_grid(p, "x", "y", coef, float(model.intercept), stats)
+
+
+@register("layer_sweep")
+def q_layer_sweep(spark, sf_dir):
+    """Probe metrics per (language, layer): the sweep keys are a bounded dimension."""
+    a = activations(spark, sf_dir)
+    keys = [(r["language"], r["layer"]) for r in
+            a.where(F.col("language") != "en").select("language", "layer").distinct().orderBy("language", "layer").collect()]
+    out = None
+    for lang, layer in keys:
+        fit = a.where((F.col("language") == "en") & (F.col("layer") == layer))
+        app = a.where((F.col("language") == lang) & (F.col("layer") == layer))
+        pr = vx.pca_fit_apply(fit, app, "vec", 2).select(
+            "harmful", "prompt_type", "refusal", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+        s = vx.standardize(pr, ["x", "y"])
+        model, pred = vx.fit_probe(s, ["x_std", "y_std"], "harmful")
+        m = spark.createDataFrame([(lang, layer, float(vx.accuracy(pred)), float(vx.auc_evaluator(pred)))],
+                                  "language string, layer int, accuracy double, auc double")
+        out = m if out is None else out.unionByName(m)
+    return out
