@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from polysafe.dims import PROMPT_TEMPLATE, SUBSET_LANGUAGES, LanguageDim
 from polysafe.operators import sampling
+from polysafe.session import cut_lineage
 
 _PRE, _MID, _POST = PROMPT_TEMPLATE.split("{}")
 
@@ -89,14 +90,20 @@ def remove_drawn(df: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def split_subsets(corpus: DataFrame, n_safety: int, fraction: float, key: str = "row_key",
-                  subsets: Sequence[Sequence[str]] = SUBSET_LANGUAGES) -> DataFrame:
+                  subsets: Sequence[Sequence[str]] = SUBSET_LANGUAGES, materialize: bool = True) -> DataFrame:
     """Two disjoint draws (then the rest) tagged with their language subsets.
 
     Each draw: ``n_safety`` rows per safety category and ``floor(count * fraction)``
     rows per instruction category, quotas fixed from the *first* counts.  After
     each draw every row sharing a drawn text is removed.
+
+    The corpus is read five times by the two draws and anti-joins, so its
+    narrow form (key, safety, category, text digest) is checkpointed first:
+    texts are hashed once and later stages never recompute the inputs.
     """
-    base = corpus.withColumn("_tk", text_key(F.col("text")))
+    base = corpus.select(key, "safety", "category", text_key(F.col("text")).alias("_tk"))
+    if materialize:
+        base = cut_lineage(base)
     instr_quota = sampling.group_quota(base.where(F.col("safety") == 0), ["category"], fraction)
 
     def draw(df: DataFrame) -> DataFrame:

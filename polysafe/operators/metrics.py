@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polysafe.dims import CLASS_REFUSAL, CLASS_UNCERTAIN, LanguageDim
@@ -76,22 +76,25 @@ def refusal_cell_counts(rows: DataFrame, dim: LanguageDim, run_keys: Sequence[st
             F.count_if((F.col("label") == 0) & F.col("kept") & (F.col("cls") == CLASS_UNCERTAIN)).alias("n_uncertain_harmless"),
         )
     )
-    # The aggregate is bounded by runs x languages x responses: the window
-    # below shuffles a few hundred rows per run, whatever the input size.
-    w = Window.partitionBy(*run_keys)
-    partial = (partial
-               .withColumn("den_harmful", F.sum("all_harmful").over(w) / F.lit(dim.n))
-               .withColumn("den_harmless", F.sum("all_harmless").over(w) / F.lit(dim.n)))
-    runs = partial.select(*run_keys, "den_harmful", "den_harmless").dropDuplicates(run_keys)
-    skeleton = (runs
-                .select("*", F.explode(F.array(*[F.lit(c) for c in dim.codes])).alias("language"))
-                .select("*", F.explode(F.array(*[F.lit(c) for c in dim.response_codes()])).alias("language_response")))
-    counted = partial.where(F.col("language").isin(dim.codes) & F.col("language_response").isNotNull()) \
-        .select(*run_keys, "language", "language_response", *COUNT_COLS)
-    dense = skeleton.join(counted, [*run_keys, "language", "language_response"], "left")
+    # Second level, per run: denominators over *all* rows, and the dimension
+    # cells folded into one map (at most languages x responses entries, so the
+    # collected list is bounded by the dimensions, not by the data).  A single
+    # chain of aggregates: no self-join, no second scan of the input.
+    valid = F.col("language").isin(dim.codes) & F.col("language_response").isNotNull()
+    cell_key = F.concat_ws("|", F.col("language"), F.col("language_response"))
+    per_run = partial.groupBy(*run_keys).agg(
+        F.sum("all_harmful").alias("_all_harmful"),
+        F.sum("all_harmless").alias("_all_harmless"),
+        F.map_from_entries(F.collect_list(
+            F.when(valid, F.struct(cell_key, F.struct(*COUNT_COLS))))).alias("_cells"))
+    dense = (per_run
+             .select("*", F.explode(F.array(*[F.lit(c) for c in dim.codes])).alias("language"))
+             .select("*", F.explode(F.array(*[F.lit(c) for c in dim.response_codes()])).alias("language_response")))
+    cell = F.try_element_at(F.col("_cells"), F.concat_ws("|", F.col("language"), F.col("language_response")))
     return dense.select(*run_keys, "language", "language_response",
-                        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNT_COLS],
-                        "den_harmful", "den_harmless")
+                        *[F.coalesce(cell[c], F.lit(0)).alias(c) for c in COUNT_COLS],
+                        (F.col("_all_harmful") / F.lit(dim.n)).alias("den_harmful"),
+                        (F.col("_all_harmless") / F.lit(dim.n)).alias("den_harmless"))
 
 
 def pct(count: Column, den: Column) -> Column:

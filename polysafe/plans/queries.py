@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from polysafe.dims import FIXTURE_LANGUAGES as DIM
 from polysafe.operators import analysis, metrics
 from polysafe.plans.adapters import eval_rows
+from polysafe.session import cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -31,7 +32,9 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.refusal_cell_counts(typed_rows(spark, sf_dir), DIM)
+    """Dense cell counts, checkpointed: one pass over the outputs, then every
+    analysis reads a few hundred rows from the shared checkpoint folder."""
+    return cut_lineage(metrics.refusal_cell_counts(typed_rows(spark, sf_dir), DIM))
 
 
 @register("refusal_matrix")
