@@ -59,10 +59,16 @@ def refusal_cell_counts(rows: DataFrame, dim: LanguageDim, run_keys: Sequence[st
     Output: run keys, language, language_response, the four ``n_*`` counts,
     ``den_harmful`` and ``den_harmless`` (prompts per language, DOUBLE).
     """
+    return densify_cells(partial_cell_counts(rows, dim, run_keys, class_col), dim, run_keys)
+
+
+def partial_cell_counts(rows: DataFrame, dim: LanguageDim, run_keys: Sequence[str] = ("model", "prompt_type"),
+                        class_col: str = "refusal") -> DataFrame:
+    """First aggregation level: counts per (run, language, folded response)."""
     run_keys = list(run_keys)
     label, cls = F.col("label"), F.col(class_col)
     kept = not_privacy(F.col("data_type"))
-    partial = (
+    return (
         rows.select(*run_keys, "language",
                     fold_response(F.col("language_response"), dim).alias("language_response"),
                     label.alias("label"), cls.alias("cls"), kept.alias("kept"))
@@ -76,6 +82,11 @@ def refusal_cell_counts(rows: DataFrame, dim: LanguageDim, run_keys: Sequence[st
             F.count_if((F.col("label") == 0) & F.col("kept") & (F.col("cls") == CLASS_UNCERTAIN)).alias("n_uncertain_harmless"),
         )
     )
+
+
+def densify_cells(partial: DataFrame, dim: LanguageDim, run_keys: Sequence[str] = ("model", "prompt_type")) -> DataFrame:
+    """Second level from partial counts (batch or a streamed count table)."""
+    run_keys = list(run_keys)
     # Second level, per run: denominators over *all* rows, and the dimension
     # cells folded into one map (at most languages x responses entries, so the
     # collected list is bounded by the dimensions, not by the data).  A single

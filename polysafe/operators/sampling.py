@@ -55,7 +55,9 @@ def sample_per_group(df: DataFrame, groups: Sequence[str], n: int, key: str, see
         small = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") < n)
         check = small.select(*groups, F.raise_error(F.concat(F.lit("group too small for sample of "), F.lit(str(n))))
                              .cast("int").alias("_chk"))
-        out = out.join(check, groups, "left").drop("_chk")
+        # the filter keeps the check alive through column pruning; it raises
+        # as soon as a row of a too-small group meets it
+        out = out.join(check, groups, "left").where(F.col("_chk").isNull()).drop("_chk")
     return out
 
 
@@ -64,12 +66,11 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
     """Exactly the first ``k`` rows of every group in ``order``.
 
     ``bucket`` (0..N_BUCKETS-1) must be monotone in ``order``.  ``k`` is a
-    literal, a Column over the group keys, or a DataFrame ``(groups..., k)``.
-    Groups with fewer than ``k`` rows are kept whole.
+    literal, a Column over the group keys (or a scalar subquery), or a
+    DataFrame ``(groups..., k)``.  Groups with fewer than ``k`` rows are kept
+    whole.  Without groups the cut point is a scalar subquery (no join).
     """
     groups = list(groups)
-    if not groups:
-        raise ValueError("first_k needs at least one group column")
     d = df.withColumn("_b", bucket)
     hist = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(k, DataFrame):
@@ -81,8 +82,11 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
     cut = hist.where(F.col("_cum") >= F.col("_k")).groupBy(*groups).agg(
         F.min("_b").alias("_cut"),
         F.min_by(F.col("_k") - (F.col("_cum") - F.col("_n")), F.col("_b")).alias("_need"))
-    # ``cut`` has one row per group; AQE broadcasts it when its runtime size allows.
-    j = d.join(cut, groups, "left")
+    if groups:
+        # ``cut`` has one row per group; AQE broadcasts it when its runtime size allows.
+        j = d.join(cut, groups, "left")
+    else:
+        j = d.withColumn("_cut", cut.select("_cut").scalar()).withColumn("_need", cut.select("_need").scalar())
     j = j.where(F.col("_cut").isNull() | (F.col("_b") <= F.col("_cut")))
     rn = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order))
     j = j.withColumn("_rn", rn)
@@ -118,9 +122,9 @@ def sample_fraction(df: DataFrame, groups: Sequence[str], fraction: float, key:
 
 
 def sample_ceil(df: DataFrame, ratio: float, key: str, seed: int = SEED) -> DataFrame:
-    """``ceil(count * ratio)`` rows of the whole frame (W6)."""
-    d = df.withColumn("_g", F.lit(1))
-    return first_k_by_hash(d, ["_g"], group_quota(d, ["_g"], ratio, "ceil"), key, seed).drop("_g")
+    """``ceil(count * ratio)`` rows of the whole frame (W6); the quota is a scalar subquery."""
+    k = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(ratio)).cast("long")).scalar()
+    return first_k_by_hash(df, [], k, key, seed)
 
 
 def sample_global(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:

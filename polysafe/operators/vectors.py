@@ -1,7 +1,7 @@
 """Vector analytics on activation/embedding tables.
 
 * direction maths (ablation, patching, addition) as ``zip_with``/``aggregate``
-  array expressions against a one-row direction joined by broadcast;
+  array expressions; the direction is a scalar subquery (one array), not a join;
 * projections: PCA fitted on one set and applied to another (Spark ML, with
   the centring and sign convention of the study), scope-wise standardisation;
 * linear probes (logistic regression, linear SVM) with in-sample accuracy and
@@ -58,24 +58,20 @@ def add(a: Column, v: Column, coeff: float) -> Column:
     return F.zip_with(a, v, lambda x, y: x + F.lit(coeff) * y)
 
 
-def mean_difference_direction(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """One row ``direction``: mean(label=1) - mean(label=0), element-wise.
+def with_mean_difference(df: DataFrame, source: DataFrame, vec: str, label: str,
+                         out: str = "direction") -> DataFrame:
+    """Adds ``out`` = mean(label=1) - mean(label=0) of ``source``, element-wise.
 
-    Vector means are map-side partial aggregates (``Summarizer``); the
-    result is a single row of dimension ``d``.
+    Vector means are map-side partial aggregates (``Summarizer``); each mean
+    is a scalar subquery (one array of dimension ``d``) that every row reads
+    as a constant — no join against the vectors.
     """
-    v = df.select(F.col(label).alias("_l"), array_to_vector(as_double_array(F.col(vec))).alias("_v"))
-    means = v.groupBy("_l").agg(Summarizer.mean(F.col("_v")).alias("_m")) \
-        .select("_l", vector_to_array("_m").alias("_m"))
-    pos = means.where(F.col("_l") == 1).select(F.col("_m").alias("_p"), F.lit(1).alias("_k"))
-    neg = means.where(F.col("_l") == 0).select(F.col("_m").alias("_n"), F.lit(1).alias("_k"))
-    return pos.join(neg, "_k").select(F.zip_with("_p", "_n", lambda x, y: x - y).alias("direction"))
-
-
-def with_direction(df: DataFrame, direction: DataFrame) -> DataFrame:
-    """Attach the one-row direction to every vector (broadcast equi-join on a constant key)."""
-    d = direction.withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(d), "_k").drop("_k")
+    v = source.select(F.col(label).alias("_l"), array_to_vector(as_double_array(F.col(vec))).alias("_v"))
+    means = v.groupBy("_l").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
+    pos = means.where(F.col("_l") == 1).select("_m").scalar()
+    neg = means.where(F.col("_l") == 0).select("_m").scalar()
+    d = df.withColumn("_pos", pos).withColumn("_neg", neg)
+    return d.withColumn(out, F.zip_with("_pos", "_neg", lambda x, y: x - y)).drop("_pos", "_neg")
 
 
 # --- projection -----------------------------------------------------------------
@@ -106,7 +102,8 @@ def standardize(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -
     """Population standardisation (mean 0, population std 1) per scope.
 
     Statistics are one aggregate row per scope, joined back (broadcast-sized:
-    scopes are a handful of named subsets).
+    scopes are a handful of named subsets); without scopes they are scalar
+    subqueries.
     """
     scope = list(scope)
     aggs = []
@@ -116,8 +113,8 @@ def standardize(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -
         stats = df.groupBy(*scope).agg(*aggs)
         j = df.join(F.broadcast(stats), scope)
     else:
-        stats = df.agg(*aggs).withColumn("_k", F.lit(1))
-        j = df.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k").drop("_k")
+        stats = df.agg(*aggs)
+        j = df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
     for c in cols:
         j = j.withColumn(f"{c}_std", F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")))
     return j.drop(*[x for c in cols for x in (f"_mu_{c}", f"_sd_{c}")])

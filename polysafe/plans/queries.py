@@ -541,10 +541,8 @@ PATCH_COEFF, ADD_COEFF = 2.0, 0.5
 
 def _directional(spark, sf_dir):
     a = activations(spark, sf_dir)
-    d = vx.mean_difference_direction(a, "vec", "harmful")
-    v = vx.with_direction(a.select("prompt_id", vx.as_double_array(F.col("vec")).alias("a")),
-                          d.select("direction", vx.unit(F.col("direction")).alias("u")))
-    return v
+    v = a.select("prompt_id", vx.as_double_array(F.col("vec")).alias("a"))
+    return vx.with_mean_difference(v, a, "vec", "harmful").withColumn("u", vx.unit(F.col("direction")))
 
 
 def _r6(c):

@@ -18,12 +18,18 @@ SCORE_JSON_TYPE = "map<string,map<string,double>>"
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
     """Header CSV with quoted multi-line text (pandas-style quoting: ``""`` escapes ``"``).
 
-    The index column that pandas writes (an empty or ``Unnamed: 0`` header) is dropped.
+    The index column that pandas writes (an empty or ``Unnamed: 0`` header) is
+    dropped.  With a schema, columns are matched *by name* and cast, so an
+    index column in front does not shift the fields (no inference pass either).
     """
     r = spark.read.option("header", True).option("multiLine", True).option("quote", '"') \
         .option("escape", '"').option("sep", sep).option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = r.csv(path)
+    if schema is None:
+        df = r.option("inferSchema", True).csv(path)
+    else:
+        st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        raw = r.csv(path)
+        df = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
     index_cols = [c for c in df.columns if c == "_c0" or c.startswith("Unnamed: ")]
     return df.drop(*index_cols)
 
