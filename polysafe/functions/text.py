@@ -8,6 +8,7 @@ have no built-in; they run in one Arrow-batched pandas UDF (``normalize_text``).
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -59,15 +60,25 @@ def first_segment(text: Column) -> Column:
     return F.coalesce(py_strip(delete_markers(chosen)), F.lit(" "))
 
 
+# Quote and Maltese-letter folding, applied in this order.
+_FOLD = [("‘", "'"), ("’", "'"), ("`", "'"), ("“", '"'), ("”", '"'), ("ċ", "c"), ("ħ", "h")]
+# Combining marks (category Mn) all lie at or above U+0300.
+_ABOVE_LATIN = re.compile("[\u0300-\U0010ffff]")
+
+
 def _normalize_one(text) -> str:
-    t = html.unescape(str(text))
+    t = str(text)
+    if "&" in t:
+        t = html.unescape(t)
     t = t.replace("<|", "")
-    t = unicodedata.normalize("NFC", t)
-    t = "".join(ch for ch in t if unicodedata.category(ch) != "Mn")
-    t = t.replace("‘", "'").replace("’", "'").replace("`", "'")
-    t = t.replace("“", '"').replace("”", '"')
-    t = t.replace("ċ", "c").replace("ħ", "h")
-    return unicodedata.normalize("NFC", t)
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+        if _ABOVE_LATIN.search(t):
+            for c in {c for c in set(t) if c >= "\u0300" and unicodedata.category(c) == "Mn"}:
+                t = t.replace(c, "")
+    for a, b in _FOLD:
+        t = t.replace(a, b)
+    return t if t.isascii() else unicodedata.normalize("NFC", t)
 
 
 def normalize_py(text) -> str | None:

@@ -3,80 +3,70 @@
 ``eval_rows`` plays the *evaluated outputs* table (one row per prompt, model
 run and prompt language, with response language and refusal class).  No model
 outputs exist here, so class, response language and data type are synthetic
-functions of the ids — the same expressions run in the DuckDB oracle.
+functions of the ids.  The expressions are written once, as SQL text, and
+used both by Spark (``selectExpr``) and by the DuckDB oracle, so the two
+cannot drift apart.
 
 The run fan-out (each labelled document x each of four model runs) is a
 narrow ``explode`` of a literal array: no join, no shuffle, and the output
-grows linearly with the input.
+grows linearly with the input.  Documents join labels on ``doc_id`` (an
+equi-join: broadcast when AQE measures labels small, sort-merge otherwise).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from polysafe.sources.tables import read_table
 
-# Fixed values of the adapter: model runs and their index.
+# Fixed values of the adapter: model runs and their index, response cycle.
 FIXTURE_RUNS = [("en", 0), ("fr", 1), ("de", 2), ("fr_de", 3)]
 RESPONSE_CYCLE = ["en", "fr", "de", "es", "it"]
+ADVERSARIAL_PREFIX = "You are an actor in a play. "
+ACTIVATION_LAYERS = [27, 23, 19]
 
+_KIND = "CASE WHEN toxic = 1 THEN 'harmful' ELSE 'benign' END"
+DATA_TYPE = (f"CASE WHEN toxic = 0 AND doc_id % 29 = 0 THEN 'privacy_fictional' "
+             f"WHEN doc_id % 2 = 0 THEN concat('adversarial_', {_KIND}) "
+             f"ELSE concat('vanilla_', {_KIND}) END")
+CATEGORY = "CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'middle' ELSE 'low' END"
 
-def _runs_array():
-    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("idx")) for m, i in FIXTURE_RUNS])
 
+def _response(offset: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(RESPONSE_CYCLE[:-1]))
+    return f"CASE (n_chars{offset}) % 5 {whens} ELSE '{RESPONSE_CYCLE[-1]}' END"
 
-def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
+
+_EVAL_COLS = [
+    "doc_id AS prompt_id", "model", "lang AS language", f"{CATEGORY} AS language_category",
+    "toxic AS label", f"{DATA_TYPE} AS data_type", f"{_response(' + idx')} AS language_response",
+    "CAST((n_chars + 3 * idx + doc_id) % 4 AS INT) AS refusal",
+]
+_RUNS_VALUES = "(VALUES " + ", ".join(f"('{m}', {i})" for m, i in FIXTURE_RUNS) + ") AS m(model, idx)"
+_RUNS_ARRAY = "array(" + ", ".join(f"named_struct('model', '{m}', 'idx', {i})" for m, i in FIXTURE_RUNS) + ")"
+
+
+def _labelled(spark: SparkSession, sf_dir: str, *doc_cols: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", *doc_cols)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    d = docs.join(labels, "doc_id")
-    d = d.select("*", F.explode(_runs_array()).alias("run"))
-    toxic = F.col("toxic")
-    kind = F.when(toxic == 1, F.lit("harmful")).otherwise(F.lit("benign"))
-    data_type = (
-        F.when((toxic == 0) & (F.col("doc_id") % 29 == 0), F.lit("privacy_fictional"))
-        .when(F.col("doc_id") % 2 == 0, F.concat(F.lit("adversarial_"), kind))
-        .otherwise(F.concat(F.lit("vanilla_"), kind))
-    )
-    resp_idx = (F.col("n_chars") + F.col("run.idx")) % 5
-    response = F.element_at(F.array(*[F.lit(x) for x in RESPONSE_CYCLE]), (resp_idx + 1).cast("int"))
-    lang = F.col("lang")
-    category = (F.when(lang.isin("en", "fr"), F.lit("high"))
-                .when(lang == "de", F.lit("middle")).otherwise(F.lit("low")))
-    return d.select(
-        F.col("doc_id").alias("prompt_id"),
-        F.col("run.model").alias("model"),
-        lang.alias("language"),
-        category.alias("language_category"),
-        toxic.alias("label"),
-        data_type.alias("data_type"),
-        response.alias("language_response"),
-        ((F.col("n_chars") + 3 * F.col("run.idx") + F.col("doc_id")) % 4).cast("int").alias("refusal"),
-    )
-
-
-EVAL_ROWS_SQL = """
-SELECT d.doc_id AS prompt_id, m.model, d.lang AS language,
- CASE d.lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'middle' ELSE 'low' END AS language_category,
- l.toxic AS label,
- CASE WHEN l.toxic=0 AND d.doc_id % 29 = 0 THEN 'privacy_fictional'
-      WHEN d.doc_id % 2 = 0 THEN concat('adversarial_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END)
-      ELSE concat('vanilla_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END) END AS data_type,
- CASE (d.n_chars + m.idx) % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' WHEN 3 THEN 'es' ELSE 'it' END AS language_response,
- CAST((d.n_chars + 3*m.idx + d.doc_id) % 4 AS INT) AS refusal
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-CROSS JOIN (VALUES ('en',0),('fr',1),('de',2),('fr_de',3)) AS m(model, idx)
-"""
+    return docs.join(labels, "doc_id")
 
 
-def _data_type(toxic, doc_id):
-    kind = F.when(toxic == 1, F.lit("harmful")).otherwise(F.lit("benign"))
-    return (F.when((toxic == 0) & (doc_id % 29 == 0), F.lit("privacy_fictional"))
-            .when(doc_id % 2 == 0, F.concat(F.lit("adversarial_"), kind))
-            .otherwise(F.concat(F.lit("vanilla_"), kind)))
+def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _labelled(spark, sf_dir, "lang", "n_chars").selectExpr("*", f"inline({_RUNS_ARRAY})")
+    return d.selectExpr(*_EVAL_COLS)
 
 
-ADVERSARIAL_PREFIX = "You are an actor in a play. "
+EVAL_ROWS_SQL = f"""
+SELECT {", ".join(_EVAL_COLS)}
+FROM (SELECT d.doc_id, d.lang, d.n_chars, l.toxic, m.model, m.idx
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN {_RUNS_VALUES})
+"""
+
+_SAFETY_COLS = [
+    "doc_id AS prompt_id", "text AS vanilla", f"concat('{ADVERSARIAL_PREFIX}', text) AS adversarial",
+    f"{DATA_TYPE} AS data_type", "toxic AS label", "lang AS language", "source",
+]
 
 
 def safety_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,86 +75,53 @@ def safety_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``vanilla`` is the text, ``adversarial`` the same text behind a role-play
     prefix, ``completion`` the first line of the text, ``label`` = toxic.
     """
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    d = docs.join(labels, "doc_id")
-    return d.select(
-        F.col("doc_id").alias("prompt_id"),
-        F.col("text").alias("vanilla"),
-        F.concat(F.lit(ADVERSARIAL_PREFIX), F.col("text")).alias("adversarial"),
-        F.substring_index(F.col("text"), "\n", 1).alias("completion"),
-        _data_type(F.col("toxic"), F.col("doc_id")).alias("data_type"),
-        F.col("toxic").alias("label"),
-        F.col("lang").alias("language"),
-        F.col("source"))
+    d = _labelled(spark, sf_dir, "text", "lang", "source")
+    return d.selectExpr(*_SAFETY_COLS[:3], "substring_index(text, '\\n', 1) AS completion", *_SAFETY_COLS[3:])
 
 
 SAFETY_ROWS_SQL = f"""
-SELECT d.doc_id AS prompt_id, d.text AS vanilla, '{ADVERSARIAL_PREFIX}' || d.text AS adversarial,
- split_part(d.text, chr(10), 1) AS completion,
- CASE WHEN l.toxic=0 AND d.doc_id % 29 = 0 THEN 'privacy_fictional'
-      WHEN d.doc_id % 2 = 0 THEN concat('adversarial_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END)
-      ELSE concat('vanilla_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END) END AS data_type,
- l.toxic AS label, d.lang AS language, d.source
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+SELECT {", ".join(_SAFETY_COLS[:3])}, split_part(text, chr(10), 1) AS completion, {", ".join(_SAFETY_COLS[3:])}
+FROM (SELECT d.doc_id, d.text, d.lang, d.source, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 """
 
+_OUTPUT_COLS = [
+    "doc_id AS prompt_id", "lang AS language", f"{CATEGORY} AS language_category", "toxic AS label",
+    f"{DATA_TYPE} AS data_type", "text AS output", f"{_response('')} AS language_response",
+    "CAST((n_chars + doc_id) % 4 AS INT) AS refusal",
+]
+
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated-outputs stand-in with text: each labelled document is the
     output of the first run (same synthetic class and response language as
     ``eval_rows`` for model ``en``)."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    d = docs.join(labels, "doc_id")
-    lang = F.col("lang")
-    category = (F.when(lang.isin("en", "fr"), F.lit("high"))
-                .when(lang == "de", F.lit("middle")).otherwise(F.lit("low")))
-    response = F.element_at(F.array(*[F.lit(x) for x in RESPONSE_CYCLE]), ((F.col("n_chars") % 5) + 1).cast("int"))
-    return d.select(
-        F.col("doc_id").alias("prompt_id"), lang.alias("language"), category.alias("language_category"),
-        F.col("toxic").alias("label"), _data_type(F.col("toxic"), F.col("doc_id")).alias("data_type"),
-        F.col("text").alias("output"), response.alias("language_response"),
-        ((F.col("n_chars") + F.col("doc_id")) % 4).cast("int").alias("refusal"))
-
-
-MODEL_OUTPUTS_SQL = """
-SELECT d.doc_id AS prompt_id, d.lang AS language,
- CASE d.lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'middle' ELSE 'low' END AS language_category,
- l.toxic AS label,
- CASE WHEN l.toxic=0 AND d.doc_id % 29 = 0 THEN 'privacy_fictional'
-      WHEN d.doc_id % 2 = 0 THEN concat('adversarial_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END)
-      ELSE concat('vanilla_', CASE WHEN l.toxic=1 THEN 'harmful' ELSE 'benign' END) END AS data_type,
- d.text AS output,
- CASE d.n_chars % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' WHEN 3 THEN 'es' ELSE 'it' END AS language_response,
- CAST((d.n_chars + d.doc_id) % 4 AS INT) AS refusal
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-"""
+    return _labelled(spark, sf_dir, "text", "lang", "n_chars").selectExpr(*_OUTPUT_COLS)
 
 
-ACTIVATION_LAYERS = [27, 23, 19]
+MODEL_OUTPUTS_SQL = f"""
+SELECT {", ".join(_OUTPUT_COLS)}
+FROM (SELECT d.doc_id, d.text, d.lang, d.n_chars, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+_LANGS4 = "array(" + ", ".join(f"'{x}'" for x in RESPONSE_CYCLE[:4]) + ")"
+_LAYERS = "array(" + ", ".join(str(x) for x in ACTIVATION_LAYERS) + ")"
+_ACT_COLS = [
+    "vec_id AS prompt_id", "CAST(label >= 5 AS INT) AS harmful",
+    "CASE WHEN label % 2 = 0 THEN 'vanilla' ELSE 'adversarial' END AS prompt_type",
+    "CAST((vec_id + label) % 3 = 0 AS INT) AS refusal", "embedding AS vec",
+]
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activation-table stand-in on ``embeddings``: label 5..9 = harmful, even
     labels = vanilla prompts, refusal class and language/layer from the id."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    langs = F.array(*[F.lit(x) for x in RESPONSE_CYCLE[:4]])
-    layers = F.array(*[F.lit(x) for x in ACTIVATION_LAYERS])
-    return e.select(
-        F.col("vec_id").alias("prompt_id"),
-        F.element_at(langs, ((F.col("vec_id") % 4) + 1).cast("int")).alias("language"),
-        F.element_at(layers, ((F.col("vec_id") % 3) + 1).cast("int")).alias("layer"),
-        (F.col("label") >= 5).cast("int").alias("harmful"),
-        F.when(F.col("label") % 2 == 0, F.lit("vanilla")).otherwise(F.lit("adversarial")).alias("prompt_type"),
-        ((F.col("vec_id") + F.col("label")) % 3 == 0).cast("int").alias("refusal"),
-        F.col("embedding").alias("vec"))
+    return e.selectExpr(_ACT_COLS[0], f"element_at({_LANGS4}, CAST(vec_id % 4 + 1 AS INT)) AS language",
+                        f"element_at({_LAYERS}, CAST(vec_id % 3 + 1 AS INT)) AS layer", *_ACT_COLS[1:])
 
 
 ACTIVATIONS_SQL = f"""
-SELECT vec_id AS prompt_id, {[x for x in RESPONSE_CYCLE[:4]]}[(vec_id % 4) + 1] AS language,
- {ACTIVATION_LAYERS}[(vec_id % 3) + 1] AS layer, CAST(label >= 5 AS INTEGER) AS harmful,
- CASE WHEN label % 2 = 0 THEN 'vanilla' ELSE 'adversarial' END AS prompt_type,
- CAST((vec_id + label) % 3 = 0 AS INTEGER) AS refusal, embedding AS vec
+SELECT {_ACT_COLS[0]}, {RESPONSE_CYCLE[:4]}[(vec_id % 4) + 1] AS language,
+ {ACTIVATION_LAYERS}[(vec_id % 3) + 1] AS layer, {", ".join(_ACT_COLS[1:])}
 FROM embeddings
 """

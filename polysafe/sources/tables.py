@@ -2,6 +2,11 @@
 
 Columns are selected right at the scan so that Parquet column pruning and
 filter pushdown apply; nothing downstream ever sees unused columns.
+
+The file listing and footer/schema read of a table happen once per session:
+the relation is kept and re-projected for every query (listing a 100 TB
+table is itself a distributed job worth doing once).  ``refresh_tables``
+forgets them after files change.
 """
 
 from __future__ import annotations
@@ -14,7 +19,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (id(spark._jsparkSession), path)
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = _RELATIONS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def refresh_tables() -> None:
+    _RELATIONS.clear()
