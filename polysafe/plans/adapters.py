@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polysafe.session import ensure_parallel
 from polysafe.sources.tables import read_table
 
 # Fixed values of the adapter: model runs and their index, response cycle.
@@ -48,6 +49,9 @@ _RUNS_ARRAY = "array(" + ", ".join(f"named_struct('model', '{m}', 'idx', {i})" f
 
 def _labelled(spark: SparkSession, sf_dir: str, *doc_cols: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", *doc_cols)
+    if "text" in doc_cols:
+        # whole texts feed regexes and Arrow UDFs downstream: keep every core busy
+        docs = ensure_parallel(docs)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
     return docs.join(labels, "doc_id")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from polysafe.dims import FIXTURE_LANGUAGES as DIM
 from polysafe.operators import analysis, metrics
 from polysafe.plans.adapters import eval_rows
-from polysafe.session import cut_lineage
+from polysafe.session import cut_lineage, ensure_parallel
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -306,7 +306,7 @@ from polysafe.plans.adapters import model_outputs  # noqa: E402
 
 
 def assistant_turns(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    c = ensure_parallel(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("output"))
 
 

@@ -21,8 +21,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Model calls see batches of this size (translation batch of the study).
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -103,3 +101,17 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(id(sc))
+
+
+def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread row-heavy work over the cluster when the scan yields too few splits.
+
+    Large inputs arrive in thousands of file splits and are left alone (no
+    extra shuffle).  A table stored as one big row group is read by a single
+    task; before CPU-heavy per-row work (regexes, Arrow UDFs over long texts)
+    it is dealt round-robin to ``defaultParallelism`` partitions.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
