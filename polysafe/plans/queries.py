@@ -653,3 +653,29 @@ def q_layer_sweep(spark, sf_dir):
                                   "language string, layer int, accuracy double, auc double")
         out = m if out is None else out.unionByName(m)
     return out
+
+
+@register("translated_refusal_matrix")
+def q_translated_refusal_matrix(spark, sf_dir):
+    """The translated variant end to end: clean -> normalise -> translate the
+    low/middle-resource non-English answers -> re-score -> rephrase override ->
+    dense refusal matrix on ``refusal_without_rephrase``."""
+    o = normalized_outputs(spark, sf_dir)
+    r = scoring.rescore_translated(scoring.translate_selected(o))
+    r = scoring.without_rephrase(r).withColumn("model", F.lit("en"))
+    return metrics.refusal_matrix(metrics.with_prompt_type(r), DIM, class_col="refusal_without_rephrase")
+
+
+@register("html_decode")
+def q_html_decode(spark, sf_dir):
+    """Entity decoding of whole raw pages (Arrow UDF; no SQL counterpart)."""
+    p = ensure_parallel(read_table(spark, sf_dir, "pages", "page_id", "html"))
+    d = p.select("page_id", tx.html_unescape(F.col("html")).alias("decoded"))
+    return d.select("page_id", F.length("decoded").alias("decoded_chars"),
+                    F.col("decoded").contains("&amp;").alias("has_amp_entity"))
+
+
+@register("probe_metrics_svm")
+def q_probe_metrics_svm(spark, sf_dir):
+    """The linear-SVM probe option (margin scores, no Platt scaling)."""
+    return probe_metrics_frame(spark, _projection(spark, sf_dir), kind="svm")
