@@ -133,7 +133,7 @@ def fit_probe(df: DataFrame, features: Sequence[str], label: str, kind: str = "l
     n = data.count()
     if kind == "logistic":
         est = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1),
-                                 elasticNetParam=0.0, standardization=False, tol=1e-10, family="binomial")
+                                 elasticNetParam=0.0, standardization=False, tol=1e-7, family="binomial")
     elif kind == "svm":
         # hinge loss has no smooth optimum for OWL-QN to polish; every
         # iteration is a distributed pass, so the option is capped at 25

@@ -610,7 +610,9 @@ def probe_metrics_frame(spark, p: DataFrame, kind: str = "logistic") -> DataFram
     floats per probe) reach the driver.
     """
     rows = []
-    p = p.withColumn("form", (F.col("prompt_type") == "adversarial").cast("int"))
+    # the projection is re-read by 7 x (fit iterations + metrics): materialise it once
+    p = cut_lineage(p.select("prompt_type", "harmful", "refusal", "x", "y")
+                    .withColumn("form", (F.col("prompt_type") == "adversarial").cast("int")))
     for scope, target in PROBE_TARGETS:
         s = p if scope == "all" else p.where(F.col("prompt_type") == scope)
         s = vx.standardize(s, ["x", "y"])
@@ -645,8 +647,8 @@ def q_layer_sweep(spark, sf_dir):
     for lang, layer in keys:
         fit = a.where((F.col("language") == "en") & (F.col("layer") == layer))
         app = a.where((F.col("language") == lang) & (F.col("layer") == layer))
-        pr = vx.pca_fit_apply(fit, app, "vec", 2).select(
-            "harmful", "prompt_type", "refusal", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+        pr = cut_lineage(vx.pca_fit_apply(fit, app, "vec", 2).select(
+            "harmful", "prompt_type", "refusal", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y")))
         s = vx.standardize(pr, ["x", "y"])
         model, pred = vx.fit_probe(s, ["x_std", "y_std"], "harmful")
         m = spark.createDataFrame([(lang, layer, float(vx.accuracy(pred)), float(vx.auc_evaluator(pred)))],
