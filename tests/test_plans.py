@@ -14,7 +14,8 @@ def _plan(df):
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n not in
-                                  {"probe_metrics", "layer_sweep", "decision_grid", "pca_projection", "standardize_2d"}])
+                                  {"probe_metrics", "probe_metrics_svm", "layer_sweep", "decision_grid",
+                                   "pca_projection", "standardize_2d"}])
 def test_no_cartesian_products(spark, name):
     p = _plan(QUERIES[name](spark, SF01))
     assert "CartesianProduct" not in p
