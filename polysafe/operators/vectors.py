@@ -22,6 +22,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polysafe.session import cut_lineage
+
 EPS = 1e-8
 
 
@@ -168,8 +170,11 @@ def cumulative_before(df: DataFrame, order: str, value: str, n_parts: int) -> Da
     Range partitioning gives ordered slices; each slice is summed locally and
     shifted by the total of the slices before it (one row per partition).
     ``order`` must be unique (e.g. distinct scores).
+
+    The slice ids are materialised (reliable checkpoint) before they are used
+    twice: two independent range exchanges could sample different bounds.
     """
-    r = df.repartitionByRange(n_parts, order).withColumn("_pid", F.spark_partition_id())
+    r = cut_lineage(df.repartitionByRange(n_parts, order).withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     totals = r.groupBy("_pid").agg(F.sum(value).alias("_t"))
