@@ -152,6 +152,11 @@ def score_points(scores: DataFrame) -> DataFrame:
     ).dropna(subset=["x", "y"])
 
 
+def dimension_order(language: Column, dim: LanguageDim) -> Column:
+    """Position of a language in the dimension's order (high, then middle, then low)."""
+    return dim.ord_col(language)
+
+
 def composition_order(model: Column, order: Sequence[str] = COMPOSITIONS) -> Column:
     """Listed compositions first in list order, then the others (by name)."""
     pos = F.array_position(F.array(*[F.lit(c) for c in order]), model)

@@ -133,9 +133,11 @@ def refusal_wide(matrix: DataFrame, dim: LanguageDim, run_keys: Sequence[str] =
     """
     run_keys = list(run_keys)
     long = matrix.unpivot([*run_keys, "language", "language_response"], PCT_COLS, "metric", "pct")
-    return (long.groupBy(*run_keys, "metric", "language")
+    wide = (long.groupBy(*run_keys, "metric", "language")
             .pivot("language_response", dim.response_codes())
             .agg(F.first("pct")))
+    # rows in the dimension's order (high -> middle -> low); a sort of a few hundred rows at the sink
+    return wide.orderBy(*run_keys, "metric", dim.ord_col(F.col("language")))
 
 
 def totals(cells: DataFrame, run_keys: Sequence[str] = ("model", "prompt_type")) -> DataFrame:

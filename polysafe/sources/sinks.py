@@ -55,3 +55,8 @@ def write_nested_json(df: DataFrame, path: str, keys: Sequence[str], json_col: s
 
 def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Append new partitions (e.g. newly scored run files) to a table."""
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
