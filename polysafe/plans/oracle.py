@@ -159,7 +159,7 @@ GROUP BY model, prompt_type""")
 # --- sampling and corpora -------------------------------------------------
 from polysafe.dims import PROMPT_TEMPLATE, SUBSET_LANGUAGES  # noqa: E402
 from polysafe.plans import queries as _q  # noqa: E402
-from polysafe.plans.adapters import ADVERSARIAL_PREFIX, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL  # noqa: E402
+from polysafe.plans.adapters import MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL  # noqa: E402
 
 
 def _h(key: str, seed: int = 42) -> str:
@@ -416,8 +416,7 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_generated, CAST(coalesce(list_sum(
 
 # --- chat, language sets, nested scores, profiles ------------------------
 from polysafe.dims import HARD_LANGUAGES, STUDY_LANGUAGES  # noqa: E402
-from polysafe.functions.chat import (GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM,  # noqa: E402
-                                     TRANSLATION_SYSTEM_PROMPT)
+from polysafe.functions.chat import GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM  # noqa: E402
 
 
 def _tmpl(template: str, **cols: str) -> str:
