@@ -67,8 +67,9 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
 
     ``bucket`` (0..N_BUCKETS-1) must be monotone in ``order``.  ``k`` is a
     literal, a Column over the group keys (or a scalar subquery), or a
-    DataFrame ``(groups..., k)``.  Groups with fewer than ``k`` rows are kept
-    whole.  Without groups the cut point is a scalar subquery (no join).
+    DataFrame ``(groups..., k)`` (groups missing from it get no rows).
+    Groups with fewer than ``k`` rows are kept whole.  Without groups the
+    cut point is a scalar subquery (no join).
     """
     groups = list(groups)
     d = df.withColumn("_b", bucket)
@@ -79,18 +80,23 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
         hist = hist.withColumn("_k", k if isinstance(k, Column) else F.lit(k))
     cw = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_n").over(cw))
-    cut = hist.where(F.col("_cum") >= F.col("_k")).groupBy(*groups).agg(
-        F.min("_b").alias("_cut"),
-        F.min_by(F.col("_k") - (F.col("_cum") - F.col("_n")), F.col("_b")).alias("_need"))
+    # Cut bucket = first bucket whose running count reaches k; a group smaller
+    # than k is kept whole (cut past the last bucket); a group without quota
+    # has no cut row and is dropped by the inner join below.
+    reach = F.col("_cum") >= F.col("_k")
+    first = F.min(F.when(reach, F.struct(F.col("_b").alias("b"),
+                                         (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("need"))))
+    cut = hist.groupBy(*groups).agg(first.alias("_first")).select(
+        *groups, F.coalesce(F.col("_first.b"), F.lit(N_BUCKETS)).alias("_cut"), F.col("_first.need").alias("_need"))
     if groups:
         # ``cut`` has one row per group; AQE broadcasts it when its runtime size allows.
-        j = d.join(cut, groups, "left")
+        j = d.join(cut, groups)
     else:
         j = d.withColumn("_cut", cut.select("_cut").scalar()).withColumn("_need", cut.select("_need").scalar())
-    j = j.where(F.col("_cut").isNull() | (F.col("_b") <= F.col("_cut")))
+    j = j.where(F.col("_b") <= F.col("_cut"))
     rn = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order))
     j = j.withColumn("_rn", rn)
-    keep = F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_need"))
+    keep = (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_need"))
     return j.where(keep).drop("_b", "_cut", "_need", "_rn")
 
 

@@ -83,3 +83,10 @@ def test_split_subsets_disjoint_by_text(spark_session_for_hypothesis, n_safety,
         for j in range(i + 1, len(subsets)):
             assert not (texts[subsets[i]] & texts[subsets[j]])
     assert len(out) <= c.count()
+
+
+def test_first_k_quota_edges(spark, skewed):
+    k = spark.createDataFrame([("g1", 10_000), ("g2", 0)], "g string, k long")
+    out = sampling.first_k_by_hash(skewed, ["g"], k, "id").groupBy("g").count().collect()
+    got = {r["g"]: r["count"] for r in out}
+    assert got == {"g1": skewed.where("g = 'g1'").count()}  # whole group; g2 quota 0; others no quota
