@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polysafe.session import join_checked
+
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles of a discrete column per group."""
@@ -45,11 +47,11 @@ def text_profile(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
         F.count(F.lit(1)).alias("unique"), F.sum("_cnt").alias("count"),
         F.min_by(F.col("_tk"), F.struct(-F.col("_cnt"), F.col("_tk"))).alias("_top_tk"),
         F.max("_cnt").alias("freq"))
-    # One winning digest per group: AQE turns this semi-join into a broadcast
-    # when the (runtime-measured) winner table is small, as it is per language.
+    # One winning digest per group, broadcast after a size check: texts are
+    # filtered map-side and never shuffled.
     winners = best.select(*groups, "_top_tk")
-    top = df.select(*groups, F.col(text).alias("top"), F.sha2(F.col(text), 256).alias("_top_tk")) \
-        .join(winners, [*groups, "_top_tk"], "left_semi") \
+    cand = df.select(*groups, F.col(text).alias("top"), F.sha2(F.col(text), 256).alias("_top_tk"))
+    top = join_checked(cand, winners, [*groups, "_top_tk"], "left_semi") \
         .groupBy(*groups).agg(F.min("top").alias("top"))
     return best.join(top, groups, "left").select(*groups, "count", "unique", "top", "freq")
 

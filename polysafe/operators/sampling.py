@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polysafe.dims import SEED
+from polysafe.session import join_checked
 
 N_BUCKETS = 65536
 
@@ -35,8 +36,10 @@ def hash_order(key: Column | str, seed: int = SEED) -> Column:
 
 
 def hash_bucket(h: Column) -> Column:
-    """First 16 bits of the md5 hex digest: monotone in hash order."""
-    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
+    """First 16 bits of the md5 hex digest (four hex digits): monotone in hash order."""
+    def digit(i: int) -> Column:
+        return F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+    return ((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)
 
 
 def _rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> Column:
@@ -61,20 +64,26 @@ def sample_per_group(df: DataFrame, groups: Sequence[str], n: int, key: str, see
     return out
 
 
-def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, order: Sequence[Column],
-            bucket: Column) -> DataFrame:
+def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int | None, order: Sequence[Column],
+            bucket: Column, fraction: float | None = None, rounding: str = "floor") -> DataFrame:
     """Exactly the first ``k`` rows of every group in ``order``.
 
     ``bucket`` (0..N_BUCKETS-1) must be monotone in ``order``.  ``k`` is a
     literal, a Column over the group keys (or a scalar subquery), or a
     DataFrame ``(groups..., k)`` (groups missing from it get no rows).
     Groups with fewer than ``k`` rows are kept whole.  Without groups the
-    cut point is a scalar subquery (no join).
+    cut point is a scalar subquery (no join).  With ``fraction`` instead of
+    ``k``, the quota ``floor``/``ceil(count * fraction)`` is taken from the
+    histogram itself (no separate counting pass).
     """
     groups = list(groups)
     d = df.withColumn("_b", bucket)
     hist = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(k, DataFrame):
+    if fraction is not None:
+        total = F.sum("_n").over(Window.partitionBy(*groups))
+        rnd = F.floor if rounding == "floor" else F.ceil
+        hist = hist.withColumn("_k", rnd(total * F.lit(fraction)).cast("long"))
+    elif isinstance(k, DataFrame):
         hist = hist.join(k.select(*groups, F.col("k").alias("_k")), groups)
     else:
         hist = hist.withColumn("_k", k if isinstance(k, Column) else F.lit(k))
@@ -89,8 +98,9 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
     cut = hist.groupBy(*groups).agg(first.alias("_first")).select(
         *groups, F.coalesce(F.col("_first.b"), F.lit(N_BUCKETS)).alias("_cut"), F.col("_first.need").alias("_need"))
     if groups:
-        # ``cut`` has one row per group; AQE broadcasts it when its runtime size allows.
-        j = d.join(cut, groups)
+        # one row per group: broadcast after a size check, so the rows are
+        # never shuffled (nor skewed) by the group key
+        j = join_checked(d, cut, groups)
     else:
         j = d.withColumn("_cut", cut.select("_cut").scalar()).withColumn("_need", cut.select("_need").scalar())
     j = j.where(F.col("_b") <= F.col("_cut"))
@@ -100,17 +110,18 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int, o
     return j.where(keep).drop("_b", "_cut", "_need", "_rn")
 
 
-def first_k_by_hash(df: DataFrame, groups: Sequence[str], k, key: str, seed: int = SEED) -> DataFrame:
+def first_k_by_hash(df: DataFrame, groups: Sequence[str], k, key: str, seed: int = SEED,
+                    fraction: float | None = None, rounding: str = "floor") -> DataFrame:
     h = hash_order(key, seed)
     d = df.withColumn("_h", h)
-    return first_k(d, groups, k, [F.col("_h"), F.col(key)], hash_bucket(F.col("_h"))).drop("_h")
+    return first_k(d, groups, k, [F.col("_h"), F.col(key)], hash_bucket(F.col("_h")), fraction, rounding).drop("_h")
 
 
 def first_k_by_key(df: DataFrame, groups: Sequence[str], k, key: str) -> DataFrame:
     """First ``k`` rows per group in key (input) order; buckets from the per-group key range."""
     groups = list(groups)
     rng = df.groupBy(*groups).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    d = df.join(rng, groups)
+    d = join_checked(df, rng, groups)
     width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
     b = F.least(F.floor((F.col(key) - F.col("_lo")).cast("double") * N_BUCKETS / width), F.lit(N_BUCKETS - 1)).cast("int")
     return first_k(d, groups, k, [F.col(key)], b).drop("_lo", "_hi")
@@ -123,14 +134,13 @@ def group_quota(df: DataFrame, groups: Sequence[str], fraction: float, how: str
 
 
 def sample_fraction(df: DataFrame, groups: Sequence[str], fraction: float, key: str, seed: int = SEED) -> DataFrame:
-    """``int(count * p)`` rows per group (W3)."""
-    return first_k_by_hash(df, groups, group_quota(df, groups, fraction), key, seed)
+    """``int(count * p)`` rows per group (W3); the quota comes from the histogram."""
+    return first_k_by_hash(df, groups, None, key, seed, fraction=fraction)
 
 
 def sample_ceil(df: DataFrame, ratio: float, key: str, seed: int = SEED) -> DataFrame:
-    """``ceil(count * ratio)`` rows of the whole frame (W6); the quota is a scalar subquery."""
-    k = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(ratio)).cast("long")).scalar()
-    return first_k_by_hash(df, [], k, key, seed)
+    """``ceil(count * ratio)`` rows of the whole frame (W6); the cut is a scalar subquery."""
+    return first_k_by_hash(df, [], None, key, seed, fraction=ratio, rounding="ceil")
 
 
 def sample_global(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polysafe.session import cut_lineage
+from polysafe.session import cut_lineage, join_checked
 
 EPS = 1e-8
 
@@ -198,7 +198,7 @@ def auc_rank(df: DataFrame, score: str, label: str, group: str, n_parts: int = 6
     c = cumulative_before(g, "_ord", "_neg", n_parts)
     # negatives before the group's first score are subtracted per group
     start = c.groupBy(group).agg(F.min("_before").alias("_start"))
-    c = c.join(start, group)
+    c = join_checked(c, start, group)
     per = c.groupBy(group).agg(
         F.sum(F.col("_pos") * ((F.col("_before") - F.col("_start")) + F.col("_neg") / 2.0)).alias("_num"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))

@@ -115,3 +115,23 @@ def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFra
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+# A side of at most this many rows is broadcast after its size is checked.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join against a derived side whose size is checked, not assumed.
+
+    The side (one row per group, per winner, ...) is materialised first
+    (reliable checkpoint) and counted; within ``max_rows`` it is broadcast,
+    so the big side is neither shuffled nor skewed by the join key; beyond
+    it the join is left to a regular shuffle join.
+    """
+    from pyspark.sql import functions as F
+
+    small = cut_lineage(small)
+    n = small.count()
+    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
