@@ -111,9 +111,11 @@ def split_subsets(corpus: DataFrame, n_safety: int, fraction: float, key: str =
         i = sampling.first_k_by_hash(df.where(F.col("safety") == 0), ["category"], instr_quota, key)
         return s.unionByName(i)
 
-    d1 = draw(base)
+    # each draw is read by the next anti-join and by the result: materialise it
+    keep = cut_lineage if materialize else (lambda df: df)
+    d1 = keep(draw(base))
     rest1 = remove_drawn(base, d1)
-    d2 = draw(rest1)
+    d2 = keep(draw(rest1))
     rest2 = remove_drawn(rest1, d2)
     arr = lambda langs: F.array(*[F.lit(x) for x in langs])
     out = (d1.withColumn("lg_subset", arr(subsets[0]))
