@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from polysafe.dims import COMPOSITIONS
-from polysafe.plans.adapters import FIXTURE_RUNS
-from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_EVAL, CTE_MATRIX, CTE_TOTALS, CTE_TYPED, DIM, LANG_DIM_SQL, harmonic,
+from polysafe.dims import (ARABIC_DIALECTS, COMPOSITIONS, HARD_LANGUAGES, ISO_CODES, PROMPT_TEMPLATE,
+                           REFERENCE_REFUSALS, STUDY_LANGUAGES, SUBSET_LANGUAGES)
+from polysafe.functions.chat import GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM
+from polysafe.functions.text import DELETE_MARKERS, SKIP_SEGMENTS, normalize_py
+from polysafe.plans import queries as _q
+from polysafe.plans.adapters import ACTIVATIONS_SQL, FIXTURE_RUNS, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL
+from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_CELLS, CTE_DEN, CTE_EVAL, CTE_MATRIX,
+                                        CTE_TOTALS, CTE_TYPED, DIM, LANG_DIM_SQL, harmonic, partial_cte,
                                         with_chain)
 
 ORACLE: dict[str, str] = {}
@@ -157,9 +162,6 @@ GROUP BY model, prompt_type""")
 
 
 # --- sampling and corpora -------------------------------------------------
-from polysafe.dims import PROMPT_TEMPLATE, SUBSET_LANGUAGES  # noqa: E402
-from polysafe.plans import queries as _q  # noqa: E402
-from polysafe.plans.adapters import MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL  # noqa: E402
 
 
 def _h(key: str, seed: int = 42) -> str:
@@ -313,8 +315,6 @@ FROM picked p CROSS JOIN {LANG_DIM_SQL}"""
 
 
 # --- text functions and scoring ------------------------------------------
-from polysafe.dims import ARABIC_DIALECTS, ISO_CODES, REFERENCE_REFUSALS  # noqa: E402
-from polysafe.functions.text import DELETE_MARKERS, SKIP_SEGMENTS, normalize_py  # noqa: E402
 
 _WS = r"[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARK_RE = r'(</think>|<think>|<\|user_end\|>|<\|assistant_start\|>|"<end_of_turn>"|"<\|im_end\|>")'
@@ -415,8 +415,6 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_generated, CAST(coalesce(list_sum(
 
 
 # --- chat, language sets, nested scores, profiles ------------------------
-from polysafe.dims import HARD_LANGUAGES, STUDY_LANGUAGES  # noqa: E402
-from polysafe.functions.chat import GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM  # noqa: E402
 
 
 def _tmpl(template: str, **cols: str) -> str:
@@ -513,7 +511,6 @@ FROM eval_rows GROUP BY model, label"""
 
 
 # --- vector analytics -----------------------------------------------------
-from polysafe.plans.adapters import ACTIVATIONS_SQL  # noqa: E402
 
 _DIR = f"""a AS ({ACTIVATIONS_SQL}),
 m AS (SELECT harmful, i, avg(CAST(x AS DOUBLE)) AS mu FROM (
@@ -549,7 +546,6 @@ SELECT prompt_type, count_if(harmful = 1) AS n_pos, count_if(harmful = 0) AS n_n
   / (count_if(harmful = 1) * count_if(harmful = 0)), 6) + 0.0) AS auc
 FROM r GROUP BY prompt_type"""
 
-from polysafe.plans.oracle_base import CTE_DEN, CTE_CELLS, partial_cte  # noqa: E402
 
 ORACLE["translated_refusal_matrix"] = f"""WITH {_OUT},
 t AS (SELECT *, CASE WHEN {_NEEDS} THEN output_clean END AS output_translated FROM n),

@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polysafe.dims import FIXTURE_LANGUAGES as DIM
-from polysafe.operators import analysis, metrics
-from polysafe.plans.adapters import eval_rows
+from polysafe.dims import HARD_LANGUAGES, LANGUAGE_DRAW_SEED, STUDY_LANGUAGES
+from polysafe.functions import chat
+from polysafe.functions import text as tx
+from polysafe.functions.scores import display_round, resource_class
+from polysafe.operators import analysis, corpus, metrics, profile, sampling, scoring
+from polysafe.operators import vectors as vx
+from polysafe.plans.adapters import activations, eval_rows, model_outputs, safety_rows
 from polysafe.session import cut_lineage, ensure_parallel
+from polysafe.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -160,9 +166,6 @@ def q_in_out_keys_wide(spark, sf_dir):
 
 
 # --- sampling and corpora -------------------------------------------------
-from polysafe.operators import corpus, sampling  # noqa: E402
-from polysafe.plans.adapters import safety_rows  # noqa: E402
-from polysafe.sources.tables import read_table  # noqa: E402
 
 SAMPLE_N = 5
 QUOTA_N, PROP_BENIGN = 20, 0.5
@@ -300,9 +303,6 @@ def q_complete_harmless(spark, sf_dir):
 
 
 # --- text functions and scoring ------------------------------------------
-from polysafe.functions import text as tx  # noqa: E402
-from polysafe.operators import scoring  # noqa: E402
-from polysafe.plans.adapters import model_outputs  # noqa: E402
 
 
 def assistant_turns(spark, sf_dir):
@@ -413,10 +413,6 @@ def q_token_id_filter(spark, sf_dir):
 
 
 # --- chat, language sets, nested scores, profiles ------------------------
-from polysafe.dims import (HARD_LANGUAGES, LANGUAGE_DRAW_SEED, STUDY_LANGUAGES)  # noqa: E402
-from polysafe.functions import chat  # noqa: E402
-from polysafe.functions.scores import display_round, resource_class  # noqa: E402
-from polysafe.operators import profile  # noqa: E402
 
 
 def pairs(spark, sf_dir):
@@ -533,8 +529,6 @@ def q_class_counts(spark, sf_dir):
 
 
 # --- vector analytics -----------------------------------------------------
-from polysafe.operators import vectors as vx  # noqa: E402
-from polysafe.plans.adapters import activations  # noqa: E402
 
 PATCH_COEFF, ADD_COEFF = 2.0, 0.5
 
