@@ -17,6 +17,8 @@ identity ("repeat the input if you cannot translate").
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -78,20 +80,24 @@ _STOPWORDS = {
     "deu_Latn": {"der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "mit", "den", "von", "sich"},
     "spa_Latn": {"el", "los", "las", "y", "de", "que", "es", "un", "una", "por", "para", "con", "del"},
 }
-_SCRIPTS = [("arb_Arab", 0x0600, 0x06FF), ("ell_Grek", 0x0370, 0x03FF), ("mkd_Cyrl", 0x0400, 0x04FF),
-            ("ben_Beng", 0x0980, 0x09FF), ("lao_Laoo", 0x0E80, 0x0EFF), ("jpn_Jpan", 0x3040, 0x30FF),
-            ("zho_Hans", 0x4E00, 0x9FFF)]
+_SCRIPTS = [("arb_Arab", "\u0600-\u06ff"), ("ell_Grek", "\u0370-\u03ff"), ("mkd_Cyrl", "\u0400-\u04ff"),
+            ("ben_Beng", "\u0980-\u09ff"), ("lao_Laoo", "\u0e80-\u0eff"), ("jpn_Jpan", "\u3040-\u30ff"),
+            ("zho_Hans", "\u4e00-\u9fff")]
+_SCRIPT_RES = [(label, re.compile(f"[{rng}]")) for label, rng in _SCRIPTS]
+_WORD = re.compile(r"\w+")
 
 
 def _identify(text) -> str | None:
+    """Script majority first, then the stop-word vote over all words of the text."""
     if text is None or not str(text).strip():
         return None
     t = str(text)
-    for label, lo, hi in _SCRIPTS:
-        if sum(1 for ch in t if lo <= ord(ch) <= hi) * 2 > len(t):
-            return label
-    words = [w.strip(".,;:!?\"'()").lower() for w in t.split()]
-    scores = {lab: sum(1 for w in words if w in sw) for lab, sw in _STOPWORDS.items()}
+    if not t.isascii():
+        for label, rx in _SCRIPT_RES:
+            if len(rx.findall(t)) * 2 > len(t):
+                return label
+    counts = Counter(_WORD.findall(t.lower()))
+    scores = {lab: sum(counts[w] for w in sw) for lab, sw in _STOPWORDS.items()}
     best = max(scores.items(), key=lambda kv: (kv[1], kv[0]))
     return best[0] if best[1] > 0 else None
 
