@@ -52,11 +52,15 @@ def delete_markers(c: Column) -> Column:
 
 
 def first_segment(text: Column) -> Column:
-    """First useful segment of a model output; none (or null input) -> one space."""
-    segs = F.split(text, SPLIT_BEFORE)
+    """First useful segment of a model output; none (or null input) -> one space.
+
+    Each segment is stripped once (kept next to the original, from which the
+    markers are then deleted).
+    """
+    segs = F.transform(F.split(text, SPLIT_BEFORE), lambda s: F.struct(s.alias("raw"), py_strip(s).alias("stripped")))
     skip = F.array(*[F.lit(s) for s in SKIP_SEGMENTS])
-    useful = F.filter(segs, lambda s: (F.length(py_strip(s)) > 0) & ~F.array_contains(skip, py_strip(s)))
-    chosen = F.get(useful, 0)
+    useful = F.filter(segs, lambda s: (F.length(s["stripped"]) > 0) & ~F.array_contains(skip, s["stripped"]))
+    chosen = F.get(useful, 0)["raw"]
     return F.coalesce(py_strip(delete_markers(chosen)), F.lit(" "))
 
 
