@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polysafe.functions.text import PY_WHITESPACE
+
 # ---------------------------------------------------------------------------
 # Chat templates of the two model families (kept verbatim,
 # including the stray quote after the empty think block of the second family).
@@ -17,8 +19,6 @@ TRANSLATION_SYSTEM_PROMPT = ("You are a translation chatbot. Translate the input
                              "user's input if you can't translate.")
 # ---------------------------------------------------------------------------
 
-_RSTRIP = r"[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
-
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -72,7 +72,7 @@ def render_chat(family: str, instruction: Column, system: Column | None = None,
     else:
         raise ValueError(f"unknown template family {family!r}")
     if not trailing_whitespace:
-        text = F.regexp_replace(text, _RSTRIP, "")
+        text = F.rtrim(text, F.lit(PY_WHITESPACE))
     if output is not None:
         text = F.concat(text, output)
     return text

@@ -34,15 +34,15 @@ DELETE_MARKERS = ["</think>", "<think>", "<|im_end|>", "<|im_start|>", "<end_of_
 REPHRASE_PATTERN = "rephrase|clarify"
 # ---------------------------------------------------------------------------
 
-# Characters Python's str.strip() removes (Unicode White_Space plus the four
-# ASCII separators 0x1c-0x1f).
-_WS = r"[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_STRIP = f"^{_WS}+|{_WS}+$"
+# Characters Python's str.strip() removes: Unicode White_Space plus the four
+# ASCII separators 0x1c-0x1f (the full set of str.isspace() characters).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+                 + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()`` semantics (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, _STRIP, "")
+    """``str.strip()`` semantics (``trim`` without characters only removes spaces)."""
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def delete_markers(c: Column) -> Column:
