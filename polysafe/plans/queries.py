@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polysafe.dims import FIXTURE_LANGUAGES as DIM
-from polysafe.dims import HARD_LANGUAGES, LANGUAGE_DRAW_SEED, STUDY_LANGUAGES
+from polysafe.dims import HARD_LANGUAGES, ISO_CODES, LANGUAGE_DRAW_SEED, STUDY_LANGUAGES
 from polysafe.functions import chat
 from polysafe.functions import text as tx
 from polysafe.functions.scores import display_round, resource_class
 from polysafe.operators import analysis, corpus, metrics, profile, sampling, scoring
 from polysafe.operators import vectors as vx
-from polysafe.plans.adapters import activations, eval_rows, model_outputs, safety_rows
+from polysafe.plans.adapters import FIXTURE_RUNS, activations, eval_rows, model_outputs, safety_rows
 from polysafe.session import cut_lineage, ensure_parallel
+from polysafe.sources import sinks
 from polysafe.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -147,7 +148,6 @@ def q_language_means(spark, sf_dir):
 
 @register("melt_scores")
 def q_melt_scores(spark, sf_dir):
-    from polysafe.plans.adapters import FIXTURE_RUNS
     models = [m for m, _ in FIXTURE_RUNS]
     h = analysis.with_harmonic(scores(spark, sf_dir))
     wide = h.groupBy("prompt_type", "category", "language").pivot("model", models).agg(
@@ -213,10 +213,9 @@ def q_sample_ceil(spark, sf_dir):
 
 @register("balanced_classes")
 def q_balanced_classes(spark, sf_dir):
-    from polysafe.operators.scoring import binary_class
     r = eval_rows(spark, sf_dir).where(F.col("model") == "en").select(
         "prompt_id", F.when(F.col("label") == 1, F.lit("harmful")).otherwise(F.lit("harmless")).alias("kind"),
-        binary_class(F.col("refusal")).alias("refusal"))
+        scoring.binary_class(F.col("refusal")).alias("refusal"))
     return sampling.balanced_classes(r, "kind", "refusal", {"harmful": 1, "harmless": 0}, "prompt_id")
 
 
@@ -366,7 +365,6 @@ def q_translate_stub(spark, sf_dir):
 
 @register("iso_codes")
 def q_iso_codes(spark, sf_dir):
-    from polysafe.dims import ISO_CODES
     inverse = {v: k for k, v in ISO_CODES.items()}
     back = F.create_map(*[x for k, v in inverse.items() for x in (F.lit(k), F.lit(v))])
     d = documents(spark, sf_dir, "doc_id", "lang", "source")
@@ -483,7 +481,6 @@ def q_language_draw(spark, sf_dir):
 
 @register("nested_scores_roundtrip")
 def q_nested_scores_roundtrip(spark, sf_dir):
-    from polysafe.sources import sinks
     m = metrics.refusal_matrix(typed_rows(spark, sf_dir), DIM)
     long = m.unpivot(["model", "prompt_type", "language", "language_response"], metrics.PCT_COLS, "metric", "pct")
     nested = sinks.nested_json(long, ["model", "prompt_type", "metric"], "language", "language_response", "pct")
