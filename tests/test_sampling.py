@@ -90,3 +90,20 @@ def test_first_k_quota_edges(spark, skewed):
     out = sampling.first_k_by_hash(skewed, ["g"], k, "id").groupBy("g").count().collect()
     got = {r["g"]: r["count"] for r in out}
     assert got == {"g1": skewed.where("g = 'g1'").count()}  # whole group; g2 quota 0; others no quota
+
+
+def test_split_subsets_quotas_exact(spark):
+    from polysafe.plans.queries import train_corpus
+    c = train_corpus(spark, "/root/testdata/sf0.01").select(
+        F.concat_ws(":", F.col("safety").cast("string"), F.col("prompt_id").cast("string")).alias("row_key"),
+        "safety", "category", "text")
+    out = corpus.split_subsets(c, 3, 0.1).toPandas()
+    out["subset"] = out.lg_subset.map(lambda a: ",".join(a))
+    base = c.toPandas()
+    first = out[out.subset == "fr,zh,lo,pag,en"]
+    # safety: min(n, group size); instruction: floor(count * p) from the first counts
+    for cat, g in base.groupby("category"):
+        got = (first.category == cat).sum()
+        want = min(3, len(g)) if g.safety.iloc[0] == 1 else int(len(g) * 0.1)
+        assert got == want, (cat, got, want)
+    assert len(out) <= len(base)
