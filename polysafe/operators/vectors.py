@@ -39,24 +39,41 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit(d: Column) -> Column:
-    """``d / (||d|| + 1e-8)``."""
-    n = norm(d)
-    return F.transform(d, lambda x: x / (n + F.lit(EPS)))
+def with_unit(df: DataFrame, d: str, out: str) -> DataFrame:
+    """``out = d / (||d|| + 1e-8)``.
+
+    The norm is its own column first: inside an array lambda an outer
+    expression is re-evaluated for every element, which would make this
+    quadratic in the vector width.  The lambda names the column twice (a
+    null guard) so the optimizer does not inline the norm back into it
+    (it inlines a costly expression only when it is referenced once).
+    """
+    n = F.col("_norm")
+    return df.withColumn("_norm", norm(F.col(d))) \
+        .withColumn(out, F.transform(d, lambda x: F.when(n.isNull(), F.lit(None)).otherwise(x / (n + F.lit(EPS))))) \
+        .drop("_norm")
+
 
+def with_ablation(df: DataFrame, a: str, u: str, out: str) -> DataFrame:
+    """Remove the component along unit direction ``u``: ``a - (a.u) u``.
 
-def ablate(a: Column, u: Column) -> Column:
-    """Remove the component along unit direction ``u``: ``a - (a.u) u``."""
-    p = dot(a, u)
-    return F.zip_with(a, u, lambda x, y: x - p * y)
+    The projection is computed once per row (see ``with_unit`` for why the
+    lambda names it twice).
+    """
+    p = F.col("_proj")
+    return df.withColumn("_proj", dot(F.col(a), F.col(u))) \
+        .withColumn(out, F.zip_with(a, u, lambda x, y: F.when(p.isNull(), F.lit(None)).otherwise(x - p * y))) \
+        .drop("_proj")
 
 
-def patch(a: Column, u: Column, coeff: float) -> Column:
+def with_patch(df: DataFrame, a: str, u: str, coeff: float, out: str) -> DataFrame:
     """Set the component along ``u`` to ``coeff``: ``a - (a.u) u + c u``."""
-    return F.zip_with(ablate(a, u), u, lambda x, y: x + F.lit(coeff) * y)
+    d = with_ablation(df, a, u, "_ablated")
+    return d.withColumn(out, F.zip_with("_ablated", u, lambda x, y: x + F.lit(coeff) * y)).drop("_ablated")
 
 
 def add(a: Column, v: Column, coeff: float) -> Column:
+    """Activation addition ``a + c v`` (element-wise, linear in the width)."""
     return F.zip_with(a, v, lambda x, y: x + F.lit(coeff) * y)
 
 
@@ -70,10 +87,10 @@ def with_mean_difference(df: DataFrame, source: DataFrame, vec: str, label: str,
     """
     v = source.select(F.col(label).alias("_l"), array_to_vector(as_double_array(F.col(vec))).alias("_v"))
     means = v.groupBy("_l").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
-    pos = means.where(F.col("_l") == 1).select("_m").scalar()
-    neg = means.where(F.col("_l") == 0).select("_m").scalar()
-    d = df.withColumn("_pos", pos).withColumn("_neg", neg)
-    return d.withColumn(out, F.zip_with("_pos", "_neg", lambda x, y: x - y)).drop("_pos", "_neg")
+    # both class means in one scalar subquery (labels are 0/1: max_by -> 1, min_by -> 0)
+    both = means.agg(F.struct(F.max_by("_m", "_l").alias("pos"), F.min_by("_m", "_l").alias("neg"))).scalar()
+    d = df.withColumn("_means", both)
+    return d.withColumn(out, F.zip_with("_means.pos", "_means.neg", lambda x, y: x - y)).drop("_means")
 
 
 # --- projection -----------------------------------------------------------------

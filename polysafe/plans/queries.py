@@ -533,7 +533,7 @@ PATCH_COEFF, ADD_COEFF = 2.0, 0.5
 def _directional(spark, sf_dir):
     a = activations(spark, sf_dir)
     v = a.select("prompt_id", vx.as_double_array(F.col("vec")).alias("a"))
-    return vx.with_mean_difference(v, a, "vec", "harmful").withColumn("u", vx.unit(F.col("direction")))
+    return vx.with_unit(vx.with_mean_difference(v, a, "vec", "harmful"), "direction", "u")
 
 
 def _r6(c):
@@ -543,14 +543,14 @@ def _r6(c):
 
 @register("vector_ablate")
 def q_vector_ablate(spark, sf_dir):
-    v = _directional(spark, sf_dir).withColumn("ab", vx.ablate(F.col("a"), F.col("u")))
+    v = vx.with_ablation(_directional(spark, sf_dir), "a", "u", "ab")
     return v.select("prompt_id", _r6(vx.dot(F.col("a"), F.col("u"))).alias("proj_before"),
                     _r6(vx.dot(F.col("ab"), F.col("u"))).alias("proj_after"), _r6(vx.norm(F.col("ab"))).alias("norm_after"))
 
 
 @register("vector_patch")
 def q_vector_patch(spark, sf_dir):
-    v = _directional(spark, sf_dir).withColumn("p", vx.patch(F.col("a"), F.col("u"), PATCH_COEFF))
+    v = vx.with_patch(_directional(spark, sf_dir), "a", "u", PATCH_COEFF, "p")
     return v.select("prompt_id", _r6(vx.dot(F.col("p"), F.col("u"))).alias("proj_after"),
                     _r6(vx.norm(F.col("p"))).alias("norm_after"))
 

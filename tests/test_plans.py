@@ -38,3 +38,12 @@ def test_window_group_limit_for_literal_quota(spark):
 def test_analysis_reads_checkpoint_not_sources(spark):
     p = _plan(QUERIES["harmonic_margins"](spark, SF01))
     assert "documents.parquet" not in p
+
+
+def test_vector_maths_linear_in_width(spark):
+    """Norm and projection are computed once per row, never inside the element lambda."""
+    import re
+    df = QUERIES["vector_ablate"](spark, SF01)
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambdafunction\(\(lambda x_\d+#\d+ - \(aggregate", p)
+    assert not re.search(r"lambdafunction\(\(lambda x_\d+#\d+ / \(SQRT\(aggregate", p)

@@ -33,9 +33,10 @@ def test_pca_fit_apply_matches_numpy(spark, acts):
 
 def test_ablation_removes_direction(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, d array<double>")
-    u = vx.unit(F.col("d"))
-    r = df.select(vx.ablate(F.col("a"), u).alias("ab"), vx.patch(F.col("a"), u, 2.0).alias("p"),
-                  vx.add(F.col("a"), F.col("d"), 0.5).alias("s")).first()
+    d = vx.with_unit(df, "d", "u")
+    d = vx.with_ablation(d, "a", "u", "ab")
+    d = vx.with_patch(d, "a", "u", 2.0, "p").withColumn("s", vx.add(F.col("a"), F.col("d"), 0.5))
+    r = d.first()
     assert r["ab"] == pytest.approx([3.0 - 3.0 / (1 + 1e-8) ** 2, 4.0])
     assert r["p"][0] == pytest.approx(2.0, abs=1e-6)
     assert r["s"] == pytest.approx([3.5, 4.0])
