@@ -68,6 +68,8 @@ PROMPT_TEMPLATE = "Below is an instruction:\n### Instruction :\n{}\n### Response
 CLASS_ANSWER, CLASS_REFUSAL, CLASS_UNCERTAIN, CLASS_OTHER = 0, 1, 2, 3
 # Response language that is never re-scored.
 SKIP_RESPONSE_LANGUAGE = "wol"
+# Corpus whose training split is stored under another name.
+SPLIT_OVERRIDES = {"ultrafeedback_binarized": {"train": "train_prefs"}}
 # Sampling seeds.
 SEED = 42
 LANGUAGE_DRAW_SEED = 20

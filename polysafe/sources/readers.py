@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from polysafe.dims import SPLIT_OVERRIDES
+
 SCORE_JSON_TYPE = "map<string,map<string,double>>"
 
 
@@ -85,10 +87,9 @@ def discover_runs(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFr
 
 
 def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
-    """Corpus split stored as Parquet under ``root/dataset/split``; one dataset names its
-    training split ``train_prefs``."""
-    if dataset.endswith("ultrafeedback_binarized") and split == "train":
-        split = "train_prefs"
+    """Corpus split stored as Parquet under ``root/dataset/split`` (with the split
+    name overrides of ``dims.SPLIT_OVERRIDES``)."""
+    split = SPLIT_OVERRIDES.get(dataset.rsplit("/", 1)[-1], {}).get(split, split)
     return spark.read.parquet(f"{root}/{dataset}/{split}")
 
 
