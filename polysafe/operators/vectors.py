@@ -120,9 +120,8 @@ def pca_fit_apply(fit_df: DataFrame, apply_df: DataFrame, vec: str, k: int = 2)
 def standardize(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """Population standardisation (mean 0, population std 1) per scope.
 
-    Statistics are one aggregate row per scope, joined back (broadcast-sized:
-    scopes are a handful of named subsets); without scopes they are scalar
-    subqueries.
+    Statistics are one aggregate row per scope, joined back with a size-checked
+    broadcast; without scopes they are scalar subqueries.
     """
     scope = list(scope)
     aggs = []
@@ -130,7 +129,7 @@ def standardize(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -
         aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]
     if scope:
         stats = df.groupBy(*scope).agg(*aggs)
-        j = df.join(F.broadcast(stats), scope)
+        j = join_checked(df, stats, scope)
     else:
         stats = df.agg(*aggs)
         j = df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
@@ -198,6 +197,7 @@ def cumulative_before(df: DataFrame, order: str, value: str, n_parts: int) -> Da
     offsets = totals.withColumn(
         "_off", F.coalesce(F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
+    # one row per range slice: bounded by ``n_parts``
     return r.join(F.broadcast(offsets.select("_pid", "_off")), "_pid") \
         .withColumn("_before", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
 
