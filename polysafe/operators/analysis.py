@@ -163,13 +163,19 @@ def composition_order(model: Column, order: Sequence[str] = COMPOSITIONS) -> Col
     return F.when(pos > 0, pos).otherwise(F.lit(len(order) + 1)).cast("int")
 
 
-def vanilla_vs_adversarial(scores: DataFrame) -> DataFrame:
-    """Side by side per (model, language); only keys present for both prompt types."""
+def vanilla_vs_adversarial(scores: DataFrame, strict: bool = False) -> DataFrame:
+    """Side by side per (model, language); only keys present for both prompt types.
+
+    ``strict``: an empty intersection is an error (checked on the small score
+    table, one aggregate).
+    """
     h = with_harmonic(scores)
     wide = h.groupBy("model", "language").pivot("prompt_type", ["vanilla", "adversarial"]).agg(
         F.first("refusal").alias("refusal"), F.first("over_refusal").alias("over_refusal"),
         F.first("harmonic").alias("harmonic"))
     both = wide.where(F.col("vanilla_refusal").isNotNull() & F.col("adversarial_refusal").isNotNull())
+    if strict and both.isEmpty():
+        raise ValueError("no common languages and compositions between the vanilla and adversarial scores")
     return both.withColumn("model_ord", composition_order(F.col("model")))
 
 

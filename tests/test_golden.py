@@ -133,3 +133,23 @@ def test_apply_model_failures_fall_back(spark):
     df = spark.createDataFrame([(1, "a"), (2, "boom")], "k int, t string").coalesce(1)
     out = dict(scoring.apply_model(df, flaky, "t", "o").select("k", "o").collect())
     assert out == {1: "A", 2: None}
+
+
+def test_harmonic_cells_rejects_unequal_shapes(spark):
+    ref = spark.createDataFrame([("m", "vanilla", "en", 10.0), ("m", "vanilla", "fr", 20.0)],
+                                "model string, prompt_type string, language string, refusal double")
+    over = spark.createDataFrame([("m", "vanilla", "en", 5.0)],
+                                 "model string, prompt_type string, language string, over_refusal double")
+    with pytest.raises(Exception):
+        analysis.harmonic_cells(ref, over).collect()
+    ok = analysis.harmonic_cells(ref.where("language = 'en'"), over).collect()
+    assert ok[0]["harmonic"] == pytest.approx(2 * 10 * 95 / 105)
+
+
+def test_vanilla_vs_adversarial_strict_empty(spark):
+    only_vanilla = spark.createDataFrame([("m", "vanilla", "en", "high", 0, 10.0, 5.0)],
+                                         "model string, prompt_type string, language string, category string, "
+                                         "ord int, refusal double, over_refusal double")
+    assert analysis.vanilla_vs_adversarial(only_vanilla).count() == 0
+    with pytest.raises(ValueError):
+        analysis.vanilla_vs_adversarial(only_vanilla, strict=True)
