@@ -74,16 +74,16 @@ def reference_detector(texts: pd.Series) -> pd.Series:
 
 
 # Fixed values of the default language identifier (ours): frequent function words.
-_STOPWORDS = {
+STOPWORDS = {
     "eng_Latn": {"the", "and", "of", "to", "is", "in", "that", "it", "with", "for", "was", "as"},
     "fra_Latn": {"le", "la", "les", "et", "des", "un", "une", "est", "du", "en", "que", "qui", "dans", "pour"},
     "deu_Latn": {"der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "mit", "den", "von", "sich"},
     "spa_Latn": {"el", "los", "las", "y", "de", "que", "es", "un", "una", "por", "para", "con", "del"},
 }
-_SCRIPTS = [("arb_Arab", "\u0600-\u06ff"), ("ell_Grek", "\u0370-\u03ff"), ("mkd_Cyrl", "\u0400-\u04ff"),
+SCRIPT_RANGES = [("arb_Arab", "\u0600-\u06ff"), ("ell_Grek", "\u0370-\u03ff"), ("mkd_Cyrl", "\u0400-\u04ff"),
             ("ben_Beng", "\u0980-\u09ff"), ("lao_Laoo", "\u0e80-\u0eff"), ("jpn_Jpan", "\u3040-\u30ff"),
             ("zho_Hans", "\u4e00-\u9fff")]
-_SCRIPT_RES = [(label, re.compile(f"[{rng}]")) for label, rng in _SCRIPTS]
+_SCRIPT_RES = [(label, re.compile(f"[{rng}]")) for label, rng in SCRIPT_RANGES]
 _WORD = re.compile(r"\w+")
 
 
@@ -97,7 +97,7 @@ def _identify(text) -> str | None:
             if len(rx.findall(t)) * 2 > len(t):
                 return label
     counts = Counter(_WORD.findall(t.lower()))
-    scores = {lab: sum(counts[w] for w in sw) for lab, sw in _STOPWORDS.items()}
+    scores = {lab: sum(counts[w] for w in sw) for lab, sw in STOPWORDS.items()}
     best = max(scores.items(), key=lambda kv: (kv[1], kv[0]))
     return best[0] if best[1] > 0 else None
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from polysafe.dims import (ARABIC_DIALECTS, COMPOSITIONS, HARD_LANGUAGES, ISO_CODES, PROMPT_TEMPLATE,
                            REFERENCE_REFUSALS, STUDY_LANGUAGES, SUBSET_LANGUAGES)
 from polysafe.functions.chat import GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM
-from polysafe.functions.text import DELETE_MARKERS, SKIP_SEGMENTS, normalize_py
+from polysafe.functions.text import DELETE_MARKERS, PY_WHITESPACE, SKIP_SEGMENTS, normalize_py
+from polysafe.operators.scoring import SCRIPT_RANGES, STOPWORDS
 from polysafe.plans import queries as _q
 from polysafe.plans.adapters import ACTIVATIONS_SQL, FIXTURE_RUNS, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL
 from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_CELLS, CTE_DEN, CTE_EVAL, CTE_MATRIX,
@@ -564,3 +565,29 @@ typed AS (SELECT 'en' AS model, language, language_response, label, data_type,
 {CTE_CELLS},
 {CTE_MATRIX}
 SELECT * FROM matrix"""
+
+
+# --- default response-language identifier (script majority, stop-word vote) ---
+
+
+def _identify_sql(t: str) -> str:
+    scripts = " ".join(
+        f"WHEN (length({t}) - length(regexp_replace({t}, '[{rng}]', '', 'g'))) * 2 "
+        f"> length({t}) THEN '{label}'" for label, rng in SCRIPT_RANGES)
+    words = f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
+    votes = ", ".join(
+        f"{{'n': len(list_filter({words}, lambda w: list_contains([{', '.join(repr(x) for x in sorted(sw))}], w))), "
+        f"'label': '{label}'}}" for label, sw in STOPWORDS.items())
+    best = f"list_sort([{votes}])[-1]"
+    return (f"CASE WHEN {t} IS NULL OR trim({t}, {_lit(PY_WHITESPACE)}) = '' THEN NULL {scripts} "
+            f"WHEN ({best}).n > 0 THEN ({best}).label END")
+
+
+ORACLE["response_language"] = f"""WITH {_OUT},
+l AS (SELECT prompt_id, language, {_identify_sql('output_clean')} AS lid FROM c),
+p AS (SELECT *, split_part(lid, '_', 1) AS p FROM l),
+m AS (SELECT *, coalesce({_MAP}, p) AS iso0 FROM p)
+SELECT prompt_id, language,
+ coalesce(CASE WHEN iso0 = 'zh-cn' THEN 'zh' WHEN iso0 IN {_DIALECTS} THEN 'ar' ELSE iso0 END, language)
+  AS language_response
+FROM m"""

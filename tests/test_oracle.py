@@ -25,7 +25,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_model_based():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"response_language", "pca_projection", "standardize_2d", "probe_metrics",
+    assert rows_only <= {"pca_projection", "standardize_2d", "probe_metrics",
                          "decision_grid", "layer_sweep", "html_decode", "probe_metrics_svm"}
 
 
