@@ -47,3 +47,13 @@ def test_vector_maths_linear_in_width(spark):
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"lambdafunction\(\(lambda x_\d+#\d+ - \(aggregate", p)
     assert not re.search(r"lambdafunction\(\(lambda x_\d+#\d+ / \(SQRT\(aggregate", p)
+
+
+@pytest.mark.parametrize("name,schema", [
+    ("normalized_match", "struct<doc_id:bigint,text:string>"),
+    ("sample_per_group", "struct<doc_id:bigint,lang:string,source:string>"),
+    ("json_value", "struct<event_id:bigint,props:string>"),
+])
+def test_scans_read_only_needed_columns(spark, name, schema):
+    p = _plan(QUERIES[name](spark, SF01)).split("== Initial Plan ==")[0]
+    assert f"ReadSchema: {schema}" in p
