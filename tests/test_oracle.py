@@ -5,9 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF01
 from oracle_compare import compare, duck
-
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+from polysafe.plans.oracle import ORACLE
+from polysafe.plans.queries import REGISTRY as QUERIES
 
 
 @pytest.fixture(scope="module")
