@@ -7,6 +7,7 @@ size plus the longest single document.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,3 +144,14 @@ def windows_hash(h: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 bits as int64, Spark's long."""
     return x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once as a compressed table in the shared checkpoint folder and read back (cuts lineage).
+
+    Unlike a checkpoint the table is columnar, so later jobs read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
