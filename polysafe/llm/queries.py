@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysafe.llm import chat, exact, packing, urls
+from polysafe.llm import chat, exact, langid, packing, urls
 from polysafe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_language_id(spark, sf_dir):
+    """Language of every whole text, learnt from the rows not held out."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 @register
 def op3_packing(spark, sf_dir):
     """Whole documents as pieces of full token windows."""
