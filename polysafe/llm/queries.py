@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysafe.llm import chat, exact, langid, packing, urls
+from polysafe.llm import chat, exact, langid, packing, substring, suffix, urls
 from polysafe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,25 @@ def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@register
+def op4_recompression(spark, sf_dir):
+    """Whole documents without the word windows that a smaller doc_id has."""
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE["op4_recompression"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 12)) AS g(i)),
+m AS (SELECT win, min(doc_id) AS first_doc FROM p GROUP BY win),
+r AS (SELECT DISTINCT p.doc_id, i + k AS i FROM p JOIN m USING (win), generate_series(0, 12) AS s(k) WHERE m.first_doc < p.doc_id),
+e AS (SELECT w.doc_id, i, ws[i] AS word, r.i IS NOT NULL AS gone
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w) w LEFT JOIN r USING (doc_id, i))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+                  FROM e GROUP BY doc_id) USING (doc_id)
+"""
+
+
 @register
 def op5_exact_dedup(spark, sf_dir):
     """Whole documents equal up to white space: who stays, and for whom."""
@@ -50,6 +69,12 @@ FROM n
 """
 
 
+@register
+def op6_suffix_dedup(spark, sf_dir):
+    """Whole documents, as bytes, without the 100-byte strings that start earlier."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
+
+
 @register
 def op8_chat_format(spark, sf_dir):
     """Conversations formatted, and what is read back from the output."""
