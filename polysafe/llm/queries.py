@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysafe.llm import chat, exact, langid, packing, substring, suffix, urls
+from polysafe.llm import chat, exact, langid, ngram_join, packing, substring, suffix, urls
 from polysafe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+@register
+def op2_ngram_jaccard(spark, sf_dir):
+    """Whole documents whose 3-word shingles are similar to 90 in a hundred, by component."""
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"))
+
+
 @register
 def op3_packing(spark, sf_dir):
     """Whole documents as pieces of full token windows."""
