@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysafe.llm import chat, exact, langid, ngram_join, packing, substring, suffix, urls
+from polysafe.llm import chat, exact, langid, ngram_join, packing, quality, substring, suffix, urls
 from polysafe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ FROM e GROUP BY conv_id
 def op9_url_rules(spark, sf_dir):
     """Verdict on every page's url: listed rules first, mined rules for the rest."""
     return urls.filter_urls(read(spark, sf_dir, "pages"))
+
+
+@register
+def op10_quality(spark, sf_dir):
+    """Perplexity of every whole text under a model of all trusted text, and whether it is kept."""
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
