@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysafe.llm import chat, exact, langid, ngram_join, packing, quality, substring, suffix, urls
+from polysafe.llm import chat, decontam, exact, langid, ngram_join, packing, quality, substring, suffix, urls
 from polysafe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
 
 
+@register
+def op7_decontamination(spark, sf_dir):
+    """Every occurrence of a benchmark item in whole documents."""
+    return decontam.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @register
 def op8_chat_format(spark, sf_dir):
     """Conversations formatted, and what is read back from the output."""
