@@ -156,12 +156,11 @@ def sample_quota(df: DataFrame, groups: Sequence[str], quotas: DataFrame, key: s
 def balanced_classes(df: DataFrame, kind_col: str, class_col: str, keep: dict, key: str) -> DataFrame:
     """Rows of each kind with the wanted class (e.g. harmful -> 1, harmless -> 0),
     every kind cut to the smallest of the counts, in key (input) order (W8, O3)."""
-    cond = None
-    for kind, cls in keep.items():
-        c = (F.col(kind_col) == kind) & (F.col(class_col) == cls)
-        cond = c if cond is None else cond | c
-    d = df.where(cond)
-    counts = d.groupBy(kind_col).agg(F.count(F.lit(1)).alias("_c"))
-    # one row per kind: the minimum over the kinds is a window over a handful of rows
-    k = counts.select(kind_col, F.min("_c").over(Window.partitionBy()).alias("k"))
-    return first_k_by_key(d, [kind_col], k, key)
+    wanted = [(F.col(kind_col) == kind) & (F.col(class_col) == cls) for kind, cls in keep.items()]
+    cond = wanted[0]
+    for c in wanted[1:]:
+        cond = cond | c
+    # a kind without rows counts as zero: one global aggregate, read as a scalar
+    counts = [F.count_if(c) for c in wanted]
+    least = F.least(*counts) if len(counts) > 1 else counts[0]
+    return first_k_by_key(df.where(cond), [kind_col], df.agg(least.alias("k")).scalar(), key)

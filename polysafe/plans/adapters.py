@@ -47,13 +47,31 @@ _RUNS_VALUES = "(VALUES " + ", ".join(f"('{m}', {i})" for m, i in FIXTURE_RUNS)
 _RUNS_ARRAY = "array(" + ", ".join(f"named_struct('model', '{m}', 'idx', {i})" for m, i in FIXTURE_RUNS) + ")"
 
 
-def _labelled(spark: SparkSession, sf_dir: str, *doc_cols: str) -> DataFrame:
+def marked(key: str, text: str) -> str:
+    """SQL text (both engines) that dresses ``text`` as raw model output, by the key:
+    thinking and turn markers, padding, reference refusals, curly quotes,
+    entities, combining marks, requests to rephrase."""
+    return f"""CASE {key} % 17
+ WHEN 1 THEN '<think> step </think>' || {text}
+ WHEN 2 THEN {text} || '<|im_end|>'
+ WHEN 3 THEN 'assistant<|assistant_start|>' || {text}
+ WHEN 4 THEN '<pad><pad>'
+ WHEN 5 THEN 'I' || chr(39) || 'm sorry, I can’t assist with that.'
+ WHEN 6 THEN {text} || ' Please clarify.'
+ WHEN 7 THEN 'Could you rephrase? ' || {text}
+ WHEN 8 THEN '“' || {text} || '” &amp; <|x'
+ WHEN 9 THEN {text} || ' Ẕaċħ'
+ WHEN 10 THEN 'Jiddispjaċini, ma nistax nghinek b`dak.'
+ ELSE {text} END"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str, *doc_cols: str, how: str = "inner") -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", *doc_cols)
     if "text" in doc_cols:
         # whole texts feed regexes and Arrow UDFs downstream: keep every core busy
         docs = ensure_parallel(docs)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", how)
 
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +86,7 @@ FROM (SELECT d.doc_id, d.lang, d.n_chars, l.toxic, m.model, m.idx
 """
 
 _SAFETY_COLS = [
-    "doc_id AS prompt_id", "text AS vanilla", f"concat('{ADVERSARIAL_PREFIX}', text) AS adversarial",
+    "doc_id AS prompt_id", "text AS vanilla", f"concat('{ADVERSARIAL_PREFIX}', text) AS adversarial", "text AS completion",
     f"{DATA_TYPE} AS data_type", "toxic AS label", "lang AS language", "source",
 ]
 
@@ -77,34 +95,34 @@ def safety_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Safety corpus stand-in: labelled documents.
 
     ``vanilla`` is the text, ``adversarial`` the same text behind a role-play
-    prefix, ``completion`` the first line of the text, ``label`` = toxic.
+    prefix, ``completion`` the whole text, ``label`` = toxic.
     """
-    d = _labelled(spark, sf_dir, "text", "lang", "source")
-    return d.selectExpr(*_SAFETY_COLS[:3], "substring_index(text, '\\n', 1) AS completion", *_SAFETY_COLS[3:])
+    return _labelled(spark, sf_dir, "text", "lang", "source").selectExpr(*_SAFETY_COLS)
 
 
 SAFETY_ROWS_SQL = f"""
-SELECT {", ".join(_SAFETY_COLS[:3])}, split_part(text, chr(10), 1) AS completion, {", ".join(_SAFETY_COLS[3:])}
+SELECT {", ".join(_SAFETY_COLS)}
 FROM (SELECT d.doc_id, d.text, d.lang, d.source, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 """
 
 _OUTPUT_COLS = [
     "doc_id AS prompt_id", "lang AS language", f"{CATEGORY} AS language_category", "toxic AS label",
-    f"{DATA_TYPE} AS data_type", "text AS output", f"{_response('')} AS language_response",
+    f"{DATA_TYPE} AS data_type", f"{marked('doc_id', 'text')} AS output",
+    f"CASE WHEN doc_id % 19 = 3 THEN 'wol' ELSE {_response('')} END AS language_response",
     "CAST((n_chars + doc_id) % 4 AS INT) AS refusal",
 ]
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluated-outputs stand-in with text: each labelled document is the
-    output of the first run (same synthetic class and response language as
-    ``eval_rows`` for model ``en``)."""
-    return _labelled(spark, sf_dir, "text", "lang", "n_chars").selectExpr(*_OUTPUT_COLS)
+    """Evaluated-outputs stand-in with text: each document, labelled or not, is
+    the output of the first run, dressed as raw model output (``marked``).
+    Documents without a label have a null one."""
+    return _labelled(spark, sf_dir, "text", "lang", "n_chars", how="left").selectExpr(*_OUTPUT_COLS)
 
 
 MODEL_OUTPUTS_SQL = f"""
 SELECT {", ".join(_OUTPUT_COLS)}
-FROM (SELECT d.doc_id, d.text, d.lang, d.n_chars, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+FROM (SELECT d.doc_id, d.text, d.lang, d.n_chars, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 """
 
 _LANGS4 = "array(" + ", ".join(f"'{x}'" for x in RESPONSE_CYCLE[:4]) + ")"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from polysafe.dims import (ARABIC_DIALECTS, COMPOSITIONS, HARD_LANGUAGES, ISO_CODES, PROMPT_TEMPLATE,
+from polysafe.dims import (ARABIC_DIALECTS, COMPOSITIONS, HARD_LANGUAGES, ISO_CODES, HIGH_LANGUAGES, LOW_LANGUAGES, MIDDLE_LANGUAGES, PROMPT_TEMPLATE,
                            REFERENCE_REFUSALS, STUDY_LANGUAGES, SUBSET_LANGUAGES)
 from polysafe.functions.chat import GEMMA_TEMPLATE, QWEN_TEMPLATE, QWEN_TEMPLATE_WITH_SYSTEM
-from polysafe.functions.text import DELETE_MARKERS, PY_WHITESPACE, SKIP_SEGMENTS, normalize_py
+from polysafe.functions.text import DELETE_MARKERS, PY_WHITESPACE, SKIP_SEGMENTS
 from polysafe.operators.scoring import SCRIPT_RANGES, STOPWORDS
 from polysafe.plans import queries as _q
-from polysafe.plans.adapters import ACTIVATIONS_SQL, FIXTURE_RUNS, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL
+from polysafe.plans.adapters import ACTIVATIONS_SQL, FIXTURE_RUNS, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL, marked
 from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_CELLS, CTE_DEN, CTE_EVAL, CTE_MATRIX,
                                         CTE_TOTALS, CTE_TYPED, DIM, LANG_DIM_SQL, harmonic, partial_cte,
                                         with_chain)
@@ -204,7 +204,7 @@ r AS (SELECT prompt_id, CASE WHEN label = 1 THEN 'harmful' ELSE 'harmless' END A
        CASE WHEN refusal IN (2, 3) THEN 0 ELSE refusal END AS refusal
       FROM eval_rows WHERE model = 'en'),
 k AS (SELECT * FROM r WHERE (kind = 'harmful' AND refusal = 1) OR (kind = 'harmless' AND refusal = 0)),
-c AS (SELECT min(n) AS m FROM (SELECT kind, count(*) AS n FROM k GROUP BY kind))
+c AS (SELECT least(count_if(kind = 'harmful'), count_if(kind = 'harmless')) AS m FROM k)
 SELECT prompt_id, kind, refusal FROM (
  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY prompt_id) AS rn FROM k) , c
 WHERE rn <= m"""
@@ -339,15 +339,15 @@ def _first_segment(x: str) -> str:
 
 
 def _normalize(x: str) -> str:
-    # Entity decoding has no SQL counterpart; the driver texts contain no entity references.
-    t = f"nfc_normalize(replace({x}, '<|', ''))"
+    # The only entity of the adapters' texts.
+    t = f"nfc_normalize(replace(replace({x}, '&amp;', '&'), '<|', ''))"
     t = f"regexp_replace({t}, '\\p{{Mn}}', '', 'g')"
     for a, b in [("‘", "'"), ("’", "'"), ("`", "'"), ("“", '"'), ("”", '"'), ("ċ", "c"), ("ħ", "h")]:
         t = f"replace({t}, {_lit(a)}, {_lit(b)})"
     return f"nfc_normalize({t})"
 
 
-_REFS = "(" + ", ".join(_lit(normalize_py(s)) for s in REFERENCE_REFUSALS.values()) + ")"
+_REFS = "(" + ", ".join(_normalize(_lit(s)) for s in REFERENCE_REFUSALS.values()) + ")"
 _OUT = f"""o AS ({MODEL_OUTPUTS_SQL}),
 c AS (SELECT *, {_first_segment('output')} AS output_clean FROM o),
 n AS (SELECT *, {_normalize('output_clean')} AS output_normalized FROM c)"""
@@ -355,7 +355,8 @@ _NEEDS = ("language_category IN ('low', 'middle') AND language_response IS DISTI
           f"AND refusal IS DISTINCT FROM 3 AND (output_normalized IS NULL OR output_normalized NOT IN {_REFS})")
 
 ORACLE["clean_output"] = f"""
-SELECT conv_id, turn, {_first_segment('text')} AS output_clean FROM conversations WHERE role = 'assistant'"""
+SELECT conv_id, turn, {_first_segment('output')} AS output_clean
+FROM (SELECT conv_id, turn, role, {marked('conv_id', 'text')} AS output FROM conversations) WHERE role = 'assistant'"""
 
 ORACLE["normalized_match"] = f"""WITH {_OUT}
 SELECT prompt_id, output_normalized, coalesce(output_normalized IN {_REFS}, false) AS is_reference_refusal FROM n"""
@@ -409,8 +410,8 @@ SELECT event_id, file_name, regexp_replace(string_split(file_name, '-')[-1], '\\
 
 ORACLE["json_value"] = "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"
 
-ORACLE["token_id_filter"] = """WITH g AS (
- SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: length(w))[4:], lambda x: x <> 68) AS ids
+ORACLE["token_id_filter"] = f"""WITH g AS (
+ SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: length(w))[4:], lambda x: x <> {_q.DROPPED_TOKEN}) AS ids
  FROM documents)
 SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_generated, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS sum_ids FROM g"""
 
@@ -466,16 +467,18 @@ SELECT lang, taxonomy_class, count(*) AS n_docs,
 FROM d GROUP BY lang, taxonomy_class"""
 
 _HARD = "(" + ", ".join(f"'{c}'" for c in HARD_LANGUAGES) + ")"
-ORACLE["hard_lang_route"] = f"""WITH {CTE_EVAL}
-SELECT prompt_id, model, language, CASE WHEN language IN {_HARD} THEN 'hard' ELSE 'easy' END AS cost_class,
- CASE WHEN language IN {_HARD} THEN 16 ELSE 32 END AS batch_size FROM eval_rows"""
-
-ORACLE["language_draw"] = f"""WITH c AS (
- SELECT DISTINCT d.lang AS language, ld.category FROM documents d JOIN {LANG_DIM_SQL} ON d.lang = ld.language
- UNION ALL
- SELECT DISTINCT lang, NULL FROM documents WHERE lang NOT IN (SELECT language FROM {LANG_DIM_SQL}))
+ORACLE["hard_lang_route"] = f"""
+SELECT item_id, language, CASE WHEN language IN {_HARD} THEN 'hard' ELSE 'easy' END AS cost_class,
+ CASE WHEN language IN {_HARD} THEN 16 ELSE 32 END AS batch_size FROM benchmark CROSS JOIN {_STUDY}"""
+
+_STUDY_CATEGORIES = "(VALUES " + ", ".join(
+    f"('{c}', '{name}')" for name, codes in (("high", HIGH_LANGUAGES), ("middle", MIDDLE_LANGUAGES), ("low", LOW_LANGUAGES))
+    for c in codes) + ") AS st(language, category)"
+ORACLE["language_draw"] = f"""WITH {CTE_EVAL},
+used AS (SELECT DISTINCT unnest(string_split(model, '_')) AS language FROM eval_rows)
 SELECT language, category FROM (
- SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_h('language', 20)}, language) AS rn FROM c)
+ SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_h('language', 20)}, language) AS rn
+ FROM {_STUDY_CATEGORIES} WHERE language NOT IN (SELECT language FROM used))
 WHERE rn <= 3"""
 
 ORACLE["nested_scores_roundtrip"] = with_chain(CHAIN_CELLS + [CTE_MATRIX], """

@@ -18,7 +18,7 @@ from polysafe.functions import text as tx
 from polysafe.functions.scores import display_round, resource_class
 from polysafe.operators import analysis, corpus, metrics, profile, sampling, scoring
 from polysafe.operators import vectors as vx
-from polysafe.plans.adapters import FIXTURE_RUNS, activations, eval_rows, model_outputs, safety_rows
+from polysafe.plans.adapters import FIXTURE_RUNS, activations, eval_rows, marked, model_outputs, safety_rows
 from polysafe.session import cut_lineage, ensure_parallel
 from polysafe.sources import sinks
 from polysafe.sources.tables import read_table
@@ -306,7 +306,7 @@ def q_complete_harmless(spark, sf_dir):
 
 def assistant_turns(spark, sf_dir):
     c = ensure_parallel(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    return c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("output"))
+    return c.where(F.col("role") == "assistant").select("conv_id", "turn", F.expr(marked("conv_id", "text")).alias("output"))
 
 
 @register("clean_output")
@@ -401,11 +401,14 @@ def q_json_value(spark, sf_dir):
     return e.select("event_id", tx.json_value(F.col("props"), "k").alias("k"))
 
 
+DROPPED_TOKEN = 7
+
+
 @register("token_id_filter")
 def q_token_id_filter(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "text")
     ids = F.transform(F.split(F.col("text"), " "), lambda w: F.length(w))
-    g = tx.generated_ids(ids, F.lit(3), 68)
+    g = tx.generated_ids(ids, F.lit(3), DROPPED_TOKEN)
     return d.select("doc_id", F.size(g).alias("n_generated"),
                     F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
 
@@ -465,18 +468,19 @@ def q_resource_bins(spark, sf_dir):
 
 @register("hard_lang_route")
 def q_hard_lang_route(spark, sf_dir):
-    rows = eval_rows(spark, sf_dir).select("prompt_id", "model", "language")
+    """Benchmark prompts in all study languages, routed by cost."""
+    rows = corpus.fan_out(read_table(spark, sf_dir, "benchmark", "item_id"), STUDY_LANGUAGES)
     hard = F.col("language").isin(HARD_LANGUAGES)
-    return rows.select("prompt_id", "model", "language",
-                       F.when(hard, F.lit("hard")).otherwise(F.lit("easy")).alias("cost_class"),
+    return rows.select("item_id", "language", F.when(hard, F.lit("hard")).otherwise(F.lit("easy")).alias("cost_class"),
                        F.when(hard, F.lit(16)).otherwise(F.lit(32)).alias("batch_size"))
 
 
 @register("language_draw")
 def q_language_draw(spark, sf_dir):
-    present = documents(spark, sf_dir, "lang").select(F.col("lang").alias("language")).distinct()
-    cands = present.withColumn("category", DIM.category_col(F.col("language")))
-    return sampling.sample_per_group(cands, ["category"], 3, "language", seed=LANGUAGE_DRAW_SEED)
+    """Three study languages of each category that no run was trained in; too few are an error."""
+    used = eval_rows(spark, sf_dir).select(F.explode(F.split("model", "_")).alias("language")).distinct()
+    unused = STUDY_LANGUAGES.frame(spark).select("language", "category").join(used, "language", "left_anti")
+    return sampling.sample_per_group(unused, ["category"], 3, "language", seed=LANGUAGE_DRAW_SEED, strict=True)
 
 
 @register("nested_scores_roundtrip")

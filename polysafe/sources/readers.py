@@ -17,23 +17,49 @@ from polysafe.dims import SPLIT_OVERRIDES
 SCORE_JSON_TYPE = "map<string,map<string,double>>"
 
 
+def _by_layout(spark: SparkSession, path: str, options: dict, read) -> DataFrame:
+    """``read(files)`` once for each distinct header line, united by column name.
+
+    One scan of CSV files takes the first file's header for all of them;
+    files of another layout would be read by position.  The number of
+    layouts is small whatever the number of files.
+    """
+    lines = spark.read.options(**options).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "value",
+        F.col("_metadata.file_block_start").alias("block"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    out = None
+    for row in layouts:
+        df = read(row.files)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out if out is not None else read([path])
+
+
+def _without_index(df: DataFrame) -> DataFrame:
+    """Without the index column that pandas writes (an empty or ``Unnamed: 0`` header)."""
+    return df.drop(*[c for c in df.columns if c == "_c0" or c.startswith("Unnamed: ")])
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
     """Header CSV with quoted multi-line text (pandas-style quoting: ``""`` escapes ``"``).
 
-    The index column that pandas writes (an empty or ``Unnamed: 0`` header) is
-    dropped.  With a schema, columns are matched *by name* and cast, so an
-    index column in front does not shift the fields (no inference pass either).
+    The index column that pandas writes is dropped.  Columns are matched *by
+    name*, in every file by its own header; with a schema they are also cast
+    (no inference pass), and a column that a file lacks is null.
     """
     r = spark.read.option("header", True).option("multiLine", True).option("quote", '"') \
         .option("escape", '"').option("sep", sep).option("mode", "PERMISSIVE")
-    if schema is None:
-        df = r.option("inferSchema", True).csv(path)
-    else:
-        st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        raw = r.csv(path)
-        df = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
-    index_cols = [c for c in df.columns if c == "_c0" or c.startswith("Unnamed: ")]
-    return df.drop(*index_cols)
+
+    def read(files: list[str]) -> DataFrame:
+        if schema is None:
+            return _without_index(r.option("inferSchema", True).csv(files))
+        fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+        raw = r.csv(files)
+        return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in fields])
+
+    return _by_layout(spark, path, {}, read)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -76,14 +102,16 @@ def discover_runs(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFr
 
     Keeps model and checkpoint as columns, skips JSON files and checkpoint 0.
     """
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
+    found = {"recursiveFileLookup": "true", "pathGlobFilter": glob}
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     path = F.col("_metadata.file_path")
-    df = df.withColumn("model", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)) \
-        .withColumn("checkpoint", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "-"), -1),
-                                                   r"\.csv$", ""))
-    index_cols = [c for c in df.columns if c == "_c0" or c.startswith("Unnamed: ")]
-    return df.drop(*index_cols).where(F.col("checkpoint") != "0")
+
+    def read(files: list[str]) -> DataFrame:
+        df = (r.options(**found) if files == [root] else r).csv(files)
+        return _without_index(df.withColumn("model", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)).withColumn(
+            "checkpoint", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "-"), -1), r"\.csv$", "")))
+
+    return _by_layout(spark, root, found, read).where(F.col("checkpoint") != "0")
 
 
 def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
