@@ -7,6 +7,7 @@ size plus the longest single document.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -150,8 +151,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once as a compressed table in the shared checkpoint folder and read back (cuts lineage).
 
     Unlike a checkpoint the table is columnar, so later jobs read only the columns they need.
+    The shuffle files behind it are needed no more and are let go.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Free the disk of finished shuffles.
+
+    Spark deletes a shuffle's files when the driver's garbage collector finds
+    its plan unreachable, else only every ``spark.cleaner.periodicGC.interval``
+    (30 minutes), which lets a query of several jobs pile up all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,9 @@ window has around the anchor, and ``cls``, all content that these windows cover.
 1. Anchors meet by key.  Anchors of one class have the same windows, so all
    but the first are decided at once; copies cost a row per anchor and no pairs.
 2. Only the first of each class, and only under keys with several classes
-   (the ends of repeated passages), are refined window by window.
+   (the ends of repeated passages), are refined: their windows are split into
+   a few groups by place, each with a key and a class of its own.
+3. What is still undecided is refined to single windows.
 
 Fingerprints that decide have 128 bits.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polysafe.llm.common import U64, prepare, shuffle_parts, signed, slices, stored
+from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, stored
 
 #: A null id stands for itself under this number.
 NULL_ID = -(2**63)
@@ -36,10 +38,18 @@ _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 2**64, size=(2, 256), dtype=U64)
 BASES = _rng.integers(0, 2**64, size=2, dtype=U64) | U64(1)
 
-#: texts -> (row, first window start, number of starts, key, cls)
+#: Windows of a group between an anchor and single windows.
+GROUP = 6
+
+#: texts -> (row, first window start, run, key, cls); see ``run_of``
 Anchors = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-#: (texts, row, start) -> both fingerprints of each window
-Windows = Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: texts -> function (row, start, end, lane) -> fingerprints of spans inside texts
+Spans = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]]
+
+
+def run_of(n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Number of window starts and distance from the first one to the anchor, in one number (both below 2^15)."""
+    return n | reach << 16
 
 
 class Prefix:
@@ -64,9 +74,9 @@ class Prefix:
 
 
 def later(rows: DataFrame, same_document: bool) -> DataFrame:
-    """``id, lo, n, refine``: rows whose class began earlier, and the first of classes that share their key.
+    """``id, lo, run, refine``: rows whose class began earlier, and the first of classes that share their key.
 
-    ``rows`` has ``key, cls, id, lo, n``.  Earlier is a smaller id or, with
+    ``rows`` has ``key, cls, id, lo, run``.  Earlier is a smaller id or, with
     ``same_document``, the same id and a smaller place.  Rows stream by in
     order; what is held back is at most one document's share of one key.
     """
@@ -78,7 +88,7 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, cls, ids, lo, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            key, cls, ids, lo, run = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             new_key, new_cls = np.ones(len(key), bool), np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
             new_cls[1:] = new_key[1:] | (cls[1:] != cls[:-1])
@@ -96,7 +106,7 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
             first = ~after
             open_ = group == group[-1]
             out = after | (first & multi[group])
-            rows = np.stack([ids, lo.astype(np.int64), n.astype(np.int64), first.astype(np.int64)], axis=1)
+            rows = np.stack([ids, lo.astype(np.int64), run.astype(np.int64), first.astype(np.int64)], axis=1)
             parts = [rows[out]]
             if goes_on and multi[0]:
                 parts += held
@@ -109,55 +119,74 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3] == 1)],
-                    names=["id", "lo", "n", "refine"])
+                    names=["id", "lo", "run", "refine"])
 
     placed = rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "cls", "id", "lo")
-    return placed.mapInArrow(stream, "id long, lo int, n int, refine boolean")
+    return placed.mapInArrow(stream, "id long, lo int, run int, refine boolean")
 
 
-def repeated(docs: DataFrame, anchors: Anchors, windows: Windows, same_document: bool) -> DataFrame:
-    """``id, text, spans``: each document with repeated windows, and the runs (lo, n) of their starts.
+def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_document: bool) -> DataFrame:
+    """``id, text, spans``: each document with repeated windows, and the runs (lo, run) of their starts.
 
     ``docs`` has ``id`` (long, not null) and ``text``.  Rows that share an id are one document.
     """
     prepare(docs.sparkSession)
+    schema = "key long, cls long, id long, lo int, run int"
+
+    def batch(key, cls, ids, lo, run) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(key)), pa.array(signed(cls)), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(run.astype(np.int32))],
+            names=["key", "cls", "id", "lo", "run"])
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", _SLICE):
-            row, lo, n, key, cls = anchors(b.column("text"))
+            row, lo, run, key, cls = anchors(b.column("text"))
             if len(row):
-                ids = b.column("id").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(signed(cls)), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "cls", "id", "lo", "n"])
-
-    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", _SLICE):
-            flat, row = b.column("refine").flatten(), np.repeat(np.arange(b.num_rows), b.column("refine").value_lengths().to_numpy())
-            if not len(row):
-                continue
-            lo, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
-            upto = np.concatenate(([0], np.cumsum(n)))
-            start = np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])
-            row = np.repeat(row, n)
-            key, cls = windows(b.column("text"), row, start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(key)), pa.array(signed(cls)), pa.array(b.column("id").to_numpy()[row]), pa.array(start.astype(np.int32)),
-                 pa.array(np.ones(len(row), np.int32))], names=["key", "cls", "id", "lo", "n"])
-
-    schema = "key long, cls long, id long, lo int, n int"
-    found = later(docs.mapInArrow(anchor_rows, schema), same_document)
-    spans = F.collect_set(F.when(~F.col("refine"), F.struct("lo", "n")))
-    refine = F.collect_set(F.when(F.col("refine"), F.struct("lo", "n")))
-    touched = stored(docs.join(found.groupBy("id").agg(spans.alias("spans"), refine.alias("refine")), "id"), "touched")
-    fine = later(touched.where(F.size("refine") > 0).select("id", "text", "refine").mapInArrow(window_rows, schema), same_document)
-    fine = fine.where(~F.col("refine")).groupBy("id").agg(F.collect_set(F.struct("lo", "n")).alias("fine"))
-    all_spans = F.concat("spans", F.coalesce("fine", F.array().cast("array<struct<lo:int,n:int>>")))
-    return touched.join(fine, "id", "left").select("id", "text", all_spans.alias("spans")).where(F.size("spans") > 0)
+                yield batch(key, cls, b.column("id").to_numpy()[row], lo, run)
+
+    def group_rows(size: int):
+        """Rows of the groups of ``size`` windows, cut at multiples of ``size`` before the anchor."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", _SLICE):
+                wide = span_array(b.column("refine"))
+                row = np.repeat(np.arange(len(wide)), [len(x) for x in wide])
+                if not len(row):
+                    continue
+                lo, n, reach = np.concatenate(wide).T
+                # Groups are numbered by (anchor - start) // size; a run of starts has a first and a last group.
+                high, low = reach // size, (reach - n + 1) // size
+                count = high - low + 1
+                upto = np.concatenate(([0], np.cumsum(count)))
+                group = np.repeat(high + upto[:-1], count) - np.arange(upto[-1])
+                row, anchor, first, last = (np.repeat(x, count) for x in (row, lo + reach, lo, lo + n - 1))
+                first, last = np.maximum(first, anchor - group * size - size + 1), np.minimum(last, anchor - group * size)
+                of = spans(b.column("text"))
+                key = of(row, anchor - group * size, anchor - group * size - size + 1 + window, 0)
+                cls = of(row, first, last + window, 1)
+                shape = run_of(last - first + 1, anchor - first)
+                yield batch(mix(key ^ mix(group.astype(U64) * U64(size > 1))), mix(cls ^ mix(shape.astype(U64) * U64(size > 1))), b.column("id").to_numpy()[row], first, shape)
+
+        return rows
+
+    def by_document(found: DataFrame, name: str) -> DataFrame:
+        pick = [F.collect_set(F.when(c, F.struct("lo", "run"))).alias(k) for k, c in ((name, ~F.col("refine")), ("refine", F.col("refine")))]
+        return stored(found.groupBy("id").agg(*pick), name)
+
+    coarse = by_document(later(docs.mapInArrow(anchor_rows, schema), same_document), "coarse")
+    touched = stored(docs.join(coarse, "id"), "touched")
+    edges = touched.where(F.size("refine") > 0).select("id", "text", "refine")
+    middle = by_document(later(edges.mapInArrow(group_rows(GROUP), schema), same_document), "middle")
+    edges = touched.select("id", "text").join(middle.where(F.size("refine") > 0).select("id", "refine"), "id")
+    fine = by_document(later(edges.mapInArrow(group_rows(1), schema), same_document), "fine")
+    none = F.array().cast("array<struct<lo:int,run:int>>")
+    decided = coarse.select("id", "coarse").join(middle.select("id", "middle"), "id", "left").join(fine.select("id", "fine"), "id", "left")
+    decided = decided.select("id", F.concat("coarse", F.coalesce("middle", none), F.coalesce("fine", none)).alias("spans")).where(F.size("spans") > 0)
+    return touched.select("id", "text").join(decided, "id")
 
 
 def covered(size: int, spans: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``size`` units the windows starting in ``spans`` (rows lo, n) cover."""
+    """Which of ``size`` units the windows starting in ``spans`` (rows lo, n, reach) cover."""
     step = np.zeros(size + 1, np.int64)
     np.add.at(step, spans[:, 0], 1)
     np.add.at(step, spans[:, 0] + spans[:, 1] + window - 1, -1)
@@ -165,7 +194,8 @@ def covered(size: int, spans: np.ndarray, window: int) -> np.ndarray:
 
 
 def span_array(column: pa.Array) -> list[np.ndarray]:
-    """Rows (lo, n) of each list of a list<struct<lo, n>> column."""
+    """Rows (lo, n, reach) of each list of a list<struct<lo, run>> column."""
     flat = column.flatten()
-    rows = np.stack([flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)], axis=1)
+    lo, run = (flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "run"))
+    rows = np.stack([lo, run & 0xFFFF, run >> 16], axis=1)
     return np.split(rows, np.cumsum(column.value_lengths().to_numpy())[:-1])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysafe.llm.common import U64, mix, slices, span_hash, text_buffer, word_spans
-from polysafe.llm.repeats import NULL_ID, Prefix, covered, repeated, span_array
+from polysafe.llm.repeats import NULL_ID, Prefix, covered, repeated, run_of, span_array
 
 WINDOW = 13
 
@@ -65,7 +65,7 @@ def symbol_anchors(texts: pa.Array, window: int = WINDOW):
     z = np.searchsorted(past, starts + window - margin, side="right")
     bits = U64(len(name).bit_length())
     level = [(mix(name) >> bits << bits) | np.arange(len(name), dtype=U64)]
-    while 2 << len(level) <= window + 1:
+    while 1 << len(level) <= int((z - a).max()):
         half = 1 << (len(level) - 1)
         level.append(np.minimum(level[-1], np.append(level[-1][half:], np.full(half, U64(2**64 - 1)))))
     depth = np.frexp(z - a)[1] - 1
@@ -79,17 +79,18 @@ def symbol_anchors(texts: pa.Array, window: int = WINDOW):
     one, two = Prefix(word, 0), Prefix(span_hash(buf, begin, end, lane=1), 1)
     at = first[symbol]
     key = mix(one.span(at - margin, past[symbol] + margin) + mix(name[symbol]))
-    cls = mix(two.span(lo, lo + n - 1 + window) ^ mix((at - lo).astype(U64) * U64(1 << 32) + n.astype(U64)))
+    run = run_of(n, at - lo)
+    cls = mix(two.span(lo, lo + n - 1 + window) ^ mix(run.astype(U64)))
     base = np.searchsorted(row, row[lo], side="left")
-    return row[lo], lo - base, n, key, cls
+    return row[lo], lo - base, run, key, cls
 
 
-def window_hashes(texts: pa.Array, row: np.ndarray, start: np.ndarray, window: int = WINDOW):
+def word_window_spans(texts: pa.Array):
     buf, offs = text_buffer(texts)
     begin, end, of = word_spans(buf, offs)
-    at = np.searchsorted(of, row, side="left") + start
-    one, two = (mix(Prefix(span_hash(buf, begin, end, lane=k), k).span(at, at + window)) for k in (0, 1))
-    return one, two
+    lanes = [Prefix(span_hash(buf, begin, end, lane=k), k) for k in (0, 1)]
+    first = np.searchsorted(of, np.arange(len(texts)), side="left")
+    return lambda row, start, stop, lane: lanes[lane].span(first[row] + start, first[row] + stop)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -103,7 +104,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts are read whole.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated(source, lambda t: symbol_anchors(t, window), lambda t, r, s: window_hashes(t, r, s, window), same_document=False)
+    found = repeated(source, lambda t: symbol_anchors(t, window), word_window_spans, window, same_document=False)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysafe.llm.common import U64, mix, slices, text_buffer
-from polysafe.llm.repeats import BYTE_VALUES, NULL_ID, Prefix, covered, repeated, span_array
+from polysafe.llm.repeats import BYTE_VALUES, NULL_ID, Prefix, covered, repeated, run_of, span_array
 
 WINDOW = 100
 Q = 32
@@ -52,15 +52,15 @@ def bucket_anchors(texts: pa.Array, window: int = WINDOW, q: int = Q):
     lo = starts[new]
     n = np.diff(np.append(np.flatnonzero(new), len(starts)))
     place, row = place[new], row[new]
-    cls = mix(two.span(lo, lo + n - 1 + window) ^ mix((place - lo).astype(U64) * U64(1 << 32) + n.astype(U64)))
-    return row, lo - offs[row], n, bucket[place], cls
+    run = run_of(n, place - lo)
+    cls = mix(two.span(lo, lo + n - 1 + window) ^ mix(run.astype(U64)))
+    return row, lo - offs[row], run, bucket[place], cls
 
 
-def window_hashes(texts: pa.Array, row: np.ndarray, start: np.ndarray, window: int = WINDOW):
+def byte_spans(texts: pa.Array):
     buf, offs = text_buffer(texts)
-    at = offs[row] + start
-    one, two = (mix(Prefix(BYTE_VALUES[k][buf], k).span(at, at + window)) for k in (0, 1))
-    return one, two
+    lanes = [Prefix(BYTE_VALUES[k][buf], k) for k in (0, 1)]
+    return lambda row, start, end, lane: lanes[lane].span(offs[row] + start, offs[row] + end)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, q: int = Q) -> DataFrame:
@@ -73,7 +73,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; other columns are ignored; texts are read whole.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated(source, lambda t: bucket_anchors(t, window, q), lambda t, r, s: window_hashes(t, r, s, window), same_document=True)
+    found = repeated(source, lambda t: bucket_anchors(t, window, q), byte_spans, window, same_document=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
