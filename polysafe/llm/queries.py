@@ -32,7 +32,26 @@ def op1_language_id(spark, sf_dir):
 @register
 def op2_ngram_jaccard(spark, sf_dir):
     """Whole documents whose 3-word shingles are similar to 90 in a hundred, by component."""
-    return ngram_join.similar_components(read(spark, sf_dir, "documents"))
+    return ngram_join.similar_components(read(spark, sf_dir, "documents")).drop("class_id")
+
+
+ORACLE["op2_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
 
 
 @register
@@ -81,6 +100,23 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
 
 
+ORACLE["op6_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(0, octet_length(h))) AS i FROM d),
+p AS (SELECT doc_id, i, h[i + 1:i + 1] AS byte, CASE WHEN i + 100 <= octet_length(h) THEN h[i + 1:i + 100] END AS win FROM b),
+f AS (SELECT win, min(struct_pack(doc_id := doc_id, i := i)) AS first_at FROM p WHERE win IS NOT NULL GROUP BY win),
+m AS (SELECT p.doc_id, p.i, byte, max(CASE WHEN first_at < struct_pack(doc_id := p.doc_id, i := p.i) THEN p.i END)
+        OVER (PARTITION BY p.doc_id ORDER BY p.i) AS back FROM p LEFT JOIN f USING (win)),
+g AS (SELECT *, coalesce(back > i - 100, false) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+r AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+        string_agg(hex(byte), '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 @register
 def op7_decontamination(spark, sf_dir):
     """Every occurrence of a benchmark item in whole documents."""
