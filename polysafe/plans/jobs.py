@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 
 from polysafe.dims import STUDY_LANGUAGES, LanguageDim
 from polysafe.functions.text import first_segment, iso_code
-from polysafe.operators import analysis, corpus, metrics, scoring
-from polysafe.operators import vectors as vx
-from polysafe.session import cut_lineage
+from polysafe.operators import analysis, corpus, metrics, probes, scoring
 from polysafe.sources import readers, sinks
 
 RUN_KEYS = ["model", "checkpoint", "prompt_type"]
@@ -54,7 +52,9 @@ def evaluate_runs(spark: SparkSession, runs_root: str, out_root: str, dim: Langu
     """
     scored_path = os.path.join(out_root, "scored")
     raw = readers.discover_runs(spark, runs_root, glob)
-    raw = raw.select("model", "checkpoint", *[F.col(c).cast(t).alias(c) for c, t in
+    # pandas writes whole numbers beside missing ones as 0.0
+    number = {"int": lambda c: c.cast("double").cast("int")}
+    raw = raw.select("model", "checkpoint", *[number.get(t, lambda c, t=t: c.cast(t))(F.col(c)).alias(c) for c, t in
                                               (x.split() for x in OUTPUT_SCHEMA.split(", "))])
     if _exists(spark, scored_path):
         done = _read_scored(spark, scored_path).select("model", "checkpoint").distinct()
@@ -114,21 +114,10 @@ def analyse_scores(spark: SparkSession, scores_root: str, dim: LanguageDim = STU
     }
 
 
-def probe_latent_space(spark: SparkSession, acts: DataFrame, lg1: str = "en", kind: str = "logistic",
-                       out_path: str | None = None) -> DataFrame:
-    """PCA fitted on ``lg1`` activations, applied per other language and layer; probe metrics."""
-    from polysafe.plans.queries import probe_metrics_frame
-
-    keys = [(r["language"], r["layer"]) for r in
-            acts.where(F.col("language") != lg1).select("language", "layer").distinct().collect()]
-    out = None
-    for lang, layer in sorted(keys):
-        fit = acts.where((F.col("language") == lg1) & (F.col("layer") == layer))
-        app = acts.where((F.col("language") == lang) & (F.col("layer") == layer))
-        p = cut_lineage(vx.pca_fit_apply(fit, app, "vec", 2).select(
-            "prompt_type", "harmful", "refusal", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y")))
-        m = probe_metrics_frame(spark, p, kind).withColumn("language", F.lit(lang)).withColumn("layer", F.lit(layer))
-        out = m if out is None else out.unionByName(m)
-    if out is not None and out_path:
+def probe_latent_space(spark: SparkSession, acts: DataFrame, kind: str = "logistic", out_path: str | None = None) -> DataFrame:
+    """Seven probes for every language and every fourth layer, on the components of the layer's balanced rows."""
+    a = probes.every_fourth_layer(acts)
+    out = probes.probe_metrics(probes.project(a, probes.components(probes.fit_set(a))), ["language", "layer"], kind)
+    if out_path:
         sinks.write_metrics(out, out_path)
     return out

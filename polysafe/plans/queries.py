@@ -16,7 +16,7 @@ from polysafe.dims import HARD_LANGUAGES, ISO_CODES, LANGUAGE_DRAW_SEED, STUDY_L
 from polysafe.functions import chat
 from polysafe.functions import text as tx
 from polysafe.functions.scores import display_round, resource_class
-from polysafe.operators import analysis, corpus, metrics, profile, sampling, scoring
+from polysafe.operators import analysis, corpus, metrics, probes, profile, sampling, scoring
 from polysafe.operators import vectors as vx
 from polysafe.plans.adapters import FIXTURE_RUNS, activations, eval_rows, marked, model_outputs, safety_rows
 from polysafe.session import cut_lineage, ensure_parallel
@@ -573,13 +573,11 @@ def q_auc_rank(spark, sf_dir):
     return r.select("prompt_type", "n_pos", "n_neg", _r6(F.col("auc")).alias("auc"))
 
 
-def _projection(spark, sf_dir, lg1="en"):
-    a = activations(spark, sf_dir)
-    fit = a.where(F.col("language") == lg1)
-    app = a.where(F.col("language") != lg1)
-    p = vx.pca_fit_apply(fit, app, "vec", 2)
-    return p.select("prompt_id", "language", "layer", "harmful", "prompt_type", "refusal",
-                    F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+def _projection(spark, sf_dir):
+    """Every activation of every fourth layer on its layer's two components (fitted on the balanced rows of all languages)."""
+    a = probes.every_fourth_layer(activations(spark, sf_dir))
+    return probes.project(a, probes.components(probes.fit_set(a))).select(
+        "prompt_id", "language", "layer", "harmful", "prompt_type", "refusal", "x", "y")
 
 
 @register("pca_projection")
@@ -589,67 +587,28 @@ def q_pca_projection(spark, sf_dir):
 
 @register("standardize_2d")
 def q_standardize_2d(spark, sf_dir):
+    """Points standardised within their language and layer, over all prompts and over their prompt type."""
     p = _projection(spark, sf_dir)
-    scoped = p.withColumn("scope", F.lit("all")).unionByName(p.withColumn("scope", F.col("prompt_type")))
-    return vx.standardize(scoped, ["x", "y"], ["scope"])
-
-
-PROBE_TARGETS = [("all", "harmful"), ("all", "form"), ("all", "refusal"), ("vanilla", "harmful"),
-                 ("vanilla", "refusal"), ("adversarial", "harmful"), ("adversarial", "refusal")]
-
-
-def probe_metrics_frame(spark, p: DataFrame, kind: str = "logistic") -> DataFrame:
-    """Seven (scope, target) probes, each with its own scaler and classifier.
-
-    A short driver loop of distributed fits; only the metric values (two
-    floats per probe) reach the driver.
-    """
-    rows = []
-    # the projection is re-read by 7 x (fit iterations + metrics): materialise it once
-    p = cut_lineage(p.select("prompt_type", "harmful", "refusal", "x", "y")
-                    .withColumn("form", (F.col("prompt_type") == "adversarial").cast("int")))
-    for scope, target in PROBE_TARGETS:
-        s = p if scope == "all" else p.where(F.col("prompt_type") == scope)
-        s = vx.standardize(s, ["x", "y"])
-        model, pred = vx.fit_probe(s, ["x_std", "y_std"], target, kind)
-        rows.append((scope, target, float(vx.accuracy(pred)), float(vx.auc_evaluator(pred))))
-    return spark.createDataFrame(rows, "scope string, target string, accuracy double, auc double")
+    scoped = p.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("prompt_type"))))
+    return probes.standardized(scoped, ["language", "layer", "scope"])
 
 
 @register("probe_metrics")
 def q_probe_metrics(spark, sf_dir):
-    return probe_metrics_frame(spark, _projection(spark, sf_dir))
+    """The seven probes of each layer over all languages."""
+    return probes.probe_metrics(_projection(spark, sf_dir), ["layer"])
 
 
 @register("decision_grid")
 def q_decision_grid(spark, sf_dir):
-    p = _projection(spark, sf_dir)
-    s = vx.standardize(p, ["x", "y"])
-    model, _ = vx.fit_probe(s, ["x_std", "y_std"], "harmful")
-    stats = p.agg(F.avg("x").alias("_mu_x"), F.stddev_pop("x").alias("_sd_x"),
-                  F.avg("y").alias("_mu_y"), F.stddev_pop("y").alias("_sd_y"))
-    coef = model.coefficients.toArray().tolist()
-    return vx.decision_grid(p, "x", "y", coef, float(model.intercept), stats)
+    """The three decision boundaries of each layer over all languages."""
+    return probes.decision_grids(_projection(spark, sf_dir), ["layer"])
 
 
 @register("layer_sweep")
 def q_layer_sweep(spark, sf_dir):
-    """Probe metrics per (language, layer): the sweep keys are a bounded dimension."""
-    a = activations(spark, sf_dir)
-    keys = [(r["language"], r["layer"]) for r in
-            a.where(F.col("language") != "en").select("language", "layer").distinct().orderBy("language", "layer").collect()]
-    out = None
-    for lang, layer in keys:
-        fit = a.where((F.col("language") == "en") & (F.col("layer") == layer))
-        app = a.where((F.col("language") == lang) & (F.col("layer") == layer))
-        pr = cut_lineage(vx.pca_fit_apply(fit, app, "vec", 2).select(
-            "harmful", "prompt_type", "refusal", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y")))
-        s = vx.standardize(pr, ["x", "y"])
-        model, pred = vx.fit_probe(s, ["x_std", "y_std"], "harmful")
-        m = spark.createDataFrame([(lang, layer, float(vx.accuracy(pred)), float(vx.auc_evaluator(pred)))],
-                                  "language string, layer int, accuracy double, auc double")
-        out = m if out is None else out.unionByName(m)
-    return out
+    """The seven probes of each language and layer."""
+    return probes.probe_metrics(_projection(spark, sf_dir), ["language", "layer"])
 
 
 @register("translated_refusal_matrix")
@@ -674,5 +633,5 @@ def q_html_decode(spark, sf_dir):
 
 @register("probe_metrics_svm")
 def q_probe_metrics_svm(spark, sf_dir):
-    """The linear-SVM probe option (margin scores, no Platt scaling)."""
-    return probe_metrics_frame(spark, _projection(spark, sf_dir), kind="svm")
+    """The linear-SVM probes of each layer over all languages (margins as scores)."""
+    return probes.probe_metrics(_projection(spark, sf_dir), ["layer"], kind="svm")

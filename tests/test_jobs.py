@@ -61,5 +61,5 @@ def test_probe_latent_space(spark, scratch):
     from polysafe.plans.adapters import activations
     acts = activations(spark, "/root/testdata/sf0.01").where(F.col("layer") == 27)
     m = jobs.probe_latent_space(spark, acts, out_path=os.path.join(scratch, "probe"))
-    assert m.count() == 3 * 7
-    assert spark.read.json(os.path.join(scratch, "probe")).count() == 21
+    assert m.count() == 4 * 7  # the fit languages are judged too
+    assert spark.read.json(os.path.join(scratch, "probe")).count() == 28
