@@ -103,12 +103,13 @@ def html_unescape(texts: pd.Series) -> pd.Series:
 
 def iso_code(detector_label: Column, fallback: Column | None = None) -> Column:
     """Detector label (``xxx_Script``) -> ISO 639-1; ``zh-cn`` -> ``zh``; Arabic
-    dialects -> ``ar``; unknown codes pass through; null -> ``fallback``."""
+    dialects -> ``ar``; unknown codes pass through; null -> ``fallback``, folded likewise."""
     prefix = F.split_part(detector_label, F.lit("_"), F.lit(1))
     mapping = F.create_map(*[x for k, v in ISO_CODES.items() for x in (F.lit(k), F.lit(v))])
     iso = F.coalesce(F.try_element_at(mapping, prefix), prefix)
-    iso = F.when(iso == "zh-cn", F.lit("zh")).when(iso.isin(ARABIC_DIALECTS), F.lit("ar")).otherwise(iso)
-    return F.coalesce(iso, fallback) if fallback is not None else iso
+    if fallback is not None:
+        iso = F.coalesce(iso, fallback)
+    return F.when(iso == "zh-cn", F.lit("zh")).when(iso.isin(ARABIC_DIALECTS), F.lit("ar")).otherwise(iso)
 
 
 def class_from_label(label: Column) -> Column:

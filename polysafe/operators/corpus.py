@@ -149,7 +149,7 @@ def lookup_translations(fanned: DataFrame, store: DataFrame, key: str, text_col:
 
 def pending_keys(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Resume: rows of ``wanted`` whose keys are not in ``done`` yet (left anti)."""
-    return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return wanted.join(done.select(*keys), list(keys), "left_anti")
 
 
 def complete_harmless(base: DataFrame, pool: DataFrame, n_new: int, dim: LanguageDim, key: str,

@@ -4,17 +4,11 @@ pandas/numpy random streams cannot be reproduced, so the row order of every
 draw is ``md5(concat_ws('|', key, seed))`` with the key as tie-break — the
 same in Spark and in SQL engines.
 
-Two physical strategies:
-
-* ``rn <= literal`` per group (``sample_per_group``, ``sample_global``): Spark
-  plans a *window group limit*, so each map task keeps at most ``n`` rows per
-  group before the shuffle — a hot group costs ``n`` rows per task.
-* ``first_k`` for quotas that depend on the data (fractions, ceilings,
-  minimum of two counts): an exact selection through a histogram over
-  65,536 order buckets.  Only the histogram (groups x buckets) is windowed
-  per group; the rows themselves are ranked per *(group, bucket)*, which
-  spreads a group holding a third of the data over thousands of tasks.
-  Nothing is collected on the driver and no group lands in one task.
+``first_k`` makes every exact selection through a histogram over 65,536 order
+buckets: rows of buckets below a group's cut are kept by a filter where they
+are read, and only the rows of the cut bucket itself (one in 65,536) are
+ranked, per *(group, bucket)*.  A group holding a third of the data is never
+gathered, no payload is shuffled, and nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -42,18 +36,11 @@ def hash_bucket(h: Column) -> Column:
     return ((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)
 
 
-def _rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> Column:
-    w = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
-    return F.row_number().over(w)
-
-
 def sample_per_group(df: DataFrame, groups: Sequence[str], n: int, key: str, seed: int = SEED,
                      strict: bool = False) -> DataFrame:
     """``n`` rows per group, without replacement (W1).  ``strict``: a group smaller than n is an error."""
     groups = list(groups)
-    h = hash_order(key, seed)
-    ranked = df.withColumn("_h", h).withColumn("_rn", _rank(df, groups, [F.col("_h"), F.col(key)]))
-    out = ranked.where(F.col("_rn") <= n).drop("_h", "_rn")
+    out = first_k_by_hash(df, groups, n, key, seed)
     if strict:
         small = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") < n)
         check = small.select(*groups, F.raise_error(F.concat(F.lit("group too small for sample of "), F.lit(str(n))))
@@ -103,11 +90,11 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int |
         j = join_checked(d, cut, groups)
     else:
         j = d.withColumn("_cut", cut.select("_cut").scalar()).withColumn("_need", cut.select("_need").scalar())
-    j = j.where(F.col("_b") <= F.col("_cut"))
-    rn = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order))
-    j = j.withColumn("_rn", rn)
-    keep = (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_need"))
-    return j.where(keep).drop("_b", "_cut", "_need", "_rn")
+    below = j.where(F.col("_b") < F.col("_cut"))
+    at_cut = j.where(F.col("_b") == F.col("_cut")).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order)))
+    at_cut = at_cut.where(F.col("_rn") <= F.col("_need")).drop("_rn")
+    return below.unionByName(at_cut).drop("_b", "_cut", "_need")
 
 
 def first_k_by_hash(df: DataFrame, groups: Sequence[str], k, key: str, seed: int = SEED,
@@ -122,8 +109,8 @@ def first_k_by_key(df: DataFrame, groups: Sequence[str], k, key: str) -> DataFra
     groups = list(groups)
     rng = df.groupBy(*groups).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     d = join_checked(df, rng, groups)
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    b = F.least(F.floor((F.col(key) - F.col("_lo")).cast("double") * N_BUCKETS / width), F.lit(N_BUCKETS - 1)).cast("int")
+    low, high, at = (F.col(c).cast("double") for c in ("_lo", "_hi", key))  # a wide range of longs would overflow
+    b = F.least(F.floor((at - low) * N_BUCKETS / (high - low + 1)), F.lit(N_BUCKETS - 1)).cast("int")
     return first_k(d, groups, k, [F.col(key)], b).drop("_lo", "_hi")
 
 
@@ -144,8 +131,8 @@ def sample_ceil(df: DataFrame, ratio: float, key: str, seed: int = SEED) -> Data
 
 
 def sample_global(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
-    """Shuffle then first ``n`` (W4): a top-n by hash, merged from per-partition top-n."""
-    return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    """Shuffle then first ``n`` (W4): the first rows by hash, in that order; only these n are sorted."""
+    return first_k_by_hash(df, [], n, key, seed).orderBy(hash_order(key, seed), key)
 
 
 def sample_quota(df: DataFrame, groups: Sequence[str], quotas: DataFrame, key: str, seed: int = SEED) -> DataFrame:

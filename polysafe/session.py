@@ -22,6 +22,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -52,8 +53,9 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (local runs, tests) a fresh
-    scratch folder is created and registered.
+    Only a local master may leave ``spark.checkpoint.dir`` unset: then a fresh
+    scratch folder is created.  On a cluster each machine would write to a
+    disk of its own, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     active = sc._jsc.sc().getCheckpointDir()
@@ -61,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return active.get()
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="polysafe-ckpt-")
     sc.setCheckpointDir(current)
     return current
@@ -76,7 +80,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -88,7 +92,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -100,38 +104,35 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread row-heavy work over the cluster when the scan yields too few splits.
+    """Spread a table that arrives as one single split.
 
-    Large inputs arrive in thousands of file splits and are left alone (no
-    extra shuffle).  A table stored as one big row group is read by a single
-    task; before CPU-heavy per-row work (regexes, Arrow UDFs over long texts)
-    it is dealt round-robin to ``defaultParallelism`` partitions.
+    A small table written as one row group is read by one task; before
+    CPU-heavy work on whole texts it is dealt to ``defaultParallelism``
+    partitions.  Anything with two splits or more is left alone: a large
+    table is never moved for the sake of idle cores.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(want)
+    return df.repartition(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
-# A side of at most this many rows is broadcast after its size is checked.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int | None = None) -> DataFrame:
     """Join against a derived side whose size is checked, not assumed.
 
     The side (one row per group, per winner, ...) is materialised first
-    (reliable checkpoint) and counted; within ``max_rows`` it is broadcast,
-    so the big side is neither shuffled nor skewed by the join key; beyond
-    it the join is left to a regular shuffle join.
+    (reliable checkpoint) and measured; within ``max_bytes`` (by default the
+    session's broadcast threshold) it is broadcast, so the big side is neither
+    shuffled nor skewed by the join key; beyond it the join is left to a
+    regular shuffle join.
     """
     from pyspark.sql import functions as F
 
     small = cut_lineage(small)
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
+    if max_bytes is None:
+        max_bytes = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns]))))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= max_bytes else small, on, how)

@@ -19,12 +19,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+_RELATIONS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     path = table_path(sf_dir, name)
-    key = (id(spark._jsparkSession), path)
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), path)
     df = _RELATIONS.get(key)
     if df is None:
         df = _RELATIONS[key] = spark.read.parquet(path)

@@ -69,18 +69,15 @@ def test_harmonic(spark):
 
 
 def test_margins_std_and_corners(spark):
-    # columns x=(1,3), y=(2,6): harmonic margins use sample std; no corner cells
-    rows = [("x", "vanilla", "l1", 1.0), ("x", "vanilla", "l2", 3.0),
-            ("y", "vanilla", "l1", 2.0), ("y", "vanilla", "l2", 6.0)]
-    df = spark.createDataFrame(rows, "model string, prompt_type string, language string, v double")
-    long = df.withColumn("matrix", F.lit("harmonic")).select("prompt_type", "matrix", "model", "language",
-                                                              F.col("v").alias("value"))
-    per_model = long.groupBy("model").agg(F.stddev_samp("value").alias("s")).orderBy("model").collect()
-    assert per_model[0]["s"] == pytest.approx(1.414214, abs=1e-6)
-    assert per_model[1]["s"] == pytest.approx(2.828427, abs=1e-6)
-    per_lang = long.groupBy("language").agg(F.stddev_samp("value").alias("s")).orderBy("language").collect()
-    assert per_lang[0]["s"] == pytest.approx(0.707107, abs=1e-6)
-    assert per_lang[1]["s"] == pytest.approx(2.121320, abs=1e-6)
+    # over-refusal 100 - v makes the harmonic score v: columns x=(1,3), y=(2,6)
+    rows = [(m, "vanilla", lang, v, 100.0 - v) for m, lang, v in (("x", "l1", 1.0), ("x", "l2", 3.0), ("y", "l1", 2.0), ("y", "l2", 6.0))]
+    df = spark.createDataFrame(rows, "model string, prompt_type string, language string, refusal double, over_refusal double")
+    got = {(r["matrix"], r["model"], r["language"]): r["value"] for r in analysis.margins(df).collect()}
+    for key, want in {("x", "std"): 1.414214, ("y", "std"): 2.828427, ("std", "l1"): 0.707107, ("std", "l2"): 2.121320,
+                      ("x", "mean"): 2.0, ("mean", "l2"): 4.5}.items():
+        assert got[("harmonic", *key)] == pytest.approx(want, abs=1e-6)
+    assert ("harmonic", "mean", "mean") not in got and not any(k[0] != "harmonic" and "std" in k for k in got)
+    assert got[("refusal", "mean", "mean")] == pytest.approx(3.0)
 
 
 def test_box_quartiles(spark):

@@ -28,9 +28,11 @@ def test_flagship_single_scan_and_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in p
 
 
-def test_window_group_limit_for_literal_quota(spark):
-    df = QUERIES["sample_per_group"](spark, SF01)
-    assert "WindowGroupLimit" in _plan(df)
+def test_sampling_ranks_only_the_cut_bucket(spark):
+    """Rows below the cut never meet a window: one branch of the union has none."""
+    p = QUERIES["sample_per_group"](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    below, at_cut = p.split("Union")[1].split("Window", 1)
+    assert "< _cut" in below and "= _cut" in at_cut
 
 
 def test_analysis_reads_checkpoint_not_sources(spark):

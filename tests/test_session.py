@@ -16,9 +16,10 @@ def test_join_checked_broadcasts_small_and_shuffles_large(spark):
     try:
         big = spark.range(10_000).withColumn("g", F.col("id") % 5)
         small = big.groupBy("g").agg(F.count("*").alias("n"))
-        assert "BroadcastHashJoin" in _plan(join_checked(big, small, "g"))
-        assert "BroadcastHashJoin" not in _plan(join_checked(big, small, "g", max_rows=2))
-        assert join_checked(big, small, "g", max_rows=2).count() == 10_000
+        assert "BroadcastHashJoin" in _plan(join_checked(big, small, "g", max_bytes=10_000))
+        assert "BroadcastHashJoin" not in _plan(join_checked(big, small, "g", max_bytes=20))
+        assert "BroadcastHashJoin" not in _plan(join_checked(big, small, "g"))  # the session allows none
+        assert join_checked(big, small, "g", max_bytes=20).count() == 10_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -26,7 +27,8 @@ def test_join_checked_broadcasts_small_and_shuffles_large(spark):
 
 def test_ensure_parallel(spark):
     wide = spark.range(0, 1000, numPartitions=64)
-    assert ensure_parallel(wide) is wide                     # many splits: untouched, no shuffle
+    assert ensure_parallel(wide) is wide                     # several splits: untouched, no shuffle
+    assert ensure_parallel(wide.coalesce(2), 8).rdd.getNumPartitions() == 2
     narrow = spark.range(0, 1000, numPartitions=1)
     spread = ensure_parallel(narrow, 8)
     assert spread.rdd.getNumPartitions() == 8
