@@ -101,6 +101,11 @@ LEFT JOIN (SELECT model, prompt_type, {_IN_DIST} AS in_dist, category, avg(refus
  ON g.model = k.model AND g.prompt_type = k.prompt_type AND g.in_dist = k.in_dist AND g.category = k.category"""
 ORACLE["in_out_category"] = _H(_IN_OUT_CATEGORY)
 
+ORACLE["ood_diff"] = _H(f"""
+SELECT model, prompt_type, category, harmonic,
+ harmonic - max(CASE WHEN model = 'en' THEN harmonic END) OVER (PARTITION BY prompt_type, category) AS harmonic_diff
+FROM ({_IN_OUT_CATEGORY}) WHERE in_dist = 'Out'""")
+
 ORACLE["score_points"] = _H("""
 SELECT model, prompt_type, language, refusal AS x, 100.0 - over_refusal AS y,
  CAST(len(string_split(model, '_')) AS INTEGER) AS arity,

@@ -120,6 +120,13 @@ def q_in_out_category(spark, sf_dir):
     return analysis.in_out_category(scores(spark, sf_dir))
 
 
+@register("ood_diff")
+def q_ood_diff(spark, sf_dir):
+    """Out-of-distribution category scores less those of the English-only run."""
+    c = analysis.in_out_category(scores(spark, sf_dir)).where(F.col("in_dist") == "Out").select("model", "prompt_type", "category", "harmonic")
+    return analysis.baseline_diff(c, "harmonic", ["prompt_type", "category"])
+
+
 @register("score_points")
 def q_score_points(spark, sf_dir):
     return analysis.score_points(scores(spark, sf_dir))
