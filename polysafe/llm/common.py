@@ -8,6 +8,7 @@ size plus the longest single document.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -160,12 +161,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stored``, in buckets of ``key``: later joins on it do not move the table again.
+
+    A session keeps the number of buckets only with a catalogue entry, which
+    is needed while the table is looked up and is dropped at once; the files stay.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{table}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(shuffle_parts(spark), key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    release(spark)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Free the disk of finished shuffles.
 
     Spark deletes a shuffle's files when the driver's garbage collector finds
     its plan unreachable, else only every ``spark.cleaner.periodicGC.interval``
     (30 minutes), which lets a query of several jobs pile up all of them.
+    The first collection frees what holds a plan, the second the plan.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, stored
+from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, stored, stored_by
 
 #: A null id stands for itself under this number.
 NULL_ID = -(2**63)
@@ -76,7 +76,8 @@ class Prefix:
 def later(rows: DataFrame, same_document: bool) -> DataFrame:
     """``id, lo, run, refine``: rows whose class began earlier, and the first of classes that share their key.
 
-    ``rows`` has ``key, cls, id, lo, run``.  Earlier is a smaller id or, with
+    ``rows`` has ``key, cls, id, lo, run``; those with a negative run are decided
+    already (``settle``) and passed on.  Earlier is a smaller id or, with
     ``same_document``, the same id and a smaller place.  Rows stream by in
     order; what is held back is at most one document's share of one key.
     """
@@ -89,6 +90,12 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
             if not b.num_rows:
                 continue
             key, cls, ids, lo, run = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if (known := run < 0).any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[known]), pa.array(lo[known]), pa.array(~run[known]), pa.array(np.zeros(int(known.sum()), bool))], names=["id", "lo", "run", "refine"])
+                key, cls, ids, lo, run = (c[~known] for c in (key, cls, ids, lo, run))
+                if not len(key):
+                    continue
             new_key, new_cls = np.ones(len(key), bool), np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
             new_cls[1:] = new_key[1:] | (cls[1:] != cls[:-1])
@@ -125,6 +132,21 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
     return placed.mapInArrow(stream, "id long, lo int, run int, refine boolean")
 
 
+def settle(key, cls, ids, lo, run, same_document: bool):
+    """The rows, in order; those that come after one of their class here are decided (run turned negative) and dealt out evenly.
+
+    A common passage thus sends a row or two from each slice of text to the task of its key.
+    """
+    order = np.lexsort((lo, ids, cls, key))
+    key, cls, ids, lo, run = (c[order] for c in (key, cls, ids, lo, run))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    after = (ids > ids[first]) | ((lo > lo[first]) if same_document else False)
+    apart = mix(ids.astype(U64) ^ mix(lo.astype(U64)))
+    return np.where(after, apart, key.astype(U64)), cls, ids, lo, np.where(after, ~run, run)
+
+
 def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_document: bool) -> DataFrame:
     """``id, text, spans``: each document with repeated windows, and the runs (lo, run) of their starts.
 
@@ -142,7 +164,7 @@ def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_
         for b in slices(batches, "text", _SLICE):
             row, lo, run, key, cls = anchors(b.column("text"))
             if len(row):
-                yield batch(key, cls, b.column("id").to_numpy()[row], lo, run)
+                yield batch(*settle(key, cls, b.column("id").to_numpy()[row], lo, run, same_document))
 
     def group_rows(size: int):
         """Rows of the groups of ``size`` windows, cut at multiples of ``size`` before the anchor."""
@@ -174,7 +196,7 @@ def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_
         return stored(found.groupBy("id").agg(*pick), name)
 
     coarse = by_document(later(docs.mapInArrow(anchor_rows, schema), same_document), "coarse")
-    touched = stored(docs.join(coarse, "id"), "touched")
+    touched = stored_by(docs.join(coarse, "id"), "touched", "id")
     edges = touched.where(F.size("refine") > 0).select("id", "text", "refine")
     middle = by_document(later(edges.mapInArrow(group_rows(GROUP), schema), same_document), "middle")
     edges = touched.select("id", "text").join(middle.where(F.size("refine") > 0).select("id", "refine"), "id")
