@@ -174,9 +174,10 @@ def judge(
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     good = labels.where((F.col(quality_col) == 1) & (F.coalesce(F.col(toxic_col), F.lit(0)) == 0)).select(F.col(id_col).cast("long").alias("id")).distinct()
-    model = train(source.where("text <> ''").select("id", "text").join(good, "id", "left_semi"))
+    # The labels grow with the documents, so this join moves both sides at any size.
+    model = train(source.where("text <> ''").select("id", "text").join(good.hint("merge"), "id", "left_semi"))
     scored = stored(score(source, model), "scored")
-    trusted = scored.where("perplexity is not null").join(good, "id", "left_semi")
+    trusted = scored.where("perplexity is not null").join(good.hint("merge"), "id", "left_semi")
     quantiles = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(_ACCURACY)).alias("q")
     by_lang = trusted.where("lang is not null").groupBy("lang").agg(quantiles)
     overall = trusted.agg(quantiles).first()[0] or [0.0, float("inf")]
