@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +13,9 @@ import pyarrow.compute as pc
 from polysafe.llm.common import text_buffer
 
 #: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
+#: Words encoded in one call; what a call returns is much larger than the ids.
+_CALL = 5_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -21,6 +25,8 @@ _MARK = np.zeros(256, bool)
 _MARK[33:127] = True
 _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
 _MARK[ord("'")] = False  # an apostrophe may belong to a contraction
+#: Words of Latin letters only: lower case and canonical composition are a letter's own affair.
+_PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordTokenizer:
@@ -35,23 +41,33 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # What the normaliser and the pre-tokenizer make of each Latin letter.
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        normal = self.tokenizer.normalizer.normalize_str
+        self.letters = {c: split(normal(chr(c)))[0][0] for c in range(0xC0, 0x100) if _PLAIN.fullmatch(chr(c))}
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = [0]
 
     def _learn(self, words: list[str]) -> None:
-        at = self.ends[-1]
-        for word, done in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            got = done.ids
-            if at + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.uint32)])
-            self.ids[at:at + len(got)] = got
-            at += len(got)
-            self.known[word] = len(self.ends) - 1
-            self.ends.append(at)
+        """A word of Latin letters is one piece for the tokenizer and goes to its model at once; others go all the way."""
+        for k in range(0, len(words), _CALL):
+            call = words[k:k + _CALL]
+            plain = [bool(_PLAIN.fullmatch(w)) for w in call]
+            rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(call, plain) if not p], add_special_tokens=False))
+            model = self.tokenizer.model.tokenize
+            ids = [[t.id for t in model(w.translate(self.letters))] if p else next(rest).ids for w, p in zip(call, plain)]
+            at = self.ends[-1]
+            flat = np.array([x for got in ids for x in got], np.uint32)
+            if at + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+            self.ids[at:at + len(flat)] = flat
+            self.known.update(zip(call, range(len(self.ends) - 1, len(self.ends) - 1 + len(call))))
+            self.ends.extend((at + np.cumsum([len(got) for got in ids])).tolist())
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): each text's ids and then ``end_id``; a null text is empty."""
