@@ -13,7 +13,7 @@ skipped and the other raised.
 
 Sets that meet are filtered by size and by the parity of hashed elements (a
 lower bound of the difference), then verified exactly.  Components need no
-more than one path, so a bucket first compares all with one of its sets and
+more than one path, so a bucket first compares all with two of its sets and
 then only what is still in different components.
 """
 
@@ -34,12 +34,12 @@ from polysafe.llm.repeats import NULL_ID
 SHINGLE = 3
 #: Similarity as a fraction of hundred.
 PERCENT = 90
-#: Rounds of one comparison per bucket member before the pairwise rest.
-STAR_ROUNDS = 2
-#: Bits of the parity sketch.
-SKETCH = 256
-#: A subset of fewer elements meets others by chance.
-POOR = 2
+#: Members of a bucket that all others are compared with before the pairwise rest.
+LEADERS = 2
+#: Bits of the parity sketch, and of its folded form that travels with bucket members.
+SKETCH, FOLDED = 1024, 256
+#: Comparisons of two bucket members that cost as much as one more index entry.
+ENTRY_COST = 50
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def in_segments(grams: np.ndarray, offs: np.ndarray, rows: np.ndarray, scheme: n
 
 
 def describe(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """``id, n, d1, d2, p0..p3``: set size, digest and parity sketch of each document."""
+    """``id, n, d1, d2, p0..p3, parity``: set size, digest, folded and whole parity sketch of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -115,20 +115,25 @@ def describe(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
                 d1[full], d2[full] = mix(np.add.reduceat(one, at)), np.add.reduceat(mix(grams ^ U64(0x7654321)), at)
                 doc = np.repeat(np.arange(len(n)), n)
                 bits = np.bincount(doc * SKETCH + (one % U64(SKETCH)).astype(np.int64), minlength=len(n) * SKETCH).reshape(len(n), SKETCH)
-            sketch = np.packbits((bits & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+            odd = (bits & 1).astype(np.uint8)
+            folded = np.bitwise_xor.reduce(odd.reshape(len(n), SKETCH // FOLDED, FOLDED), axis=1)
+            sketch = np.packbits(folded, axis=1).view(">i8").astype(np.int64)
+            whole = np.packbits(odd, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(d1)), pa.array(signed(d2)), *(pa.array(sketch[:, k]) for k in range(4))],
-                names=["id", "n", "d1", "d2", "p0", "p1", "p2", "p3"])
+                [b.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(d1)), pa.array(signed(d2)), *(pa.array(sketch[:, k]) for k in range(4)),
+                 pa.array([x.tobytes() for x in whole], pa.binary())],
+                names=["id", "n", "d1", "d2", "p0", "p1", "p2", "p3", "parity"])
 
-    return docs.mapInArrow(rows, "id long, n long, d1 long, d2 long, p0 long, p1 long, p2 long, p3 long")
+    return docs.mapInArrow(rows, "id long, n long, d1 long, d2 long, p0 long, p1 long, p2 long, p3 long, parity binary")
 
 
 def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
     """Thresholds other than 0, by segment number: -1 and 1 in equal numbers within each scheme.
 
     Counted over all documents; one number per segment, whose count depends on
-    the longest set only.  Skipping segment i for raising j pays when the
-    pairs of poor subsets in i outnumber the deletions that j adds.
+    the longest set only.  Empty subsets of a segment all meet each other;
+    skipping segment i for raising j pays when their pairs cost more than
+    the deletions that j adds to the index.
     """
     spread = bands.base[-1]
 
@@ -140,7 +145,7 @@ def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
             if len(rows):
                 _, slot, segment, _ = in_segments(grams, offs, rows, bands.of(np.diff(offs)[rows]), bands)
                 held = np.bincount(slot, minlength=len(segment))
-                poor += np.bincount(segment[held < POOR], minlength=spread)
+                poor += np.bincount(segment[held == 0], minlength=spread)
                 total += np.bincount(segment, held, minlength=spread).astype(np.int64)
         at = np.flatnonzero(total + poor)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(poor[at]), pa.array(total[at])], names=["segment", "poor", "total"])
@@ -156,7 +161,7 @@ def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
             continue
         order = own[np.argsort(poor[own], kind="stable")]
         for skip, up in zip(order[::-1], order[:len(own) // 2]):
-            if int(poor[skip]) ** 2 <= int(total[up]):
+            if int(poor[skip]) ** 2 <= ENTRY_COST * int(total[up]):
                 break
             out[int(skip)], out[int(up)] = -1, 1
     return out
@@ -247,6 +252,22 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole parity sketches allow the similarity (``sketches``: ``id, n, parity``)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("parity_a", "parity_b"))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+                yield b.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+
+    with_a = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a")), "a")
+    with_b = with_a.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b")), "b")
+    return with_b.mapInArrow(rows, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough, compared element by element."""
 
@@ -273,7 +294,8 @@ def similar_components(
     ``class_id`` is the least id of the same set, ``component_id`` the least id
     that links lead to (two documents link when 100 * shared >= percent * all
     of their shingles).  Texts without words have no set and no links; null
-    text is one of these.  Rows that share an id are judged each; a null
+    text is one of these.  Rows that share an id are judged each, but link by
+    one of their texts; a null
     id takes part as the least of all and is null again in the result; an
     empty table gives no rows; other columns are ignored; texts are read whole.
     """
@@ -282,7 +304,7 @@ def similar_components(
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = stored(describe(source, percent, shingle), "sets")
     sketch = ["p0", "p1", "p2", "p3"]
-    classes = stored(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in sketch)), "classes")
+    classes = stored(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in [*sketch, "parity"])), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 0
     bands = Bands(percent, largest)
     if largest:
@@ -290,7 +312,7 @@ def similar_components(
         met = shared(signatures(source, bands, thresholds, shingle))
         held = stored(met.join(classes, "d1").select("sig", "guest", "rep", "n", *sketch), "held")
         texts = stored(source.join(held.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-        component = _components(held, texts, percent, shingle)
+        component = _components(held, classes.select(F.col("rep").alias("id"), "n", "parity").dropDuplicates(["id"]), texts, percent, shingle)
     else:
         component = spark.createDataFrame([], "node long, component long")
     member = sets.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
@@ -301,7 +323,7 @@ def similar_components(
         F.when(ids[0] != NULL_ID, ids[0]).alias("class_id"), F.when(ids[1] != NULL_ID, ids[1]).alias("component_id"))
 
 
-def _components(held: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _components(held: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     sketch = ["p0", "p1", "p2", "p3"]
     links, found = None, None
 
@@ -313,15 +335,17 @@ def _components(held: DataFrame, texts: DataFrame, percent: int, shingle: int) -
     def add(pairs: DataFrame) -> None:
         nonlocal links, found
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stored(verified(pairs, texts, percent, shingle), "links")
+        new = stored(verified(near(pairs, sketches, percent), texts, percent, shingle), "links")
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
 
-    for r in range(STAR_ROUNDS):
-        now = labelled()
+    def leader(r: int) -> Column:
         order = Window.partitionBy("sig").orderBy("guest", F.xxhash64(F.lit(r), "rep"))
-        star = now.withColumn("y", F.first(F.struct("rep", "n", "c", *sketch)).over(order)).withColumn("x", F.struct("rep", "n", "c", *sketch))
-        add(star.where((F.col("x.c") != F.col("y.c")) & _plausible("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+        return F.first(F.struct("rep", "n", "c", *sketch)).over(order)
+
+    led = labelled().withColumns({f"y{r}": leader(r) for r in range(LEADERS)})
+    star = led.select(F.struct("rep", "n", "c", *sketch).alias("x"), F.explode(F.array(*[f"y{r}" for r in range(LEADERS)])).alias("y"))
+    add(star.where((F.col("x.c") != F.col("y.c")) & _plausible("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     now = labelled()
     mixed = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     rest = now.join(mixed, "sig", "left_semi")
