@@ -13,8 +13,8 @@ skipped and the other raised.
 
 Sets that meet are filtered by size and by the parity of hashed elements (a
 lower bound of the difference), then verified exactly.  Components need no
-more than one path, so a bucket first compares all with two of its sets and
-then only what is still in different components.
+more than one path, so each set is first compared with one leader of its
+buckets and then only with what is still in different components.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from polysafe.llm.repeats import NULL_ID
 SHINGLE = 3
 #: Similarity as a fraction of hundred.
 PERCENT = 90
-#: Members of a bucket that all others are compared with before the pairwise rest.
+#: Members that lead a bucket; a set is first compared with the one that leads most of its buckets.
 LEADERS = 2
 #: Bits of the parity sketch, and of its folded form that travels with bucket members.
 SKETCH, FOLDED = 1024, 256
@@ -345,7 +345,8 @@ def _components(held: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
 
     led = labelled().withColumns({f"y{r}": leader(r) for r in range(LEADERS)})
     star = led.select(F.struct("rep", "n", "c", *sketch).alias("x"), F.explode(F.array(*[f"y{r}" for r in range(LEADERS)])).alias("y"))
-    add(star.where((F.col("x.c") != F.col("y.c")) & _plausible("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+    led = star.where((F.col("x.c") != F.col("y.c")) & _plausible("x", "y", percent)).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).count()
+    add(led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
     now = labelled()
     mixed = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     rest = now.join(mixed, "sig", "left_semi")
