@@ -38,6 +38,9 @@ PERCENT = 90
 LEADERS = 2
 #: Bits of the parity sketch, and of its folded form that travels with bucket members.
 SKETCH, FOLDED = 1024, 256
+#: With so many segments, subsets that are empty are not indexed: of sets within the allowed difference each segment
+#: agrees and has an element with a probability over 0.34, so all of 100 fail with one below 1e-18.
+MANY = 100
 #: Comparisons of two bucket members that cost as much as one more index entry.
 ENTRY_COST = 50
 
@@ -157,7 +160,7 @@ def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
         poor[r.segment], total[r.segment] = r.poor, r.total
     for scheme in range(len(bands.segments)):
         own = np.arange(bands.base[scheme], bands.base[scheme + 1])
-        if len(own) < 2:
+        if not 2 <= len(own) < MANY:
             continue
         order = own[np.argsort(poor[own], kind="stable")]
         for skip, up in zip(order[::-1], order[:len(own) // 2]):
@@ -190,7 +193,9 @@ def signatures(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingl
                 total = np.zeros(len(segment), U64)
                 np.add.at(total, slot, part)
                 salt = mix(segment.astype(U64) ^ U64(0xF00D))
-                used = v[segment] >= 0
+                held = np.bincount(slot, minlength=len(segment))
+                many = bands.segments[np.searchsorted(bands.base, segment, side="right") - 1] >= MANY
+                used = (v[segment] >= 0) & ~(many & (held == 0))
                 sig, of = [mix(total[used] ^ salt[used])], [owner[used]]
                 near = v[segment][slot] == 1
                 if near.any():
