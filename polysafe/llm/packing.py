@@ -23,8 +23,6 @@ from polysafe.llm.tokens import word_tokenizer
 WINDOW = 4096
 #: Tokens of one index shard; the rest of a partition goes to further shards.
 SHARD_TOKENS = 1 << 20
-#: A seed asks with so many of its terms, those of the highest weight.
-QUERY_TERMS = 48
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 
@@ -93,18 +91,15 @@ class Shard:
         doc, term = key // v, key % v
         weight = (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean)))).astype(np.float32)
         self.own = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.terms, self.weights = term, weight
+        self.terms = term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(v + 1))
         self.n = len(docs)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a term with the seed, best score first, ties by place."""
+        """Documents that share any of the seed's terms, best score first, ties by place."""
         terms = self.terms[self.own[seed]:self.own[seed + 1]]
-        if len(terms) > QUERY_TERMS:
-            best = np.argpartition(-self.weights[self.own[seed]:self.own[seed + 1]], QUERY_TERMS)[:QUERY_TERMS]
-            terms = terms[best]
         spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         found = np.flatnonzero(score > 0)
