@@ -21,10 +21,8 @@ LISTED = (
 
 #: A mined rule must hold on this share of the labelled urls,
 MIN_SUPPORT = 0.005
-#: be right this often,
+#: and be right this often.
 MIN_CONFIDENCE = 0.9
-#: and be among so many best rules (the size of the model, not of the data).
-MAX_RULES = 200
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -68,7 +66,7 @@ def url_tokens(url: Column) -> Column:
 
 def mine_rules(
     labelled: DataFrame, url_col: str = "url", label_col: str = "label",
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES,
+    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
 ) -> list[Rule]:
     """Rules "these tokens, so this label" from every labelled url, best first.
 
@@ -92,8 +90,6 @@ def mine_rules(
         rule = Rule(tuple(row.tokens), row.verdict, row.confidence, row.support)
         if not any(k.verdict == rule.verdict and set(k.tokens) <= set(rule.tokens) for k in kept):
             kept.append(rule)
-            if len(kept) == max_rules:
-                break
     return kept
 
 
