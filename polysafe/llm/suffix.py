@@ -1,11 +1,10 @@
-"""Repeated byte strings by bucket-pointer refinement of sampled suffixes.
+"""Repeated byte strings by window anchors and content fingerprints.
 
-Suffixes are sorted only as far as needed.  Initial buckets are those of
-q-grams, at the suffixes where the least bucket of every window begins; a
-bucket is refined by the identifiers of the content at the other offsets
-of its windows; buckets that still hold several classes are refined again,
-start by start, to the full depth of a window.  Buckets of one suffix are
-sorted already and go no further.
+This stands in for bucket-pointer refinement: the least q-gram hash of every
+window is its anchor, and runs of windows with one anchor are compared by
+fingerprints of their content at three fixed levels, the run, groups of
+windows, and single windows.  No suffixes are sorted; groups that are alike
+or alone go no further.
 """
 
 from __future__ import annotations
