@@ -20,6 +20,9 @@ FIRST = {
     8: ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     9: ["page_id", "host", "path", "rule", "verdict"],
     10: ["doc_id"],
+    11: ["doc_id", "n_features", "weight", "score", "rank"],
+    12: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    13: ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
