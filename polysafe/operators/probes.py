@@ -199,15 +199,22 @@ def probe_metrics(points: DataFrame, groups: Sequence[str], kind: str = "logisti
     return acc.join(auc, "probe", "left").drop("probe")
 
 
+def _ticks(axis: str) -> Column:
+    """Unit steps from one below the least value to one above the greatest (left out itself)."""
+    low, high = F.col(f"lo_{axis}"), F.col(f"hi_{axis}")
+    return F.transform(F.sequence(F.lit(0), F.ceil(high - low + 2).cast("int") - 1), lambda k: low - 1 + k)
+
+
 def decision_grids(points: DataFrame, groups: Sequence[str], kind: str = "logistic") -> DataFrame:
-    """``groups, target, gx, gy, decision``: the three boundaries over a unit mesh around each group's points."""
+    """``groups, target, gx, gy, decision``: the three boundaries over a unit mesh around each group's points.
+
+    The mesh has a point per unit square of the points' bounding box, so its size goes with their spread, not their number.
+    """
     rows = cut_lineage(probe_rows(points, groups).where("scope = 'all'"))
     weights = fit_probes(rows, kind)
     ids = rows.select("probe", *groups, "target").distinct()
     stats = points.groupBy(*groups).agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))])
-    for c in "xy":
-        steps = F.sequence(F.lit(0), F.ceil(F.col(f"hi_{c}") - F.col(f"lo_{c}") + 2).cast("int") - 1)
-        stats = stats.withColumn(f"g{c}", F.explode(F.transform(steps, lambda k, c=c: F.col(f"lo_{c}") - 1 + k)))
-    mesh = _margins(stats.join(ids, list(groups)), weights, ["b", "wx", "wy"])
+    lines = _margins(stats.join(ids, list(groups)), weights, ["b", "wx", "wy"])
+    mesh = lines.withColumn("gx", F.explode(_ticks("x"))).withColumn("gy", F.explode(_ticks("y")))
     value = F.col("b") + sum((F.col(f"w{c}") * F.try_divide(F.col(f"g{c}") - F.col(f"m_{c}"), F.col(f"s_{c}")) for c in "xy"), F.lit(0.0))
     return mesh.select(*groups, "target", "gx", "gy", value.alias("decision"))

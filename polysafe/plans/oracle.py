@@ -302,6 +302,15 @@ SELECT f.item_id, f.language, CASE WHEN f.language = 'en' THEN f.text ELSE s.tra
  (CASE WHEN f.language = 'en' THEN f.text ELSE s.translated END) IS NOT NULL AS has_prompt
 FROM fan f LEFT JOIN store s ON f.item_id = s.item_id AND f.language = s.language"""
 
+ORACLE["translated_prompts"] = f"""WITH s AS ({SAFETY_ROWS_SQL}),
+f AS (SELECT s.*, ld.language AS target, ld.category AS target_category, vanilla IN (SELECT vanilla FROM s WHERE label = 1) AS known
+      FROM s CROSS JOIN {LANG_DIM_SQL}),
+t AS (SELECT *, CASE WHEN target = 'en' THEN vanilla WHEN known AND target IN ('fr', 'de') THEN 'stored ' || target || ' ' || vanilla
+                     ELSE '[' || target || '] ' || vanilla END AS prompt FROM f)
+SELECT prompt_id, target AS language, target_category AS language_category, label, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5 FROM t"""
+
+ORACLE["increment_roundtrip"] = f"""SELECT prompt_id, model, language, language_category, label, refusal FROM ({EVAL_ROWS_SQL})"""
+
 ORACLE["pending_keys"] = f"""WITH {_FANOUT}, {_STORE}
 SELECT f.item_id, f.language FROM fan f
 WHERE f.language <> 'en' AND NOT EXISTS (

@@ -1,11 +1,14 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame.
 
-Each builder reads whole driver tables and returns a lazy DataFrame; nothing
-is collected.  Column names equal those of the matching oracle SQL.
+Each builder reads whole driver tables and returns a DataFrame.  Several run
+jobs while they are built (fits, quotas, checkpoints, written tables); what
+reaches the driver is bounded by the study's dimensions.  Column names equal
+those of the matching oracle SQL.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +22,10 @@ from polysafe.functions.scores import display_round, resource_class
 from polysafe.operators import analysis, corpus, metrics, probes, profile, sampling, scoring
 from polysafe.operators import vectors as vx
 from polysafe.plans.adapters import FIXTURE_RUNS, activations, eval_rows, marked, model_outputs, safety_rows
-from polysafe.session import cut_lineage, ensure_parallel
+from polysafe.session import checkpoint_dir, cut_lineage, ensure_parallel
 from polysafe.sources import sinks
 from polysafe.sources.tables import read_table
+from polysafe.sources.translations import TranslationStore, text_digest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -291,6 +295,41 @@ def q_translation_lookup(spark, sf_dir):
     return j.select("item_id", "language", "prompt", F.col("prompt").isNotNull().alias("has_prompt"))
 
 
+def label_translator(texts, language):
+    """Stand-in for a translation service: the text behind its language."""
+    return "[" + language + "] " + texts
+
+
+@register("translated_prompts")
+def q_translated_prompts(spark, sf_dir):
+    """Labelled prompts in every language: from a store that has the toxic ones in two of them, the rest from the
+    translator, which puts them into the store; the second request, which gives the rows, finds them all there."""
+    s = safety_rows(spark, sf_dir).select("prompt_id", F.col("vanilla").alias("text"), "label")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = TranslationStore(spark, f"{checkpoint_dir(spark)}/translations-{uuid.uuid4().hex}", buckets)
+    have = s.where("label = 1").select("text").distinct().withColumn("language", F.explode(F.array(F.lit("fr"), F.lit("de"))))
+    store.add(have.select(text_digest(F.col("text")).alias("text_key"), "language", F.concat_ws(" ", F.lit("stored"), "language", "text").alias("translated")))
+    wanted = corpus.fan_out(s, DIM).withColumn("sent", F.when(F.col("language") != "en", F.col("text")))
+    found = store.translate(wanted, label_translator, "prompt_id", "sent")
+    prompt = F.when(F.col("language") == "en", F.col("text")).otherwise(F.col("translated"))
+    return found.select("prompt_id", "language", "language_category", "label", F.length(prompt).cast("long").alias("prompt_chars"), F.md5(prompt).alias("prompt_md5"))
+
+
+@register("increment_roundtrip")
+def q_increment_roundtrip(spark, sf_dir):
+    """Evaluated outputs written language class by language class, as increments; each asks for the rows that no finished
+    one has, and what is read back are the finished ones."""
+    rows = cut_lineage(eval_rows(spark, sf_dir))
+    path = f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}"
+    keys = ["model", "language"]
+    for category in ("high", "middle", "low", "high"):
+        done = sinks.read_increments(spark, path, keys)
+        wanted = rows.where(F.col("language_category") == category)
+        wanted = wanted if done is None else corpus.pending_keys(wanted, done.select(*keys).distinct(), keys)
+        sinks.write_increment(wanted, path, keys)
+    return sinks.read_increments(spark, path, keys).select("prompt_id", "model", "language", "language_category", "label", "refusal")
+
+
 @register("pending_keys")
 def q_pending_keys(spark, sf_dir):
     wanted = benchmark_fanout(spark, sf_dir).where(F.col("language") != "en").select("item_id", "language")

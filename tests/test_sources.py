@@ -97,7 +97,8 @@ def test_append_language_increments(spark, scratch):
     d = _docs(spark, 10).select("doc_id", F.col("lang").alias("language"))
     sinks.append_language(d.where(F.col("language") == "en"), out)
     sinks.append_language(d.where(F.col("language") != "en"), out)
-    assert spark.read.parquet(out).count() == 10
+    assert sinks.read_increments(spark, out, ["language"]).count() == 10
+    assert sinks.read_increments(spark, os.path.join(scratch, "nothing"), ["language"]) is None
 
 
 def test_metrics_json_sink(spark, scratch):
