@@ -1,15 +1,16 @@
 """The latent study: projections and linear probes for many groups at once.
 
 A group is a layer, or a language and layer; their number is a dimension of
-the study, whatever the number of rows.  Every step is one aggregation over
-all groups: moments for the projections, then for each solver iteration the
-gradient and curvature (three and six sums a probe).  Only these sums reach
-the driver, which solves 3 x 3 systems.
+the study, whatever the number of rows.  The projections are fitted on a
+bounded draw, a task a layer; each step of a probe's solver is one aggregation
+over all groups (slopes and curvatures, or cutting planes, at a few points a
+probe).  Only these sums reach the driver, which solves systems of three or
+four unknowns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from polysafe.operators import sampling
 from polysafe.operators.vectors import as_double_array, auc_rank, dot
-from polysafe.session import cut_lineage, ship_package
+from polysafe.session import cut_lineage, join_checked, ship_package
 
 #: Rows per language, prompt type and kind that the fit set is drawn from.
 FIT_PER_LANGUAGE = 30
@@ -48,38 +49,26 @@ def fit_set(acts: DataFrame) -> DataFrame:
 
 
 def components(fit: DataFrame, k: int = 2) -> DataFrame:
-    """``layer, mean, loadings``: the leading eigenvectors of each layer's covariance.
+    """``layer, mean, loadings``: the leading principal axes of each layer's fit rows.
 
-    A component's sign makes its loading of largest magnitude positive.
-    Moments are summed in the tasks and by one aggregation; a layer has d + d^2 of them.
+    A component's sign makes its loading of largest magnitude positive.  The
+    fit set has a stated number of rows a layer (``fit_set``), so a layer is
+    one task's worth: it sends d numbers a component, never d^2 moments, and
+    nothing but that reaches anyone else.
     """
     ship_package(fit.sparkSession)
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            layer = b.column("layer").to_numpy(zero_copy_only=False)
-            flat = b.column("vec").flatten().to_numpy(zero_copy_only=False)
-            x = np.hstack([np.ones((len(layer), 1)), flat.reshape(len(layer), -1)]) if len(layer) else np.zeros((0, 1))
-            for key in np.unique(layer):
-                own = x[layer == key]
-                held[int(key)] = held.get(int(key), 0) + own.T @ own
-        for key, m in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m.size, key, np.int32)), pa.array(np.arange(m.size, dtype=np.int32)), pa.array(m.reshape(-1))], names=["layer", "place", "total"])
-
-    sums = fit.select("layer", as_double_array(F.col("vec")).alias("vec")).mapInArrow(moments, "layer int, place int, total double")
-    table = sums.groupBy("layer", "place").agg(F.sum("total").alias("total")).orderBy("layer", "place").toArrow()
-    layer, total = table["layer"].to_numpy(), table["total"].to_numpy()
-    rows = []
-    for key in np.unique(layer):
-        m = total[layer == key]
-        m = m.reshape(int(round(np.sqrt(len(m)))), -1)
-        mean = m[0, 1:] / m[0, 0]
-        vectors = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :k].T
+    def axes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.reshape(table.num_rows, -1)
+        mean = x.mean(axis=0)
+        vectors = np.linalg.svd(x - mean, full_matrices=False)[2][:k]
         signs = np.sign(vectors[np.arange(len(vectors)), np.argmax(np.abs(vectors), axis=1)])
-        rows.append((int(key), mean.tolist(), (vectors * signs[:, None]).tolist()))
-    return fit.sparkSession.createDataFrame(rows, "layer int, mean array<double>, loadings array<array<double>>")
+        loadings = (vectors * signs[:, None]).tolist()
+        return pa.table({"layer": pa.array([key[0].as_py()], pa.int32()), "mean": [mean.tolist()], "loadings": [loadings]})
+
+    rows = fit.select(F.col("layer").cast("int"), as_double_array(F.col("vec")).alias("vec"))
+    return cut_lineage(rows.groupBy("layer").applyInArrow(axes, "layer int, mean array<double>, loadings array<array<double>>"))
 
 
 def project(acts: DataFrame, comps: DataFrame) -> DataFrame:
@@ -90,9 +79,9 @@ def project(acts: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def standardized(points: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """``x_std, y_std`` by population mean and deviation of each group (one partial aggregate, one row a group)."""
+    """``x_std, y_std`` by population mean and deviation of each group."""
     stats = points.groupBy(*groups).agg(*[f(c).alias(f"_{n}_{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    d = points.join(stats, list(groups))
+    d = join_checked(points, stats, list(groups))  # one row a group: the points need not move
     return d.withColumns({f"{c}_std": F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in "xy"}).drop(
         *[f"_{n}_{c}" for c in "xy" for n in "ms"])
 
@@ -108,79 +97,156 @@ def probe_rows(points: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def _margins(rows: DataFrame, weights: dict[str, np.ndarray], names: Sequence[str]) -> DataFrame:
     """Rows with their probe's weights as columns (one row a probe is broadcast)."""
-    table = [(p, *map(float, w)) for p, w in weights.items()]
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "probe string, " + ", ".join(f"{n} double" for n in names))), "probe")
+    table = pa.table({"probe": list(weights), **{n: [float(w[k]) for w in weights.values()] for k, n in enumerate(names)}})
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), "probe")
+
+
+#: Points of every probe that one aggregation evaluates.
+_NEWTON_STEPS = [1.0, 0.5, 0.1]
+_BUNDLE_STEPS = [0.02, 0.1, 0.25, 0.5, 0.75, 1.0, 1.15, 1.4]
+#: A hinge solution's objective is within this share of the least one.
+HINGE_GAP = 1e-6
 
 
-def _loss(kind: str, m: Column, h: float) -> tuple[Column, Column, Column]:
-    """(loss, -slope, curvature) at margin m; the hinge is rounded within h of its corner."""
-    if kind == "logistic":
-        p = 1 / (1 + F.exp(m))
-        return F.log1p(F.exp(-F.abs(m))) + F.greatest(-m, F.lit(0.0)), p, p * (1 - p)
-    t = 1 + h - m
-    inside = (t > 0) & (t < 2 * h)
-    zero = F.lit(0.0)
-    return (F.when(inside, t * t / (4 * h)).when(t > 0, 1 - m).otherwise(zero), F.when(inside, t / (2 * h)).when(t > 0, F.lit(1.0)).otherwise(zero),
-            F.when(inside, F.lit(1 / (2 * h))).when(t > 0, F.lit(_FLAT)).otherwise(zero))
+def _sums_at(rows: DataFrame, points: dict[str, list[np.ndarray]], kind: str) -> dict[str, np.ndarray]:
+    """One aggregation over all rows of the probes: what the loss is like at each of a probe's points.
 
+    A row of sums a point.  ``logistic``: loss, three slopes, six curvatures.
+    ``svm``: the plane under the summed hinge at that point, that is its value
+    at 0 and three slopes, from the rows within the margin.
+    """
+    n = len(next(iter(points.values())))
+    names = [f"{c}{k}" for k in range(n) for c in ("b", "wx", "wy")]
+    d = _margins(rows, {p: np.concatenate(w) for p, w in points.items()}, names).withColumn("_s", F.expr("IF(label = 1, 1D, -1D)"))
+    # as SQL text: a step is a hundred terms, and built one by one they take longer than the pass
+    d = d.selectExpr("probe", "_s", "x_std", "y_std", *(f"_s * (b{k} + wx{k} * x_std + wy{k} * y_std) AS m{k}" for k in range(n)))
+    feats = ["1D", "x_std", "y_std"]
+    if kind == "svm":
+        terms = [t for k in range(n) for t in (f"IF(m{k} < 1, 1D, 0D)", *(f"IF(m{k} < 1, -_s * {f}, 0D)" for f in feats))]
+    else:
+        d = d.selectExpr("*", *(f"1 / (1 + exp(m{k})) AS p{k}" for k in range(n)))
+        bends = [f"{feats[i]} * {feats[j]}" for i in range(3) for j in range(i, 3)]
+        terms = [t for k in range(n) for t in (f"log1p(exp(-abs(m{k}))) + greatest(-m{k}, 0D)", *(f"-p{k} * _s * {f}" for f in feats),
+                                               *(f"p{k} * (1 - p{k}) * {f}" for f in bends))]
+    cols = [F.expr(f"sum({t}) AS s{k}") for k, t in enumerate(terms)]
+    return {r.probe: np.array(r[1:], float).reshape(n, -1) for r in d.groupBy("probe").agg(*cols).collect()}
+
+
+def _pull(w: np.ndarray) -> float:
+    return 0.5 * float(w[1] ** 2 + w[2] ** 2)
+
+
+def _fit_logistic(rows: DataFrame, probes: list[str], rounds: int = 60) -> dict[str, np.ndarray]:
+    """Newton's method for all probes together: the sums that judge a step also give the next one, so a step is one pass."""
+    ridge = np.diag([1e-9, 1.0, 1.0])
+    weights = {p: np.zeros(3) for p in probes}
+    moves = {p: np.zeros(3) for p in probes}
+    costs = {p: np.inf for p in probes}
+    for _ in range(rounds):
+        tried = {p: [weights[p] + t * moves[p] for t in _NEWTON_STEPS] for p in moves}
+        left = {}
+        for p, found in _sums_at(rows, tried, "logistic").items():
+            cost = np.array([float(f[0]) + _pull(w) for f, w in zip(found, tried[p])])
+            blur = 1e-10 * (1 + cost.min())  # sums of another order differ by so much
+            if cost.min() > costs[p] + blur:
+                left[p] = moves[p] * 0.05  # too long still
+                continue
+            best = int(np.argmax(cost <= cost.min() + blur))
+            weights[p], costs[p] = tried[p][best], cost[best]
+            grad = found[best][1:4] + [0.0, *weights[p][1:]]
+            hess = np.zeros((3, 3))
+            hess[np.triu_indices(3)] = found[best][4:]
+            hess = hess + np.triu(hess, 1).T + ridge
+            move = -np.linalg.solve(hess, grad)
+            if -grad @ move > 1e-12 * (1 + costs[p]):
+                left[p] = move
+            else:
+                weights[p] = weights[p] + move  # its error is of the square of this step
+        if not left:
+            break
+        moves = left
+    return weights
 
-#: Step lengths tried in one aggregation.
-STEPS = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001]
-#: Curvature lent to the straight part of the rounded hinge, so that a step is defined without rows at the corner.
-_FLAT = 1e-3
-#: Widths of the rounded corner, each solved from the solution before it.
-WIDTHS = [4.0, 1.0, 0.25, 0.05, 0.01, 1e-3, 1e-4]
 
+def _lowest(planes: np.ndarray, most: int = 50) -> np.ndarray:
+    """argmin over (b, wx, wy) of |w|^2 / 2 + max(0, highest plane): interior-point steps on four unknowns.
 
-def fit_probes(rows: DataFrame, kind: str = "logistic", tolerance: float = 1e-8) -> dict[str, np.ndarray]:
+    ``planes`` has a row (value at 0, three slopes) each.
+    """
+    scale = max(float(np.abs(planes).max()), 1e-300)
+    q = planes / scale
+    a = np.vstack([np.c_[-q[:, 1:], np.ones(len(q))], [0.0, 0.0, 0.0, 1.0]])
+    b = np.r_[q[:, 0], 0.0]
+    quad, lin = np.diag([1e-12, 1 / scale, 1 / scale, 0.0]), np.array([0.0, 0.0, 0.0, 1.0])
+    v = np.array([0.0, 0.0, 0.0, b.max() + 1])
+    y, z = a @ v - b, np.full(len(b), 1 / len(b))
+
+    def room(x: np.ndarray, dx: np.ndarray) -> float:
+        down = dx < 0
+        return min(1.0, float((-x[down] / dx[down]).min())) if down.any() else 1.0
+
+    for _ in range(most):
+        off, gap, mu = quad @ v + lin - a.T @ z, a @ v - y - b, float(y @ z) / len(b)
+        if mu < 1e-13:
+            break
+        system = quad + a.T @ ((z / y)[:, None] * a)
+        system += np.diag(np.diag(system)) * 1e-13
+
+        def towards(product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            dv = np.linalg.solve(system, -off - a.T @ ((product + z * gap) / y))
+            dy = a @ dv + gap
+            return dv, dy, -(product + z * dy) / y
+
+        dv, dy, dz = towards(y * z)
+        far = min(room(y, dy), room(z, dz))
+        centre = (float((y + far * dy) @ (z + far * dz)) / len(b) / mu) ** 3
+        dv, dy, dz = towards(y * z + dy * dz - centre * mu)
+        step = 0.995 * min(room(y, dy), room(z, dz))
+        v, y, z = v + step * dv, y + step * dy, z + step * dz
+    return v[:3]
+
+
+def _fit_hinge(rows: DataFrame, probes: list[str], gap: float = HINGE_GAP, rounds: int = 200) -> dict[str, np.ndarray]:
+    """Cutting planes for all probes together: each pass gives the planes at several points between the best one and the lowest of the model.
+
+    The model (the highest plane) lies under the summed hinge everywhere, so
+    its least value bounds the least objective: a probe is done when its best
+    point comes within ``gap`` of that bound.  Nothing is smoothed.
+    """
+    best = {p: np.zeros(3) for p in probes}
+    costs = {p: np.inf for p in probes}
+    planes: dict[str, np.ndarray] = {p: np.zeros((0, 4)) for p in probes}
+    tried = {p: [np.zeros(3)] * len(_BUNDLE_STEPS) for p in probes}
+    for _ in range(rounds):
+        left = {}
+        for p, found in _sums_at(rows, tried, "svm").items():
+            planes[p] = np.unique(np.vstack([planes[p], found]), axis=0)
+            for w, f in zip(tried[p], found):
+                cost = float(f[0] + f[1:] @ w) + _pull(w)
+                if cost < costs[p]:
+                    best[p], costs[p] = w, cost
+            low = _lowest(planes[p])
+            bound = max(0.0, float((planes[p] @ np.r_[1.0, low]).max())) + _pull(low)
+            if costs[p] - bound > gap * (1 + abs(costs[p])):
+                left[p] = [best[p] + t * (low - best[p]) for t in _BUNDLE_STEPS]
+        if not left:
+            break
+        tried = left
+    return best
+
+
+def fit_probes(rows: DataFrame, kind: str = "logistic") -> dict[str, np.ndarray]:
     """(intercept, w_x, w_y) of every probe: sum of losses + |w|^2 / 2, the intercept free.
 
-    Newton steps for all probes together, one aggregation for the slopes and
-    one for the step lengths.  ``svm`` rounds the hinge's corner within h and
-    goes on with a smaller h from the last solution; it ends at h = 1e-4,
-    where the rounding changes the objective by at most h / 4 a row.
+    All probes are fitted together, one aggregation a step; only sums (three
+    dozen numbers a probe) reach the driver.  ``svm`` is the hinge itself.
     """
     if kind not in ("logistic", "svm"):
         raise NotImplementedError(kind)
-    s = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
-    feats = [F.lit(1.0), F.col("x_std"), F.col("y_std")]
-    weights = {r.probe: np.zeros(3) for r in rows.select("probe").distinct().collect()}
-    names = ["b", "wx", "wy"]
-    ridge = np.diag([1e-9, 1.0, 1.0])
-    pull = np.array([0.0, 1.0, 1.0])
-    for h in [0.0] if kind == "logistic" else WIDTHS:
-        open_ = dict(weights)
-        enough = tolerance if h in (0.0, WIDTHS[-1]) else 1e-5
-        while open_:
-            d = _margins(rows, open_, names)
-            m = s * (F.col("b") + F.col("wx") * F.col("x_std") + F.col("wy") * F.col("y_std"))
-            _, slope, bend = _loss(kind, m, h)
-            sums = [F.sum(-slope * s * f).alias(f"g{i}") for i, f in enumerate(feats)]
-            sums += [F.sum(bend * feats[i] * feats[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
-            steps = {}
-            for r in d.groupBy("probe").agg(*sums).collect():
-                grad = np.array([r[f"g{i}"] for i in range(3)]) + pull * open_[r.probe]
-                hess = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]) + ridge
-                steps[r.probe] = -np.linalg.solve(hess + 1e-8 * np.eye(3) * np.trace(hess), grad), float(-grad @ np.linalg.solve(hess, grad))
-            moves = {p: v for p, (v, fall) in steps.items() if -fall > enough}
-            if not moves:
-                break
-            both = {p: np.concatenate([open_[p], v]) for p, v in moves.items()}
-            d = _margins(rows, both, [*names, "db", "dx", "dy"])
-            values = []
-            for k, t in enumerate([0.0, *STEPS]):
-                m = s * (F.col("b") + t * F.col("db") + (F.col("wx") + t * F.col("dx")) * F.col("x_std") + (F.col("wy") + t * F.col("dy")) * F.col("y_std"))
-                values.append(F.sum(_loss(kind, m, h)[0]).alias(f"v{k}"))
-            left = {}
-            for r in d.groupBy("probe").agg(*values).collect():
-                w, v = open_[r.probe], moves[r.probe]
-                cost = [r[f"v{k}"] + 0.5 * float(((w + t * v)[1:] ** 2).sum()) for k, t in enumerate([0.0, *STEPS])]
-                best = int(np.argmin(cost))
-                if best and cost[0] - cost[best] > enough * (1 + abs(cost[0])):
-                    left[r.probe] = w + STEPS[best - 1] * v
-                    weights[r.probe] = left[r.probe]
-            open_ = left
-    return weights
+    probes = sorted(r.probe for r in rows.select("probe").distinct().collect())
+    if not probes:
+        return {}
+    return _fit_logistic(rows, probes) if kind == "logistic" else _fit_hinge(rows, probes)
 
 
 def probe_metrics(points: DataFrame, groups: Sequence[str], kind: str = "logistic") -> DataFrame:

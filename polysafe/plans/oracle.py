@@ -9,6 +9,7 @@ from polysafe.functions.text import DELETE_MARKERS, PY_WHITESPACE, SKIP_SEGMENTS
 from polysafe.operators.scoring import SCRIPT_RANGES, STOPWORDS
 from polysafe.plans import queries as _q
 from polysafe.plans.adapters import ACTIVATIONS_SQL, EVAL_ROWS_SQL, FIXTURE_RUNS, MODEL_OUTPUTS_SQL, SAFETY_ROWS_SQL, marked
+from polysafe.plans.oracle_probes import PROBE_ORACLE
 from polysafe.plans.oracle_base import (CHAIN_CELLS, CHAIN_HARM, CTE_CELLS, CTE_DEN, CTE_EVAL, CTE_MATRIX,
                                         CTE_TOTALS, CTE_TYPED, DIM, LANG_DIM_SQL, harmonic, partial_cte,
                                         with_chain)
@@ -608,3 +609,5 @@ SELECT prompt_id, language,
  coalesce(CASE WHEN iso0 = 'zh-cn' THEN 'zh' WHEN iso0 IN {_DIALECTS} THEN 'ar' ELSE iso0 END, language)
   AS language_response
 FROM m"""
+
+ORACLE.update(PROBE_ORACLE)

@@ -626,9 +626,13 @@ def _projection(spark, sf_dir):
         "prompt_id", "language", "layer", "harmful", "prompt_type", "refusal", "x", "y")
 
 
+def _rounded(df, *cols):
+    return df.withColumns({c: _r6(F.col(c)) for c in cols})
+
+
 @register("pca_projection")
 def q_pca_projection(spark, sf_dir):
-    return _projection(spark, sf_dir)
+    return _rounded(_projection(spark, sf_dir), "x", "y")
 
 
 @register("standardize_2d")
@@ -636,25 +640,25 @@ def q_standardize_2d(spark, sf_dir):
     """Points standardised within their language and layer, over all prompts and over their prompt type."""
     p = _projection(spark, sf_dir)
     scoped = p.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("prompt_type"))))
-    return probes.standardized(scoped, ["language", "layer", "scope"])
+    return _rounded(probes.standardized(scoped, ["language", "layer", "scope"]), "x", "y", "x_std", "y_std")
 
 
 @register("probe_metrics")
 def q_probe_metrics(spark, sf_dir):
     """The seven probes of each layer over all languages."""
-    return probes.probe_metrics(_projection(spark, sf_dir), ["layer"])
+    return _rounded(probes.probe_metrics(_projection(spark, sf_dir), ["layer"]), "accuracy", "auc")
 
 
 @register("decision_grid")
 def q_decision_grid(spark, sf_dir):
     """The three decision boundaries of each layer over all languages."""
-    return probes.decision_grids(_projection(spark, sf_dir), ["layer"])
+    return _rounded(probes.decision_grids(_projection(spark, sf_dir), ["layer"]), "gx", "gy", "decision")
 
 
 @register("layer_sweep")
 def q_layer_sweep(spark, sf_dir):
     """The seven probes of each language and layer."""
-    return probes.probe_metrics(_projection(spark, sf_dir), ["language", "layer"])
+    return _rounded(probes.probe_metrics(_projection(spark, sf_dir), ["language", "layer"]), "accuracy", "auc")
 
 
 @register("translated_refusal_matrix")

@@ -69,7 +69,18 @@ def test_probes_reach_the_least_objective(spark, kind):
         best = objective(kind, x, s, weights[probe])
         for scale in (1.0, 0.1, 0.01, 0.001):
             for move in rng.normal(0, scale, (200, 3)):
-                assert objective(kind, x, s, weights[probe] + move) > best - 0.01
+                assert objective(kind, x, s, weights[probe] + move) > best - 2e-6 * (1 + best)
+
+
+def test_hinge_probe_of_one_label_and_of_parted_labels(spark):
+    rows = [("one", 1, float(k % 5), float(k % 3)) for k in range(30)] + [("parted", k % 2, (k % 2) * 8.0 + k % 3, float(k % 4)) for k in range(30)]
+    df = spark.createDataFrame(rows, "probe string, label int, x_std double, y_std double")
+    w = probes.fit_probes(df, "svm")
+    assert objective("svm", np.array([r[2:] for r in rows[:30]]), np.ones(30), w["one"]) < 1e-6
+    x, s = np.array([r[2:] for r in rows[30:]]), np.where([r[1] for r in rows[30:]], 1.0, -1.0)
+    best = objective("svm", x, s, w["parted"])
+    assert best < 0.1 and ((w["parted"][0] + x @ w["parted"][1:]) * s > 0.9).all()
+    assert probes.fit_probes(df.where("false"), "svm") == {}
 
 
 def test_metrics_and_grid(spark):
