@@ -3,40 +3,33 @@
 * text columns: count, unique, top (most frequent; tie -> smallest SHA-256
   digest), freq.  Only digests are shuffled; the top text itself is fetched
   with one broadcast row per group.
-* integer columns: count, mean, sample std, min, quartiles, max.  Quartiles
-  are exact (linear interpolation, as numpy/pandas) without holding a group
-  in one task: a ``(group, value) -> count`` histogram is aggregated map-side,
-  and only the histogram is windowed per group.
+* numeric columns: count, mean, sample std, min, quartiles, max.  Quartiles
+  are exact (linear interpolation, as numpy/pandas) without holding a group,
+  or all its distinct values, in one task: see ``selection``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polysafe.session import join_checked
+from polysafe.operators.selection import values_at
+from polysafe.session import cut_lineage, join_checked
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles of a discrete column per group."""
+    """Exact linear-interpolation quantiles per group, of discrete or continuous values: two ranks a quantile, by refinement."""
     groups = list(groups)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    cw = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_n").over(cw)) \
-        .withColumn("_tot", F.sum("_n").over(Window.partitionBy(*groups)))
-    aggs = []
-    for i, q in enumerate(qs):
-        pos = F.lit(q) * (F.col("_tot") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        hist = hist.withColumn(f"_pos{i}", pos).withColumn(f"_lo{i}", lo).withColumn(f"_hi{i}", hi)
-        aggs += [F.min(F.when(F.col("_cum") > F.col(f"_lo{i}"), F.col(value))).alias(f"_vlo{i}"),
-                 F.min(F.when(F.col("_cum") > F.col(f"_hi{i}"), F.col(value))).alias(f"_vhi{i}"),
-                 F.first(F.col(f"_pos{i}") - F.col(f"_lo{i}")).alias(f"_frac{i}")]
-    g = hist.groupBy(*groups).agg(*aggs)
-    out = [F.col(f"_vlo{i}") + (F.col(f"_vhi{i}") - F.col(f"_vlo{i}")) * F.col(f"_frac{i}") for i in range(len(qs))]
-    return g.select(*groups, *[c.cast("double").alias(f"q{int(round(q * 100))}") for c, q in zip(out, qs)])
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    at = F.lit(1.0) * (F.col("_size") - 1)
+    ends = [F.struct(F.lit(2 * i + up).alias("target"), (end(F.lit(q) * at) + 1).alias("rank"), (F.lit(q) * at - F.floor(F.lit(q) * at)).alias("_part"))
+            for i, q in enumerate(qs) for up, end in enumerate((F.floor, F.ceil))]
+    targets = cut_lineage(sizes.select(*groups, F.inline(F.array(*ends))))
+    found = values_at(df, groups, value, targets).join(targets, [*groups, "target"])
+    pick = [[F.max(F.when(F.col("target") == 2 * i + up, F.col(c))) for up, c in ((0, "value"), (1, "value"), (0, "_part"))] for i in range(len(qs))]
+    return found.groupBy(*groups).agg(*[(lo + (hi - lo) * part).cast("double").alias(f"q{int(round(q * 100))}") for q, (lo, hi, part) in zip(qs, pick)])
 
 
 def text_profile(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:

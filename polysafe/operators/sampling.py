@@ -9,6 +9,8 @@ buckets: rows of buckets below a group's cut are kept by a filter where they
 are read, and only the rows of the cut bucket itself (one in 65,536) are
 ranked, per *(group, bucket)*.  A group holding a third of the data is never
 gathered, no payload is shuffled, and nothing is collected on the driver.
+Selections in the order of a key itself, whose values may lie anyhow, go
+through ``selection.first_by_order``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polysafe.dims import SEED
+from polysafe.operators.selection import first_by_order
 from polysafe.session import join_checked
 
 N_BUCKETS = 65536
@@ -89,7 +92,8 @@ def first_k(df: DataFrame, groups: Sequence[str], k: DataFrame | Column | int |
         # never shuffled (nor skewed) by the group key
         j = join_checked(d, cut, groups)
     else:
-        j = d.withColumn("_cut", cut.select("_cut").scalar()).withColumn("_need", cut.select("_need").scalar())
+        both = cut.select(F.struct("_cut", "_need").alias("_c")).scalar()
+        j = d.withColumn("_c", both).withColumns({"_cut": F.col("_c._cut"), "_need": F.col("_c._need")}).drop("_c")
     below = j.where(F.col("_b") < F.col("_cut"))
     at_cut = j.where(F.col("_b") == F.col("_cut")).withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order)))
@@ -104,16 +108,6 @@ def first_k_by_hash(df: DataFrame, groups: Sequence[str], k, key: str, seed: int
     return first_k(d, groups, k, [F.col("_h"), F.col(key)], hash_bucket(F.col("_h")), fraction, rounding).drop("_h")
 
 
-def first_k_by_key(df: DataFrame, groups: Sequence[str], k, key: str) -> DataFrame:
-    """First ``k`` rows per group in key (input) order; buckets from the per-group key range."""
-    groups = list(groups)
-    rng = df.groupBy(*groups).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    d = join_checked(df, rng, groups)
-    low, high, at = (F.col(c).cast("double") for c in ("_lo", "_hi", key))  # a wide range of longs would overflow
-    b = F.least(F.floor((at - low) * N_BUCKETS / (high - low + 1)), F.lit(N_BUCKETS - 1)).cast("int")
-    return first_k(d, groups, k, [F.col(key)], b).drop("_lo", "_hi")
-
-
 def group_quota(df: DataFrame, groups: Sequence[str], fraction: float, how: str = "floor") -> DataFrame:
     """``(groups..., k)`` with ``k = floor(count * fraction)`` (or ceil)."""
     f = F.floor if how == "floor" else F.ceil
@@ -150,4 +144,4 @@ def balanced_classes(df: DataFrame, kind_col: str, class_col: str, keep: dict, k
     # a kind without rows counts as zero: one global aggregate, read as a scalar
     counts = [F.count_if(c) for c in wanted]
     least = F.least(*counts) if len(counts) > 1 else counts[0]
-    return first_k_by_key(df.where(cond), [kind_col], df.agg(least.alias("k")).scalar(), key)
+    return first_by_order(df.where(cond), [kind_col], df.agg(least.alias("k")).scalar(), key)

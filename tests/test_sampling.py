@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from polysafe.operators import corpus, sampling
+from polysafe.operators import corpus, sampling, selection
 
 
 def _h(key, seed=42):
@@ -46,7 +46,7 @@ def test_ceil_and_key_order(spark, skewed):
     got = sampling.sample_ceil(skewed, 0.013, "id").count()
     assert got == -(-6000 * 13 // 1000)
     k = spark.createDataFrame([("hot", 5), ("g1", 3)], "g string, k long")
-    rows = sampling.first_k_by_key(skewed.where(F.col("g").isin("hot", "g1")), ["g"], k, "id").collect()
+    rows = selection.first_by_order(skewed.where(F.col("g").isin("hot", "g1")), ["g"], k, "id").collect()
     by = {}
     for r in rows:
         by.setdefault(r["g"], []).append(r["id"])
