@@ -34,21 +34,49 @@ def default_tokenizer() -> str:
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """``id, sketch, ids``: little-endian 32-bit ids and a minimum hash over token pairs."""
+    """``id, sketch, ids, seen``: little-endian 32-bit ids and a minimum hash over token pairs.
+
+    Each task adds one row without ids, whose ``seen`` is (documents, tokens,
+    document frequency of each token id) of its rows.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer)
+        seen, kind = np.zeros(2, np.int64), None
         for b in slices(batches, "text"):
             ids, offs = encoder.encode(b.column("text"), end_id)
             pair = mix(ids.astype(U64) * U64(1 << 20) + np.append(ids[1:], 0).astype(U64))
             pair[offs[1:] - 1] = U64(2**64 - 1)
             sketch = np.minimum.reduceat(pair, offs[:-1])
+            seen, kind = _added(seen, ids, offs), b.schema.field("id").type
             data = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs * 4), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(signed(sketch)), data.cast(pa.binary())], names=["id", "sketch", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(signed(sketch)), data.cast(pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=NAMES)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names=NAMES)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(rows, "id long, sketch long, ids binary")
+    return source.mapInArrow(rows, "id long, sketch long, ids binary, seen binary")
+
+
+NAMES = ["id", "sketch", "ids", "seen"]
+#: Documents marked at once, a byte a token id each.
+_MARKED = 256
+
+
+def _added(seen: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """``seen`` with some more documents."""
+    top = int(ids.max()) + 1
+    out = np.zeros(max(len(seen), top + 2), np.int64)
+    out[:len(seen)] = seen
+    for at in range(0, len(offs) - 1, _MARKED):
+        edge = offs[at:at + _MARKED + 1]
+        has = np.zeros((len(edge) - 1, top), bool)
+        has[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), ids[edge[0]:edge[-1]]] = True
+        out[2:top + 2] += has.sum(axis=0)
+    out[:2] += len(offs) - 1, len(ids)
+    return out
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
@@ -56,26 +84,24 @@ def _ids(column: pa.Array) -> list[np.ndarray]:
 
 
 def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """(document frequency by token id, documents, mean length), over all documents.
+    """(document frequency by token id, documents, mean length), over all documents, from the rows that the tasks added.
 
     The vector has one entry per entry of the vocabulary, whatever the corpus.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(0, np.int64), 0, 0
+        total = np.zeros(2, np.int64)
         for b in batches:
-            for ids in _ids(b.column("ids")):
-                seen = np.unique(ids)
-                if len(seen) and seen[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64)])
-                df[seen] += 1
-                n, total = n + 1, total + len(ids)
-        at = np.flatnonzero(df)
-        terms = np.concatenate((at, [-1, -2]))
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.concatenate((df[at], [n, total])))], names=["term", "n"])
-
-    got = {r.term: r.n for r in tokens.select("ids").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, total = got.pop(-1, 0), got.pop(-2, 0)
+            for x in b.column("seen"):
+                more = np.frombuffer(x.as_py(), "<i8")
+                total, more = (total, more) if len(total) >= len(more) else (more.copy(), total)
+                total[:len(more)] += more
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 2), pa.array(total[at])], names=["term", "n"])
+
+    some = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(counts, "term long, n long")
+    got = {r.term: r.n for r in some.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = got.pop(-2, 0), got.pop(-1, 0)
     df = np.zeros(max(got, default=0) + 1, np.int64)
     df[list(got)] = list(got.values())
     return df, n, total / n if n else 0.0
@@ -234,4 +260,4 @@ def pack(
             yield batch(done)
 
     parts = shuffle_parts(spark)
-    return tokens.repartitionByRange(parts, "sketch", "id").sortWithinPartitions("sketch", "id").select("id", "ids").mapInArrow(rows, SCHEMA)
+    return tokens.where("ids IS NOT NULL").repartitionByRange(parts, "sketch", "id").sortWithinPartitions("sketch", "id").select("id", "ids").mapInArrow(rows, SCHEMA)

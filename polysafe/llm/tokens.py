@@ -60,7 +60,7 @@ class WordTokenizer:
             plain = [bool(_PLAIN.fullmatch(w)) for w in call]
             rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(call, plain) if not p], add_special_tokens=False))
             model = self.tokenizer.model.tokenize
-            ids = [[t.id for t in model(w.translate(self.letters))] if p else next(rest).ids for w, p in zip(call, plain)]
+            ids = [[t.id for t in model(w if w.isascii() else w.translate(self.letters))] if p else next(rest).ids for w, p in zip(call, plain)]
             at = self.ends[-1]
             flat = np.array([x for got in ids for x in got], np.uint32)
             if at + len(flat) > len(self.ids):
