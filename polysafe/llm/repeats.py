@@ -38,7 +38,7 @@ _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 2**64, size=(2, 256), dtype=U64)
 BASES = _rng.integers(0, 2**64, size=2, dtype=U64) | U64(1)
 
-#: Windows of a group between an anchor and single windows.
+#: Windows of a group between an anchor and single windows; half a window at most, so that a group's windows share words.
 GROUP = 6
 
 #: texts -> (row, first window start, run, key, cls); see ``run_of``
@@ -73,12 +73,12 @@ class Prefix:
         return (self.sums[n:] - self.sums[:-n]) * self.down[:len(self.sums) - n]
 
 
-def later(rows: DataFrame, same_document: bool) -> DataFrame:
+def later(rows: DataFrame, same_document: bool, shift: int = 0) -> DataFrame:
     """``id, lo, run, refine``: rows whose class began earlier, and the first of classes that share their key.
 
     ``rows`` has ``key, cls, id, lo, run``; those with a negative run are decided
-    already (``settle``) and passed on.  Earlier is a smaller id or, with
-    ``same_document``, the same id and a smaller place.  Rows stream by in
+    already (``settle``) and passed on.  Earlier is a smaller id (above its
+    lowest ``shift`` bits) or, with ``same_document``, the same id and a smaller place.  Rows stream by in
     order; what is held back is at most one document's share of one key.
     """
 
@@ -104,7 +104,7 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
             new_cls[0] = not goes_on or cls[0] != last[1]
             at = np.maximum.accumulate(np.where(new_cls, np.arange(len(key)), -1))
             first_id, first_lo = np.where(at < 0, last[2] if last else 0, ids[at]), np.where(at < 0, last[3] if last else 0, lo[at])
-            after = (ids > first_id) | ((lo > first_lo) if same_document else False)
+            after = (ids >> shift > first_id >> shift) | ((lo > first_lo) if same_document else False)
             group = np.cumsum(new_key) - int(not goes_on)  # 0 goes on from the last batch or begins with this one
             classes = np.bincount(group, new_cls)
             if goes_on:
@@ -132,7 +132,7 @@ def later(rows: DataFrame, same_document: bool) -> DataFrame:
     return placed.mapInArrow(stream, "id long, lo int, run int, refine boolean")
 
 
-def settle(key, cls, ids, lo, run, same_document: bool):
+def settle(key, cls, ids, lo, run, same_document: bool, shift: int = 0):
     """The rows, in order; those that come after one of their class here are decided (run turned negative) and dealt out evenly.
 
     A common passage thus sends a row or two from each slice of text to the task of its key.
@@ -142,15 +142,15 @@ def settle(key, cls, ids, lo, run, same_document: bool):
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    after = (ids > ids[first]) | ((lo > lo[first]) if same_document else False)
+    after = (ids >> shift > ids[first] >> shift) | ((lo > lo[first]) if same_document else False)
     apart = mix(ids.astype(U64) ^ mix(lo.astype(U64)))
     return np.where(after, apart, key.astype(U64)), cls, ids, lo, np.where(after, ~run, run)
 
 
-def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_document: bool) -> DataFrame:
+def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_document: bool, shift: int = 0) -> DataFrame:
     """``id, text, spans``: each document with repeated windows, and the runs (lo, run) of their starts.
 
-    ``docs`` has ``id`` (long, not null) and ``text``.  Rows that share an id are one document.
+    ``docs`` has ``id`` (long, not null, each once: see ``rows.each_row``) and ``text``.
     """
     prepare(docs.sparkSession)
     schema = "key long, cls long, id long, lo int, run int"
@@ -164,7 +164,7 @@ def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_
         for b in slices(batches, "text", _SLICE):
             row, lo, run, key, cls = anchors(b.column("text"))
             if len(row):
-                yield batch(*settle(key, cls, b.column("id").to_numpy()[row], lo, run, same_document))
+                yield batch(*settle(key, cls, b.column("id").to_numpy()[row], lo, run, same_document, shift))
 
     def group_rows(size: int):
         """Rows of the groups of ``size`` windows, cut at multiples of ``size`` before the anchor."""
@@ -195,12 +195,12 @@ def repeated(docs: DataFrame, anchors: Anchors, spans: Spans, window: int, same_
         pick = [F.collect_set(F.when(c, F.struct("lo", "run"))).alias(k) for k, c in ((name, ~F.col("refine")), ("refine", F.col("refine")))]
         return stored(found.groupBy("id").agg(*pick), name)
 
-    coarse = by_document(later(docs.mapInArrow(anchor_rows, schema), same_document), "coarse")
+    coarse = by_document(later(docs.mapInArrow(anchor_rows, schema), same_document, shift), "coarse")
     touched = stored_by(docs.join(coarse, "id"), "touched", "id")
     edges = touched.where(F.size("refine") > 0).select("id", "text", "refine")
-    middle = by_document(later(edges.mapInArrow(group_rows(GROUP), schema), same_document), "middle")
+    middle = by_document(later(edges.mapInArrow(group_rows(min(GROUP, max(1, window // 2))), schema), same_document, shift), "middle")
     edges = touched.select("id", "text").join(middle.where(F.size("refine") > 0).select("id", "refine"), "id")
-    fine = by_document(later(edges.mapInArrow(group_rows(1), schema), same_document), "fine")
+    fine = by_document(later(edges.mapInArrow(group_rows(1), schema), same_document, shift), "fine")
     none = F.array().cast("array<struct<lo:int,run:int>>")
     decided = coarse.select("id", "coarse").join(middle.select("id", "middle"), "id", "left").join(fine.select("id", "fine"), "id", "left")
     decided = decided.select("id", F.concat("coarse", F.coalesce("middle", none), F.coalesce("fine", none)).alias("spans")).where(F.size("spans") > 0)
