@@ -74,6 +74,14 @@ def duplicate_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    keep = duplicate_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(keep.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    A row stays if it has the id that its own text's group keeps: of rows that
+    share an id, those whose text has a smaller id elsewhere go.  Rows equal
+    in id and text stay together; so do rows without an id whose text no other
+    row has.
+    """
+    kept = duplicate_groups(docs, id_col, text_col, salts).where("kept")
+    keep = kept.select(F.col(id_col).alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha256(normalised(F.col(text_col))) == F.col("_kept_digest"))
+    return docs.join(keep, same, "left_semi")

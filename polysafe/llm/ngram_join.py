@@ -33,6 +33,7 @@ from pyspark.sql import Window
 from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, span_hash, stored, text_buffer, windows_hash, word_spans
 from polysafe.llm.components import components
 from polysafe.llm.repeats import NULL_ID
+from polysafe.llm.rows import each_row
 
 SHINGLE = 3
 #: Similarity as a fraction of hundred.
@@ -302,14 +303,20 @@ def similar_components(
     ``class_id`` is the least id of the same set, ``component_id`` the least id
     that links lead to (two documents link when 100 * shared >= percent * all
     of their shingles).  Texts without words have no set and no links; null
-    text is one of these.  Rows that share an id are judged each, but link by
-    one of their texts; a null
-    id takes part as the least of all and is null again in the result; an
-    empty table gives no rows; other columns are ignored; texts are read whole.
+    text is one of these.  Rows that share an id are documents of their own
+    (each is linked by its own text, and named by the shared id); a null id takes
+    part as the least of all and is null again in the result; an empty table
+    gives no rows; other columns are ignored; texts are read whole.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = each_row(source, lambda rows, _: _similar(rows, percent, shingle), ["id", "class_id", "component_id"])
+    known = {c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("id", "class_id", "component_id")}
+    return out.select(known["id"].alias(id_col), "n_shingles", known["class_id"].alias("class_id"), known["component_id"].alias("component_id"))
+
+
+def _similar(source: DataFrame, percent: int, shingle: int) -> DataFrame:
+    spark = source.sparkSession
     sets = stored(describe(source, percent, shingle), "sets")
     sketch = ["p0", "p1", "p2", "p3"]
     classes = stored(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in [*sketch, "parity"])), "classes")
@@ -326,9 +333,7 @@ def similar_components(
     member = sets.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
     out = member.join(component, F.col("rep") == F.col("node"), "left")
     ids = [F.coalesce(*c) for c in (("rep", "id"), ("component", "rep", "id"))]
-    return out.select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(ids[0] != NULL_ID, ids[0]).alias("class_id"), F.when(ids[1] != NULL_ID, ids[1]).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), ids[0].alias("class_id"), ids[1].alias("component_id"))
 
 
 def _components(held: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:

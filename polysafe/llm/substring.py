@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from polysafe.llm.common import U64, mix, slices, span_hash, text_buffer, word_spans
 from polysafe.llm.repeats import NULL_ID, Prefix, covered, repeated, run_of, span_array
+from polysafe.llm.rows import each_row
 
 WINDOW = 13
 
@@ -99,12 +100,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` words over it also starts in a document
     of smaller id.  ``kept`` is the remaining text, words joined by one space,
     where words were removed (else null: the text stays as it is).  Null text
-    has no words; rows of one id are one document; a null id comes before
-    all others; an empty table gives no rows; other columns are ignored;
-    texts are read whole.
+    has no words; a null id comes before all others; rows that share an id are
+    documents of their own, none before another; an empty table gives no rows;
+    other columns are ignored; texts are read whole.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated(source, lambda t: symbol_anchors(t, window), word_window_spans, window, same_document=False)
+    out = each_row(source, lambda rows, shift: _cut(rows, window, shift))
+    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
+
+
+def _cut(source: DataFrame, window: int, shift: int) -> DataFrame:
+    found = repeated(source, lambda t: symbol_anchors(t, window), word_window_spans, window, same_document=False, shift=shift)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -127,6 +133,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = source.select("id", one_space.alias("_t")).select(
         "id", F.when(F.col("_t") == "", 0).otherwise(F.length("_t") - F.length(F.replace("_t", F.lit(" "))) + 1).cast("long").alias("n_words"),
         F.sha2("_t", 256).alias("_whole"))
-    return plain.join(cut.dropDuplicates(["id"]), "id", "left").select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+    return plain.join(cut, "id", "left").select(
+        "id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("kept_sha256", "_whole").alias("kept_sha256"), "kept")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from polysafe.llm.common import U64, mix, slices, text_buffer
 from polysafe.llm.repeats import BYTE_VALUES, NULL_ID, Prefix, covered, repeated, run_of, span_array
+from polysafe.llm.rows import each_row
 
 WINDOW = 100
 Q = 32
@@ -67,11 +68,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of ``window`` bytes over it also starts earlier: in
     a document of smaller id, or before in the same one.  ``removed`` lists
-    the maximal removed runs (start, length) in bytes.  Null text is empty;
-    rows of one id are one document; a null id comes before all others; an
-    empty table gives no rows; other columns are ignored; texts are read whole.
+    the maximal removed runs (start, length) in bytes.  Null text is empty; a
+    null id comes before all others; rows that share an id are documents of
+    their own, in the order of their texts' digests, and rows equal in id and
+    text are one, its result given for each; an empty table gives no rows;
+    other columns are ignored; texts are read whole.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = each_row(source, lambda rows, _: _cut(rows, window, q))
+    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+
+
+def _cut(source: DataFrame, window: int, q: int) -> DataFrame:
     found = repeated(source, lambda t: bucket_anchors(t, window, q), byte_spans, window, same_document=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +100,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cut = found.mapInArrow(rows, "id long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,length:int>>")
     plain = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_whole"))
-    return plain.join(cut.dropDuplicates(["id"]), "id", "left").select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_bytes",
+    return plain.join(cut, "id", "left").select(
+        "id", "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "_whole").alias("kept_sha256"), "removed")

@@ -62,3 +62,9 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact.duplicate_groups(frame(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rows = [(0, "A b"), (1, "A  b"), (1, "B c"), (1, "B c"), (None, "A b"), (None, "own"), (None, "B\tc")]
+    kept = sorted(((r.doc_id, r.text) for r in exact.exact_dedup(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(0, "A b"), (1, "B c"), (1, "B c"), (None, "own")], key=repr)

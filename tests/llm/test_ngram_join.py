@@ -1,5 +1,6 @@
 """The similarity join against all pairs of small corpora."""
 
+import hashlib
 import random
 import re
 
@@ -138,3 +139,16 @@ def test_poor_segments_are_skipped(spark):
 def test_shingles_are_distinct_and_sorted():
     grams, offs = ngram_join.shingles(pa.array(["a b c a b c a", None, "x", "X", "x y", ""]), 3)
     assert np.diff(offs).tolist() == [3, 0, 1, 1, 1, 0] and grams[offs[2]] == grams[offs[3]]
+
+
+def test_rows_that_share_an_id_link_by_their_own_texts(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join(base) + " z", "other " * 3 + "words only", " ".join(f"v{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60)) + " y", None]
+    rows = [(5, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[2]), (9, texts[2]), (9, texts[5])]
+    told = sorted({(i is not None, i or 0, hashlib.sha256((t or "").encode()).digest(), t or "") for i, t in rows})
+    number = {k: ((i if known else None), t) for k, (known, i, _, t) in enumerate(told)}
+    found = brute([(k, t) for k, (_, t) in number.items()], 3, 90)
+    want = [(i, n, number[root][0]) for i, t in rows for k, (n, root) in found.items() if number[k] == (i, t or "")]
+    got = ngram_join.similar_components(frame(spark, rows), percent=90, shingle=3).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert {(r.doc_id, r.component_id) for r in got} >= {(5, 5), (7, 5), (None, None), (7, None)}

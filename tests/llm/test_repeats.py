@@ -112,3 +112,24 @@ def test_symbols_are_the_same_in_any_surroundings():
 
 def test_empty_tables(spark):
     assert substring.remove_repeats(frame(spark, [])).collect() == [] and suffix.remove_repeats(frame(spark, [])).collect() == []
+
+
+def _numbered(rows):
+    """(number, id, text): distinct rows by id (null first), then digest of the text."""
+    told = sorted({(i is not None, i or 0, hashlib.sha256((t or "").encode()).digest(), t or "") for i, t in rows})
+    return [(k, i if known else None, t) for k, (known, i, _, t) in enumerate(told)]
+
+
+SHARED = ["p q r s t u v w x y z a b c d " * 3, "p q r s t u v w x y z a b c d e f g h " * 3, "zz " * 60, "short"]
+TWICE = [(1, SHARED[0]), (1, "short"), (1, "lead " + SHARED[0]), (0, SHARED[1]), (None, SHARED[0] + "a"), (None, SHARED[2]), (None, SHARED[2] + SHARED[1]),
+         (5, SHARED[1]), (5, SHARED[1]), (5, None), (5, ""), (9, "x " * 40 + SHARED[0])]
+
+
+def test_rows_that_share_an_id(spark):
+    got = [tuple(r)[:-1] for r in substring.remove_repeats(frame(spark, TWICE)).collect()]
+    assert sorted(got, key=repr) == words_brute(TWICE, 13)
+    told = _numbered(TWICE)
+    by_number = {r[0]: r[1:] for r in bytes_brute([(k, t) for k, _, t in told], 100)}
+    want = [(i, *by_number[k]) for i0, t0 in TWICE for k, i, t in told if i == i0 and t == (t0 or "")]
+    got = [tuple(r)[:-1] for r in suffix.remove_repeats(frame(spark, TWICE)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
