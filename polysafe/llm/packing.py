@@ -61,8 +61,8 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
 
 NAMES = ["id", "sketch", "ids", "seen"]
-#: Documents marked at once, a byte a token id each.
-_MARKED = 256
+#: Documents marked at once, a byte a token id each (so many fit a byte's sum).
+_MARKED = 255
 
 
 def _added(seen: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -72,9 +72,9 @@ def _added(seen: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[:len(seen)] = seen
     for at in range(0, len(offs) - 1, _MARKED):
         edge = offs[at:at + _MARKED + 1]
-        has = np.zeros((len(edge) - 1, top), bool)
-        has[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), ids[edge[0]:edge[-1]]] = True
-        out[2:top + 2] += has.sum(axis=0)
+        has = np.zeros((len(edge) - 1, top), np.uint8)
+        has[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), ids[edge[0]:edge[-1]]] = 1
+        out[2:top + 2] += np.add.reduce(has, axis=0, dtype=np.uint8)
     out[:2] += len(offs) - 1, len(ids)
     return out
 

@@ -51,7 +51,7 @@ class WordTokenizer:
         self.letters = {c: split(normal(chr(c)))[0][0] for c in range(0xC0, 0x100) if _PLAIN.fullmatch(chr(c))}
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         """A word of Latin letters is one piece for the tokenizer and goes to its model at once; others go all the way."""
@@ -61,13 +61,13 @@ class WordTokenizer:
             rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(call, plain) if not p], add_special_tokens=False))
             model = self.tokenizer.model.tokenize
             ids = [[t.id for t in model(w if w.isascii() else w.translate(self.letters))] if p else next(rest).ids for w, p in zip(call, plain)]
-            at = self.ends[-1]
+            at = int(self.ends[-1])
             flat = np.array([x for got in ids for x in got], np.uint32)
             if at + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
             self.ids[at:at + len(flat)] = flat
             self.known.update(zip(call, range(len(self.ends) - 1, len(self.ends) - 1 + len(call))))
-            self.ends.extend((at + np.cumsum([len(got) for got in ids])).tolist())
+            self.ends = np.concatenate([self.ends, at + np.cumsum([len(got) for got in ids])])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): each text's ids and then ``end_id``; a null text is empty."""
@@ -76,14 +76,16 @@ class WordTokenizer:
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         words, counts = self._words(plain)
         number = words.dictionary_encode()
-        distinct = number.dictionary.to_pylist()
+        distinct = number.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
-            self.known, self.ends = {}, [0]
-        unknown = [w for w in distinct if w not in self.known]
+            self.known, self.ends = {}, np.zeros(1, np.int64)
+        got = list(map(self.known.get, distinct))
+        unknown = [w for w, k in zip(distinct, got) if k is None]
         if unknown:
             self._learn(unknown)
-        slot = np.array([self.known[w] for w in distinct], np.int64)[number.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        ends = np.asarray(self.ends, np.int64)
+            got = list(map(self.known.get, distinct))
+        slot = np.array(got, np.int64)[number.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        ends = self.ends
         start, size = ends[slot], ends[slot + 1] - ends[slot] if len(slot) else np.zeros(0, np.int64)
         upto = np.concatenate(([0], np.cumsum(size)))
         flat = self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])] if len(slot) else np.zeros(0, np.uint32)
