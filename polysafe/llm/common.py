@@ -148,17 +148,28 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Written once as a compressed table in the shared checkpoint folder and read back (cuts lineage).
 
     Unlike a checkpoint the table is columnar, so later jobs read only the columns they need.
-    The shuffle files behind it are needed no more and are let go.
+    The shuffle files behind it are needed no more and, unless ``free`` is
+    false, are let go at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table from ``stored`` that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:

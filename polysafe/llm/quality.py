@@ -1,416 +1,22 @@
-"""Quality by the perplexity of a modified Kneser-Ney model of the words of trusted text.
+"""Quality by the perplexity of a modified Kneser-Ney model of trusted text.
 
-The model has word 1- to 3-grams, tables in Spark that grow with the trusted
-text; a word it does not know is spelled by a Kneser-Ney model of character
-classes (64^4 entries at most).  Texts are halved by a minimum hash of their
-3-grams, so that copies and most near copies stay together: a text is judged
-by the model of the trusted texts of the other half, so limits and decisions
-come from text held out from training.
-
-In back-off form the log probability of a text is a sum over its n-grams of one
-number each, so the n-grams of documents meet the shards of the model in one join.
+The model (``charlm``) has the 1- to 6-grams of bytes in Spark tables.  Trusted
+texts are halved; a text is judged by the model of the half it is not in, so
+limits and decisions come from text held out from training.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from typing import NamedTuple
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, span_hash, stored, text_buffer, word_spans
+from polysafe.llm.charlm import score, train
+from polysafe.llm.common import discard, prepare, stored
 
-#: Length of the character n-grams that spell unknown words.
-ORDER = 4
-#: Documents are scored in so many parts, so that the disk of a part is free before the next.
-WAVES = 4
-#: Bits of a character class.
-BITS = 6
 #: A document passes if its perplexity lies between these quantiles of its language's trusted documents.
 LOW, HIGH = 0.001, 0.98
 _ACCURACY = 100_000
 
-# Marks with a class of their own, from class 31 on.
-MARKS = ".,;:!?'\"-()/|*#$%&"
-
-
-def _classes() -> np.ndarray:
-    """Class of each UTF-8 byte; 0 stands before a document's start."""
-    out = np.full(256, 31 + len(MARKS), np.uint8)
-    out[[0x20, 0x09, 0x0B, 0x0C]] = 1
-    out[[0x0A, 0x0D]] = 2
-    out[ord("a"):ord("z") + 1] = np.arange(3, 29)
-    out[ord("A"):ord("Z") + 1] = 29
-    out[ord("0"):ord("9") + 1] = 30
-    for k, mark in enumerate(MARKS):
-        out[ord(mark)] = 31 + k
-    out[0x80:0xC0] = 53 + np.arange(64) % 11
-    out[0xC0:0xE0], out[0xE0:0xF0], out[0xF0:] = 50, 51, 52
-    return out
-
-
-CLASSES = _classes()
-
-
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram that ends at each byte, offsets of the texts)."""
-    buf, offs = text_buffer(texts)
-    return codes(buf, offs), offs
-
-
-def codes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """n-gram that ends at each byte of the texts between the offsets."""
-    cls = CLASSES[buf].astype(np.int32)
-    code = cls.copy()
-    for back in range(1, ORDER):
-        if len(cls) <= back:
-            break
-        code[back:] |= cls[:-back] << (BITS * back)
-    for back in range(ORDER - 1):  # nothing of the text before: only what is inside this one
-        at = offs[:-1] + back
-        at = at[at < offs[1:]]
-        code[at] &= (1 << (BITS * (back + 1))) - 1
-    return code
-
-
-class Model(NamedTuple):
-    """By order k - 1: n-grams, their discounted share of their context, and each context's weight for the order below."""
-
-    codes: list[np.ndarray]
-    shares: list[np.ndarray]
-    back_off: list[np.ndarray]
-
-    def table(self) -> np.ndarray:
-        """Log probability of every n-gram of full order."""
-        size = 1 << BITS
-        lower = np.full(size, 1.0 / size)
-        for k in range(ORDER):
-            prob = (self.back_off[k].astype(np.float32)[:, None] * np.tile(lower.astype(np.float32).reshape(-1, size), (size if k else 1, 1))).reshape(-1)
-            prob[self.codes[k]] += self.shares[k]
-            lower = prob
-        return np.log(np.maximum(lower, 1e-12, out=lower), out=lower)
-
-
-def count(trusted: DataFrame) -> DataFrame:
-    """``code, c``: every n-gram of all texts and how often it occurs."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in slices(batches, "text", 8 << 20):
-            code, _ = grams(b.column("text"))
-            seen = np.bincount(code, minlength=1 << (BITS * ORDER))
-            total = seen if total is None else np.add(total, seen, out=total)
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "c"])
-
-    return trusted.select("text").mapInArrow(rows, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; a fixed 0.5, 1, 1.5 where a count of counts is missing."""
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    out = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.0), k) for k, d in zip((1, 2, 3), out))
-
-
-def train(trusted: DataFrame) -> Model | None:
-    """Model of all texts of ``trusted`` (column ``text``); None without any."""
-    level = stored(count(trusted), "counts")
-    codes, shares, back_off = [], [], []
-    for k in range(ORDER, 0, -1):
-        ones = [F.count(F.when(F.col("c") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4)]
-        d1, d2, d3 = discounts(*level.agg(*ones).first())
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = level.withColumn("ctx", F.shiftright("code", BITS)).withColumn("d", cut)
-        contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        joined = rows.join(contexts, "ctx").select("code", "ctx", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), (F.col("held") / F.col("total")).alias("weight"))
-        table = joined.toArrow()  # at most 64^k rows
-        if not table.num_rows:
-            return None
-        code = table["code"].to_numpy()
-        weight = np.ones(1 << (BITS * (k - 1)), np.float32)  # a context never seen leaves all to the order below
-        weight[table["ctx"].to_numpy()] = table["weight"].to_numpy()
-        codes.insert(0, code.astype(np.int32))
-        shares.insert(0, table["share"].to_numpy().astype(np.float32))
-        back_off.insert(0, weight)
-        # Below the highest order an n-gram counts as often as it continues different characters.
-        level = level.groupBy(F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-    return Model(codes, shares, back_off)
-
-
-#: The last spelling tables, kept by a worker between tasks.
-_tables: dict[str, np.ndarray] = {}
-
-# What stands before and after a text, and the salts of the two models.
-_START, _END = U64(1), U64(2)
-_SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], U64)
-#: Rotations that make a key of an n-gram's words.
-_TURN = 17
-#: The weight that a context leaves to the order below is this at least.
-_LEAST = 1e-6
-
-
-def _rotated(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << U64(n)) | (x >> U64(64 - n))
-
-
-def _key(*words: str) -> Column:
-    """Key of an n-gram in Spark, the same as in ``Sequences``."""
-    out = F.col(words[0])
-    for k, w in enumerate(words[1:], 1):
-        n = _TURN * k
-        out = out.bitwiseXOR(F.shiftleft(w, n).bitwiseOR(F.shiftrightunsigned(w, 64 - n)))
-    return out
-
-
-class Sequences:
-    """Words of texts as 64-bit names, each text after two starts and before an end; the lowest bit is the model.
-
-    The model is that of the text's half to learn from it, else the other one.
-    """
-
-    def __init__(self, texts: pa.Array, learn: bool):
-        buf, offs = text_buffer(texts)
-        self.buf = buf
-        self.start, self.end, doc = word_spans(buf, offs)
-        n = np.bincount(doc, minlength=len(texts))
-        size = n + 3
-        self.ends = np.cumsum(size)
-        self.doc = np.repeat(np.arange(len(texts)), size)
-        self.place = np.arange(len(self.doc)) - np.repeat(self.ends - size, size)
-        raw = np.full(len(self.doc), _START, U64)
-        raw[self.ends - 1] = _END
-        self.words = (self.place >= 2) & (np.arange(len(raw)) != self.ends[self.doc] - 1)
-        raw[self.words] = span_hash(buf, self.start, self.end)
-        full = np.flatnonzero(self.place >= 2)
-        three = mix(raw[full - 2] ^ _rotated(raw[full - 1], _TURN) ^ _rotated(raw[full], 2 * _TURN))
-        least = np.minimum.reduceat(three, np.cumsum(n + 1) - n - 1)
-        self.model = (mix(least) & U64(1)).astype(np.int64) ^ (not learn)
-        model = self.model[self.doc]
-        self.names = (mix(raw ^ _SALTS[model]) & ~U64(1)) | model.astype(U64)
-        self.tokens = n + 1
-
-    def trigrams(self) -> np.ndarray:
-        """Rows of three names."""
-        at = np.flatnonzero(self.place >= 2)
-        return np.stack([self.names[at - 2], self.names[at - 1], self.names[at]])
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(key, text) of every n-gram whose number the log probability needs."""
-        x, at, full = self.names, np.flatnonzero(self.place >= 1), np.flatnonzero(self.place >= 2)
-        two = x[at - 1] ^ _rotated(x[at], _TURN)
-        three = x[full - 2] ^ _rotated(x[full - 1], _TURN) ^ _rotated(x[full], 2 * _TURN)
-        return np.concatenate((x[at], two, three)), np.concatenate((self.doc[at], self.doc[at], self.doc[full]))
-
-    def spelled(self, table: np.ndarray) -> np.ndarray:
-        """Log probability of each word's characters and the space after them."""
-        if not len(self.start):
-            return np.zeros(0)
-        size = self.end - self.start + 2  # a space on either side
-        offs = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(offs[-1]) - np.repeat(offs[:-1], size) + np.repeat(self.start, size) - 1
-        text = self.buf[np.clip(at, 0, len(self.buf) - 1)]
-        text[offs[:-1]] = text[offs[1:] - 1] = 0x20
-        logs = table[codes(text, offs)].astype(np.float64)
-        logs[offs[:-1]] = 0
-        return np.add.reduceat(logs, offs[:-1])
-
-
-class Words(NamedTuple):
-    """``shard, key, value``: packed numbers of the n-grams; the log weight of unknown words by model; the spelling."""
-
-    shards: DataFrame
-    unknown: list[float]
-    spelling: Model
-
-
-def _spelling(tag: str, shared) -> np.ndarray:
-    if tag not in _tables:
-        _tables.clear()
-        _tables[tag] = shared.value.table()
-    return _tables[tag]
-
-
-def _shard(key: np.ndarray, parts: int) -> np.ndarray:
-    """Shard of each unsigned key; rises with the key."""
-    return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
-
-
-def train_words(trusted: DataFrame, spelling: Model) -> Words:
-    """Model of the texts of ``trusted`` (column ``text``), one for each half of them."""
-    spark = trusted.sparkSession
-    shared, tag = spark.sparkContext.broadcast(spelling), uuid.uuid4().hex
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            x = Sequences(b.column("text"), True).trigrams()
-            order = np.lexsort(x)
-            x = x[:, order]
-            first = np.flatnonzero(np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0)))
-            n = np.diff(np.append(first, x.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(signed(np.ascontiguousarray(w[first]))) for w in x), pa.array(n)], names=["w1", "w2", "w3", "c"])
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            s = Sequences(b.column("text"), True)
-            name, at = np.unique(s.names[s.words], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(s.spelled(_spelling(tag, shared))[at])], names=["w", "spelled"])
-
-    source = trusted.select("text")
-    three = stored(source.mapInArrow(seen, "w1 long, w2 long, w3 long, c long").groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c")), "words3")
-    two = stored(three.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("c")), "words2")
-    one = stored(two.groupBy("w3").agg(F.count(F.lit(1)).alias("c")), "words1")
-    model = F.col("w3").bitwiseAND(1)
-
-    def cut(level: DataFrame) -> Column:
-        """The discount of ``c``, by model."""
-        ones = [F.count(F.when(F.col("c") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4)]
-        got = {r.m: discounts(*r[1:]) for r in level.groupBy(model.alias("m")).agg(*ones).collect()}  # two rows
-        by = [F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]) for d in (got.get(m, (0.5, 1.0, 1.5)) for m in (0, 1))]
-        return F.when(model == 0, by[0]).otherwise(by[1])
-
-    def weighed(level: DataFrame, *context: str) -> tuple[DataFrame, DataFrame]:
-        """(the level with ``d``, its contexts with ``total, weight``)."""
-        level = level.withColumn("d", cut(level))
-        held = level.groupBy(*context).agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        return level, held.select(*context, "total", F.greatest(F.col("held") / F.col("total"), F.lit(_LEAST)).alias("weight"))
-
-    share = (F.col("c") - F.col("d")) / F.col("total")
-    level, sums = weighed(one.withColumn("m", model), "m")
-    top = {r.m: (r.total, float(np.log(r.weight))) for r in sums.collect()}  # two rows
-    unknown = [top.get(m, (1, 0.0))[1] for m in (0, 1)]
-    total = F.when(F.col("m") == 0, float(top.get(0, (1,))[0])).otherwise(float(top.get(1, (1,))[0]))
-    spelled = source.mapInArrow(vocabulary, "w long, spelled double").groupBy(F.col("w").alias("w3")).agg(F.min("spelled").alias("spelled"))
-    p1 = level.withColumn("p", (F.col("c") - F.col("d")) / total)
-    base = F.when(F.col("m") == 0, unknown[0]).otherwise(unknown[1]) + F.col("spelled")
-    one = stored(p1.join(spelled, "w3", "left").select("w3", "p", (F.log("p") - F.coalesce(base, F.lit(0.0))).alias("value")), "words1")
-    level, context2 = weighed(two, "w2")
-    p2 = level.join(context2, "w2").join(one.select("w3", F.col("p").alias("below")), "w3")
-    two = stored(p2.select("w2", "w3", (share + F.col("weight") * F.col("below")).alias("p"), F.log1p(share / (F.col("weight") * F.col("below"))).alias("value")), "words2")
-    level, context3 = weighed(three, "w1", "w2")
-    p3 = level.join(context3, ["w1", "w2"]).join(two.select("w2", "w3", F.col("p").alias("below")), ["w2", "w3"])
-    # The number of an n-gram: what it adds as an end to the next lower order, and its weight as a context.
-    numbers = [
-        one.select(F.col("w3").alias("key"), "value"), context2.select(F.col("w2").alias("key"), F.log("weight").alias("value")),
-        two.select(_key("w2", "w3").alias("key"), "value"), context3.select(_key("w1", "w2").alias("key"), F.log("weight").alias("value")),
-        p3.select(_key("w1", "w2", "w3").alias("key"), F.log1p(share / (F.col("weight") * F.col("below"))).alias("value"))]
-    table = numbers[0]
-    for more in numbers[1:]:
-        table = table.unionByName(more)
-    parts = shuffle_parts(spark)
-    shard = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                at, key, value = (b.column(k).to_numpy() for k in ("shard", "key", "value"))
-                order = np.argsort(at, kind="stable")
-                to, first = np.unique(at[order], return_index=True)
-                spans = np.split(order, first[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to), pa.array([key[s].tobytes() for s in spans]), pa.array([value[s].astype(np.float32).tobytes() for s in spans])], names=["shard", "key", "value"])
-
-    rows = table.select(shard.alias("shard"), "key", "value").repartition(parts, "shard")
-    return Words(stored(rows.mapInArrow(packed, "shard int, key binary, value binary"), "model"), unknown, spelling)
-
-
-#: Rows that meet in a shard: its part of the model (kind 0), documents' n-grams (1), and what goes on to the sums (2).
-MEETING = "shard int, kind int, slice string, a binary, b binary, c binary"
-
-
-def _row(shards, kind: int, name: str | None, *columns: list[bytes]) -> pa.RecordBatch:
-    n = len(shards)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shards, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([name] * n, pa.string()), *(pa.array(x, pa.binary()) for x in columns)],
-        names=["shard", "kind", "slice", "a", "b", "c"])
-
-
-def score_words(docs: DataFrame, words: Words) -> DataFrame:
-    """``id, lang, perplexity`` of every row of ``docs`` (``id, lang, text``), by word; null for empty texts."""
-    spark = docs.sparkSession
-    parts, unknown = shuffle_parts(spark), np.array(words.unknown)
-    shared, tag = spark.sparkContext.broadcast(words.spelling), uuid.uuid4().hex
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each slice's texts (id, language, tokens, log probability of all words as unknown ones) and their n-grams by shard."""
-        for b in slices(batches, "text"):
-            s, name = Sequences(b.column("text"), False), uuid.uuid4().hex
-            per_word = s.spelled(_spelling(tag, shared)) + unknown[s.model[s.doc[s.words]]]
-            base = np.bincount(s.doc[s.words], per_word, b.num_rows).astype(np.float64)
-            about = pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(s.tokens), pa.array(base), pa.array(pc.fill_null(pc.greater(pc.binary_length(b.column("text")), 0), False))], names=["id", "lang", "tokens", "base", "full"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, about.schema) as w:
-                w.write_batch(about)
-            yield _row([int(name, 16) % parts], 2, name, [sink.getvalue().to_pybytes()], [None], [None])
-            key, doc = s.keys()
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order].astype("<u4")
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            n = np.diff(np.append(first, len(key))).astype("<u4")
-            key, doc = key[first], doc[first]
-            shard = _shard(key, parts)
-            to, at = np.unique(shard, return_index=True)
-            edges = np.append(at, len(key))
-            for k in range(0, len(to), 64):
-                spans = [slice(x, y) for x, y in zip(edges[k:k + 64], edges[k + 1:k + 65])]
-                yield _row(to[k:k + 64], 1, name, [key[x].tobytes() for x in spans], [doc[x].tobytes() for x in spans], [n[x].tobytes() for x in spans])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the n-grams of a slice add to each of its texts, by shard."""
-        held, index, at = [], None, None
-        for b in batches:
-            for shard, kind, name, x, y, n in zip(*(b.column(k).to_pylist() for k in ("shard", "kind", "slice", "a", "b", "c"))):
-                if shard != at:
-                    held, index, at = [], None, shard
-                if kind == 0:
-                    held.append((np.frombuffer(x, "<u8"), np.frombuffer(y, "<f4")))
-                elif kind == 2:
-                    yield _row([shard], 2, name, [x], [None], [None])
-                elif held:
-                    if index is None:
-                        key, value = (np.concatenate(c) for c in zip(*held))
-                        keys, where = np.unique(key, return_inverse=True)
-                        index = keys, np.bincount(where, value)
-                    keys, values = index
-                    key, doc = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u4")
-                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = np.flatnonzero(keys[place] == key)
-                    if len(hit):
-                        sums = np.bincount(doc[hit], values[place[hit]] * np.frombuffer(n, "<u4")[hit]).astype("<f4")
-                        yield _row([shard], 1, name, [sums.tobytes()], [None], [None])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a slice stand together, its texts last."""
-        sums, at = None, None
-        for b in batches:
-            for kind, name, x in zip(*(b.column(k).to_pylist() for k in ("kind", "slice", "a"))):
-                if name != at:
-                    sums, at = np.zeros(0), name
-                if kind == 1:
-                    more = np.frombuffer(x, "<f4")
-                    if len(more) > len(sums):
-                        sums = np.append(sums, np.zeros(len(more) - len(sums)))
-                    sums[:len(more)] += more
-                    continue
-                about = pa.ipc.open_stream(x).read_all().combine_chunks().to_batches()[0]
-                logs = about.column("base").to_numpy().copy()
-                logs[:len(sums)] += sums
-                out = np.exp(np.minimum(-logs / about.column("tokens").to_numpy(), 700))
-                yield pa.RecordBatch.from_arrays(
-                    [about.column("id"), about.column("lang"), pa.array(out, mask=~about.column("full").to_numpy(zero_copy_only=False))], names=["id", "lang", "perplexity"])
-
-    model = words.shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("slice"), F.col("key").alias("a"), F.col("value").alias("b"), F.lit(None).cast("binary").alias("c"))
-    met = docs.mapInArrow(ask, MEETING).unionByName(model).repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, MEETING)
-    return met.repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(total, "id long, lang string, perplexity double")
-
 
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -430,15 +36,13 @@ def judge(
     good = labels.where((F.col(quality_col) == 1) & (F.coalesce(F.col(toxic_col), F.lit(0)) == 0)).select(F.col(id_col).cast("long").alias("id")).distinct()
     # The labels grow with the documents, so this join moves both sides at any size.
     learnt = stored(source.where("text <> ''").select("id", "text").join(good.hint("merge"), "id", "left_semi").select("text"), "trusted")
-    model = train(learnt)
-    if model is None:
+    untaught = learnt.isEmpty()
+    if untaught:
         scored = source.select("id", "lang", F.lit(None).cast("double").alias("perplexity"))
     else:
-        words = train_words(learnt, model)
-        waves = [stored(score_words(source.where(F.pmod(F.xxhash64("id", "text"), F.lit(WAVES)) == k), words), "scored") for k in range(WAVES)]
-        scored = waves[0]
-        for more in waves[1:]:
-            scored = scored.unionByName(more)
+        model = train(learnt)
+        scored = score(source, model)
+    discard(learnt)
     trusted = scored.where("perplexity is not null").join(good.hint("merge"), "id", "left_semi")
     quantiles = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(_ACCURACY)).alias("q")
     by_lang = trusted.where("lang is not null").groupBy("lang").agg(quantiles)
@@ -450,7 +54,7 @@ def judge(
             table = F.create_map(*[F.lit(x) for lang, q in limits.items() for x in (lang, q[k])])
             bound[k] = F.coalesce(F.element_at(table, F.col("lang")), bound[k])
     empty = F.col("perplexity").isNull()
-    if model is None:
+    if untaught:
         kept = F.lit(True)
     else:
         kept = ~empty & F.col("perplexity").between(F.col("low"), F.col("high"))

@@ -1,10 +1,5 @@
-"""The language model against Kneser-Ney written out, and its decisions on labelled documents."""
+"""Decisions of the language model on labelled documents; the model itself is tested in test_quality_words."""
 
-from collections import Counter, defaultdict
-
-import numpy as np
-import pyarrow as pa
-import pytest
 from conftest import SF01
 
 from polysafe.llm import quality
@@ -12,53 +7,9 @@ from polysafe.llm import quality
 DOCS = "doc_id long, text string, lang string, kept string, perplexity int, source string"
 
 
-def by_hand(texts):
-    """Log probability of a class after a context of three, from dictionaries."""
-    seqs = [[0, 0, 0, *quality.CLASSES[np.frombuffer(t.encode(), np.uint8)].tolist()] for t in texts]
-    counts = {4: Counter(tuple(s[k - 3:k + 1]) for s in seqs for k in range(3, len(s)))}
-    for n in (3, 2, 1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    cuts = {n: quality.discounts(*(sum(v == j for v in c.values()) for j in (1, 2, 3, 4))) for n, c in counts.items()}
-    after = defaultdict(list)
-    for n, c in counts.items():
-        for g, v in c.items():
-            after[n, g[:-1]].append(v)
-
-    def prob(g):
-        lower = 1 / 64 if len(g) == 1 else prob(g[1:])
-        seen = after.get((len(g), g[:-1]))
-        if not seen:
-            return lower
-        d = cuts[len(g)]
-        v = counts[len(g)].get(g, 0)
-        held = sum(d[min(x, 3) - 1] for x in seen)
-        return (max(v - d[min(v, 3) - 1], 0) if v else 0) / sum(seen) + held / sum(seen) * lower
-
-    return prob
-
-
 TEXTS = ["the cat sat on the mat.", "The dog, the cat & 12 mats!", "été là-bas", "a", "the the the the"] * 2 + ["on a mat sat the cat; the end"]
 
 
-def test_probabilities(spark):
-    model = quality.train(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
-    table, prob = model.table(), by_hand(TEXTS)
-    rng = np.random.default_rng(1)
-    some = [tuple(x) for x in rng.integers(0, 54, (300, 4)).tolist()] + [tuple(int(c) for c in quality.CLASSES[np.frombuffer(w, np.uint8)]) for w in (b"the ", b"mat.", b"cat ", b" sat", b"zzzz")]
-    for g in [*some, (0, 0, 0, 22), (0, 0, 22, 10)]:
-        code = sum(c << (6 * (3 - k)) for k, c in enumerate(g))
-        assert table[code] == pytest.approx(np.log(prob(g)), abs=2e-4), g
-    sums = np.exp(table.astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
-
-
-def test_n_grams_stay_inside_a_text():
-    code, offs = quality.grams(pa.array(["ab", None, "", "abcde", "x"]))
-    a = int(quality.CLASSES[ord("a")])
-    assert offs.tolist() == [0, 2, 2, 2, 7, 8]
-    assert code[0] == a and code[1] == (a << 6) + a + 1 and code[2] == a and code[6] == sum((a + 1 + k) << (6 * (3 - k)) for k in range(4)) and code[7] == quality.CLASSES[ord("x")]
-
-
 def test_decisions_on_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.judge(docs, labels).join(labels, "doc_id").collect()
