@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polysafe.llm.common import U64, discard, mix, shuffle_parts, slices, span_hash, stored, text_buffer, word_spans
+from polysafe.llm.common import SLICE_BYTES, U64, discard, mix, shuffle_parts, slices, span_hash, stored, text_buffer, word_spans
 
 #: Bytes of the longest n-grams: what a 64-bit number holds beside a text's place in its slice.
 ORDER = 6
@@ -214,6 +214,17 @@ class Grams:
         return np.bincount(self.doc, np.log(np.maximum(p, 1e-30))[self.gram] * self.n, texts)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of one kind, compressed byte by byte: neighbours are alike in most of their bytes."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(block: bytes, n: int, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(block, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(dtype).reshape(n)
+
+
 #: Rows of a shard: its part of the model (kind 0) and questions (1); rows of a slice: answers (1) and the texts (2).
 MEETING = "shard int, kind int, slice string, a binary, b binary, c binary"
 
@@ -232,16 +243,33 @@ def _texts(blob: bytes) -> pa.RecordBatch:
 def _cut(docs: DataFrame) -> DataFrame:
     """The texts in slices of one half each (``MEETING``, kind 2; the half as ``shard``)."""
 
+    def sealed(half: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        for k in range(0, whole.num_rows, 1 << 16):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(whole.slice(k, 1 << 16))
+            yield _rows([half], 2, uuid.uuid4().hex, [sink.getvalue().to_pybytes()], [None], [None])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            half = halves(*text_buffer(b.column("text")))
+        held, size = ([], []), [0, 0]
+        for b in slices(batches, "text", SLICE_BYTES // 2):
+            buf, offs = text_buffer(b.column("text"))
+            half, n = halves(buf, offs), np.diff(offs)
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
-                for part in (at[k:k + (1 << 16)] for k in range(0, len(at), 1 << 16)):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                        w.write_batch(b.take(pa.array(part)))
-                    yield _rows([h], 2, uuid.uuid4().hex, [sink.getvalue().to_pybytes()], [None], [None])
+                if not len(at):
+                    continue
+                more = int(n[at].sum())
+                if held[h] and size[h] + more > SLICE_BYTES:
+                    yield from sealed(h, held[h])
+                    held[h].clear()
+                    size[h] = 0
+                held[h].append(b.take(pa.array(at)))
+                size[h] += more
+        for h in (0, 1):
+            if held[h]:
+                yield from sealed(h, held[h])
 
     return docs.select("id", "lang", "text").mapInArrow(rows, MEETING)
 
@@ -267,9 +295,9 @@ def _answered(cut: DataFrame, held: DataFrame, parts: int) -> DataFrame:
                 g = Grams(*text_buffer(_texts(blob).column("text")), 1 - half, parts)
                 edges = np.append(g.begin, len(g.keys))
                 for k in range(0, len(g.shards), 64):
-                    blocks = [g.keys[x:y].tobytes() for x, y in zip(edges[k:k + 64], edges[k + 1:k + 65])]
-                    none = [None] * len(blocks)
-                    yield _rows(g.shards[k:k + 64], 1, name, blocks, none, none)
+                    spans = list(zip(edges[k:k + 64], edges[k + 1:k + 65]))
+                    blocks = [_packed(np.diff(g.keys[x:y], prepend=U64(0))) for x, y in spans]  # keys of a shard rise
+                    yield _rows(g.shards[k:k + 64], 1, name, blocks, [int(y - x).to_bytes(8, "little") for x, y in spans], [None] * len(spans))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, index, at = [], None, None
@@ -282,7 +310,7 @@ def _answered(cut: DataFrame, held: DataFrame, parts: int) -> DataFrame:
                     continue
                 if index is None:
                     index = Index(blocks)
-                yield _rows([shard], 1, name, [None], *([v.tobytes()] for v in index.find(np.frombuffer(x, "<u8"))))
+                yield _rows([shard], 1, name, [None], *([_packed(v)] for v in index.find(np.cumsum(_unpacked(x, int.from_bytes(y, "little"), "<u8"), dtype=U64))))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a slice stand together, its texts last."""
@@ -292,7 +320,7 @@ def _answered(cut: DataFrame, held: DataFrame, parts: int) -> DataFrame:
                 if name != at:
                     answers, at = {}, name
                 if kind == 1:
-                    answers[shard] = np.frombuffer(y, "<f4"), np.frombuffer(z, "<f4")
+                    answers[shard] = y, z
                     continue
                 texts = _texts(x)
                 buf, offs = text_buffer(texts.column("text"))
@@ -300,7 +328,8 @@ def _answered(cut: DataFrame, held: DataFrame, parts: int) -> DataFrame:
                 logs = np.zeros(len(size))
                 if len(buf):
                     g = Grams(buf, offs, 1 - shard, parts)
-                    share, weight = (np.concatenate([answers[s][j] for s in g.shards.tolist()]) for j in (0, 1))
+                    n = np.diff(np.append(g.begin, len(g.keys))).tolist()
+                    share, weight = (np.concatenate([_unpacked(answers[s][j], c, "<f4") for s, c in zip(g.shards.tolist(), n)]) for j in (0, 1))
                     logs = g.sums(share, weight, len(size))
                 out = np.exp(-logs / np.maximum(size, 1))
                 yield pa.RecordBatch.from_arrays([texts.column("id"), texts.column("lang"), pa.array(out, mask=size == 0)], names=["id", "lang", "perplexity"])
