@@ -17,7 +17,10 @@ skipped and the other raised.
 Sets that meet are filtered by size and by the parity of hashed elements (a
 lower bound of the difference), then verified exactly.  Components need no
 more than one path, so each set is first compared with one leader of its
-buckets and then only with what is still in different components.
+buckets and then only with what is still in different components.  Those
+pairs must also pass the chains of segments that start where they meet
+(``chains``): groups of texts just below the similarity share most of their
+buckets, and would otherwise meet in each of them.
 """
 
 from __future__ import annotations
@@ -42,9 +45,12 @@ PERCENT = 90
 LEADERS = 2
 #: Bits of the parity sketch, and of its folded form that travels with bucket members.
 SKETCH, FOLDED = 1024, 256
+WORDS = SKETCH // 64
 #: With so many segments, subsets that are empty are not indexed: of sets within the allowed difference each segment
 #: agrees and has an element with a probability over 0.34 at 80 and 90 %, so all of 100 fail with one below 1e-18.
 MANY = 100
+#: Segments of the chains, each twice the one before, that a pair must pass from the entry where it meets.
+CHAINS = (2, 4, 8, 16, 32)
 #: Comparisons of two bucket members that cost as much as one more index entry.
 ENTRY_COST = 50
 
@@ -72,6 +78,14 @@ def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return grams[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
+def whole_parity(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Parity of each set's elements in ``SKETCH`` places, one row a set."""
+    rows = len(offs) - 1
+    place = (mix(grams ^ U64(0x1234567)) % U64(SKETCH)).astype(np.int64)
+    bits = np.bincount(np.repeat(np.arange(rows), np.diff(offs)) * SKETCH + place, minlength=rows * SKETCH)
+    return (bits.reshape(rows, SKETCH) & 1).astype(np.uint8)
+
+
 class Bands:
     """Size bands and their schemes for a similarity of ``percent`` / 100."""
 
@@ -114,15 +128,10 @@ def describe(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
             n = np.diff(offs)
             full = n > 0
             d1, d2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
-            one = np.ones(0, U64)
-            bits = np.zeros((len(n), SKETCH), np.int64)
             if len(grams):
                 at = offs[:-1][full]
-                one = mix(grams ^ U64(0x1234567))
-                d1[full], d2[full] = mix(np.add.reduceat(one, at)), np.add.reduceat(mix(grams ^ U64(0x7654321)), at)
-                doc = np.repeat(np.arange(len(n)), n)
-                bits = np.bincount(doc * SKETCH + (one % U64(SKETCH)).astype(np.int64), minlength=len(n) * SKETCH).reshape(len(n), SKETCH)
-            odd = (bits & 1).astype(np.uint8)
+                d1[full], d2[full] = mix(np.add.reduceat(mix(grams ^ U64(0x1234567)), at)), np.add.reduceat(mix(grams ^ U64(0x7654321)), at)
+            odd = whole_parity(grams, offs)
             folded = np.bitwise_xor.reduce(odd.reshape(len(n), SKETCH // FOLDED, FOLDED), axis=1)
             sketch = np.packbits(folded, axis=1).view(">i8").astype(np.int64)
             whole = np.packbits(odd, axis=1)
@@ -174,44 +183,123 @@ def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
     return out
 
 
-def signatures(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: int) -> DataFrame:
-    """``sig, guest, d1``: each set under its own band's scheme and, as a guest, under the one before."""
+def entries(grams: np.ndarray, offs: np.ndarray, rows: np.ndarray, scheme: np.ndarray, bands: Bands, v: np.ndarray):
+    """Index entries of the given rows under each row's scheme: (hash, slot) of each, and what ``in_segments`` gives."""
+    element, slot, segment, owner = in_segments(grams, offs, rows, scheme, bands)
+    part = mix(element ^ U64(0xBEEF))
+    total = np.zeros(len(segment), U64)
+    np.add.at(total, slot, part)
+    salt = mix(segment.astype(U64) ^ U64(0xF00D))
+    held = np.bincount(slot, minlength=len(segment))
+    many = bands.segments[np.searchsorted(bands.base, segment, side="right") - 1] >= MANY
+    used = np.flatnonzero((v[segment] >= 0) & ~(many & (held == 0)))
+    near = v[segment][slot] == 1
+    sig = np.concatenate([mix(total[used] ^ salt[used]), mix((total[slot[near]] - part[near]) ^ salt[slot[near]])])
+    return sig, np.concatenate([used, slot[near]]), element, slot, segment, owner
+
+
+def _schemes(grams: np.ndarray, offs: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(guest, rows, scheme of each): every set under its own band's scheme and, as a guest, under the one before."""
+    full = np.flatnonzero(np.diff(offs))
+    own = bands.of(np.diff(offs)[full])
+    older = own > 0
+    for guest, rows, scheme in ((0, full, own), (1, full[older], own[older] - 1)):
+        if len(rows):
+            yield guest, rows, scheme
+
+
+def _levels(bands: Bands, thresholds: dict[int, int]) -> np.ndarray:
     v = np.zeros(bands.base[-1], np.int8)
     v[list(thresholds)] = list(thresholds.values())
+    return v
+
+
+def signatures(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: int) -> DataFrame:
+    """``sig, guest, d1``: each set under its own band's scheme and, as a guest, under the one before."""
+    v = _levels(bands, thresholds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             grams, offs = shingles(b.column("text"), shingle)
             full = np.flatnonzero(np.diff(offs))
-            if not len(full):
-                continue
-            own = bands.of(np.diff(offs)[full])
-            older = own > 0
             digest = np.zeros(b.num_rows, U64)
-            digest[full] = mix(np.add.reduceat(mix(grams ^ U64(0x1234567)), offs[:-1][full]))
-            for guest, rows_, scheme in ((0, full, own), (1, full[older], own[older] - 1)):
-                if not len(rows_):
-                    continue
-                element, slot, segment, owner = in_segments(grams, offs, rows_, scheme, bands)
-                part = mix(element ^ U64(0xBEEF))
-                total = np.zeros(len(segment), U64)
-                np.add.at(total, slot, part)
-                salt = mix(segment.astype(U64) ^ U64(0xF00D))
-                held = np.bincount(slot, minlength=len(segment))
-                many = bands.segments[np.searchsorted(bands.base, segment, side="right") - 1] >= MANY
-                used = (v[segment] >= 0) & ~(many & (held == 0))
-                sig, of = [mix(total[used] ^ salt[used])], [owner[used]]
-                near = v[segment][slot] == 1
-                if near.any():
-                    sig.append(mix((total[slot[near]] - part[near]) ^ salt[slot[near]]))
-                    of.append(owner[slot[near]])
-                sig, of = np.concatenate(sig), np.concatenate(of)
+            if len(full):
+                digest[full] = mix(np.add.reduceat(mix(grams ^ U64(0x1234567)), offs[:-1][full]))
+            for guest, held, scheme in _schemes(grams, offs, bands):
+                sig, at, _, _, _, owner = entries(grams, offs, held, scheme, bands, v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(sig)), pa.array(np.full(len(sig), guest, np.int8)), pa.array(signed(digest[of]))], names=["sig", "guest", "d1"])
+                    [pa.array(signed(sig)), pa.array(np.full(len(sig), guest, np.int8)), pa.array(signed(digest[owner[at]]))], names=["sig", "guest", "d1"])
 
     return docs.mapInArrow(rows, "sig long, guest byte, d1 long")
 
 
+def chains(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: int) -> DataFrame:
+    """``sig, rep, low<l>, high<l>, room<l>``: parity of the elements in the ``l`` segments from an entry's own on.
+
+    Of integers around a ring whose sum is positive, some one has only positive
+    sums from it on (cycle lemma).  With v_i + 1 less the difference in segment
+    i, similar sets so have an entry from which, for each l, the l segments
+    differ in fewer than the sum of their v_i + 1: in ``room`` at most.
+    Schemes of ``MANY`` segments, whose empty entries are not indexed, have no rows here.
+    """
+    v = _levels(bands, thresholds)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            grams, offs = shingles(b.column("text"), shingle)
+            for _, held, scheme in _schemes(grams, offs, bands):
+                few = bands.segments[scheme] < MANY
+                held, scheme = held[few], scheme[few]
+                if not len(held):
+                    continue
+                sig, at, element, slot, segment, owner = entries(grams, offs, held, scheme, bands, v)
+                bit = mix(element ^ U64(0xC4A1)) >> U64(57)
+                parity = np.zeros((2, len(segment)), U64)
+                np.bitwise_xor.at(parity, ((bit >> U64(6)).astype(np.int64), slot), U64(1) << (bit & U64(63)))
+                m = bands.segments[scheme]
+                first = np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m)
+                m = np.repeat(m, m)
+                within = np.arange(len(segment)) - first
+                room = v[segment].astype(np.int64) + 1
+                cols, size = [], 1
+                for length in CHAINS:
+                    after = first + (within + size) % m
+                    parity, room, size = parity ^ parity[:, after], room + room[after], length
+                    cols += [signed(parity[0][at]), signed(parity[1][at]), np.where(m >= length, room - 1, 2 * SKETCH)[at].astype(np.int16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(sig)), b.column("id").take(pa.array(owner[at])), *map(pa.array, cols)], names=["sig", "rep", *names])
+
+    names = [f"{kind}{length}" for length in CHAINS for kind in ("low", "high", "room")]
+    kinds = ", ".join(f"{c} {'short' if c.startswith('room') else 'long'}" for c in names)
+    return docs.mapInArrow(rows, f"sig long, rep long, {kinds}")
+
+
+def _apart(a: str, b: str, words: list[str]) -> Column:
+    """Bits that differ in the given words of both sides."""
+    return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
+
+
+def whole_words(sketches: DataFrame) -> DataFrame:
+    """``rep, w0..``: the whole parity of each set (``id, parity``) as numbers."""
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.frombuffer(b"".join(b.column("parity").to_pylist()), ">i8").astype(np.int64).reshape(b.num_rows, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(words[:, k]) for k in range(WORDS))], names=["rep", *names])
+
+    return sketches.select("id", "parity").mapInArrow(rows, "rep long, " + ", ".join(f"{c} long" for c in names))
+
+
+def _in_step(a: str, b: str, percent: int) -> Column:
+    """The whole parities allow the similarity, and no chain from this entry on differs by more than its room; entries without chains pass."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    ok = (100 + percent) * _apart(a, b, [f"w{k}" for k in range(WORDS)]) <= (100 - percent) * both
+    for n in CHAINS:
+        ok = ok & F.coalesce(_apart(a, b, [f"low{n}", f"high{n}"]) <= F.col(f"{a}.room{n}"), F.lit(True))
+    return ok
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """The distinct rows of buckets where a set of the bucket's band meets another set."""
 
@@ -257,7 +345,7 @@ def shared(rows: DataFrame) -> DataFrame:
 def _plausible(a: str, b: str, percent: int) -> Column:
     """Sizes and parity bits allow the similarity: the difference is at most (100 - percent) / (100 + percent) of both sizes."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(4)), F.lit(0))
+    apart = _apart(a, b, [f"p{k}" for k in range(4)])
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
@@ -327,7 +415,7 @@ def _similar(source: DataFrame, percent: int, shingle: int) -> DataFrame:
         met = shared(signatures(source, bands, thresholds, shingle))
         held = stored(met.join(classes, "d1").select("sig", "guest", "rep", "n", *sketch), "held")
         texts = stored(source.join(held.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-        component = _components(held, classes.select(F.col("rep").alias("id"), "n", "parity").dropDuplicates(["id"]), texts, percent, shingle)
+        component = _components(held, bands, thresholds, classes.select(F.col("rep").alias("id"), "n", "parity").dropDuplicates(["id"]), texts, percent, shingle)
     else:
         component = spark.createDataFrame([], "node long, component long")
     member = sets.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
@@ -336,7 +424,7 @@ def _similar(source: DataFrame, percent: int, shingle: int) -> DataFrame:
     return out.select("id", F.col("n").alias("n_shingles"), ids[0].alias("class_id"), ids[1].alias("component_id"))
 
 
-def _components(held: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     sketch = ["p0", "p1", "p2", "p3"]
     links, found = None, None
 
@@ -362,8 +450,10 @@ def _components(held: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     add(led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
     now = labelled()
     mixed = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = now.join(mixed, "sig", "left_semi")
+    rest = stored(now.join(mixed, "sig", "left_semi"), "rest")
+    steps = chains(texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), bands, thresholds, shingle)
+    rest = rest.join(whole_words(sketches), "rep").join(steps, ["sig", "rep"], "left")
     pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-                                 & (F.col("x.guest") + F.col("y.guest") < 2) & _plausible("x", "y", percent))
+                                 & (F.col("x.guest") + F.col("y.guest") < 2) & _plausible("x", "y", percent) & _in_step("x", "y", percent))
     add(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     return found

@@ -152,3 +152,41 @@ def test_rows_that_share_an_id_link_by_their_own_texts(spark):
     got = ngram_join.similar_components(frame(spark, rows), percent=90, shingle=3).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
     assert {(r.doc_id, r.component_id) for r in got} >= {(5, 5), (7, 5), (None, None), (7, None)}
+
+
+@pytest.mark.parametrize("thresholds", [{}, {0: -1, 3: 1, 5: 1, 6: -1}])
+def test_similar_sets_have_an_entry_whose_chains_are_in_room(thresholds):
+    """Every pair within the allowed difference passes all chains from one shared entry at least; of others few pass."""
+    rng = random.Random(4)
+    base = [f"x{k}" for k in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 12)):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    bands = Bands(90, 1000)
+    first = int(bands.base[bands.of(np.array([298]))[0]])
+    levels = {first + k: v for k, v in thresholds.items()}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+
+    class Rows:
+        def mapInArrow(self, rows, schema):
+            return list(rows(iter([batch])))
+
+    entries = {}
+    for part in ngram_join.chains(Rows(), bands, levels, 3):
+        for r in part.to_pylist():
+            entries.setdefault(r["sig"], {})[r["rep"]] = r
+    passed = set()
+    for members in entries.values():
+        for a, x in members.items():
+            for b, y in members.items():
+                if a < b and all(sum(((x[f"{w}{n}"] ^ y[f"{w}{n}"]) & (2**64 - 1)).bit_count() for w in ("low", "high")) <= x[f"room{n}"] for n in ngram_join.CHAINS):
+                    passed.add((a, b))
+    sets = [shingle_set(t, 3) for t in texts]
+    pairs = {(a, b): 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    assert any(pairs.values())
+    assert {p for p, similar in pairs.items() if similar} <= passed
+    far = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])]
+    assert len(far) > 100 and sum(p in passed for p in far) < len(far) / 4
