@@ -3,7 +3,9 @@
 An item of m characters that occurs with at most e edits shares at least
 m - q + 1 - q e q-grams with the place, on diagonals at most e apart.  Shared
 q-grams are counted in diagonal bands of 2 (e + 1), each overlapping the next
-by half; only bands that reach the bound are aligned.
+by half; only bands that reach the bound are aligned.  Where asked for, items
+too short for their edits at the usual q take the longest q that their edits
+allow, and those below the usual q are looked up whole.
 
 Both sides are compared lower-cased, every run of characters other than
 letters and digits being one blank.  Characters are UTF-8 bytes.
@@ -119,12 +121,11 @@ def align(item: bytes, text: bytes, lo: int, hi: int, most: int) -> tuple[int, i
     return (int(cost[k]), int(start[k]), int(diag[k]) + len(a)) if cost[k] <= most else None
 
 
-def search(texts: pa.Array, index: Index, q: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, start, end) of each occurrence; overlapping finds of an item are the one of fewest edits."""
-    buf, offs = normalised(texts)
+def shared_grams(buf: np.ndarray, offs: np.ndarray, index: Index, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``buf``, item, place in the item) of every q-gram that a text shares with an item."""
     grams = windows_hash(buf.astype(U64), q)
     if not len(grams) or not len(index.grams):
-        return []
+        return (np.zeros(0, np.int64),) * 3
     at = np.flatnonzero(index.seen[(grams >> U64(64 - _FILTER_BITS)).astype(np.int64)])
     row = np.searchsorted(offs, at, side="right") - 1
     at = at[at + q < offs[row + 1]]
@@ -134,8 +135,33 @@ def search(texts: pa.Array, index: Index, q: int) -> list[tuple[int, int, int, i
     many = index.at[k + 1] - index.at[k]
     upto = np.concatenate(([0], np.cumsum(many)))
     post = np.repeat(index.at[k] - upto[:-1], many) + np.arange(upto[-1])
-    at = np.repeat(at, many)
-    item, place = index.item[post], index.place[post]
+    return np.repeat(at, many), index.item[post], index.place[post]
+
+
+def search_short(texts: pa.Array, index: Index, size: int, whole: bool) -> list[tuple[int, int, int, int, int]]:
+    """Like ``search`` for items of ``size`` characters that stand alone: as the ``whole`` text, or as words of it."""
+    buf, offs = normalised(texts)
+    at, item, _ = shared_grams(buf, offs, index, size)
+    if not len(at):
+        return []
+    row = np.searchsorted(offs, at, side="right") - 1
+    bodies = np.array([np.frombuffer(x, np.uint8) for x in index.texts])
+    alone = (buf[at[:, None] + np.arange(size)] == bodies[item]).all(axis=1)
+    first, last = at == offs[row], at + size == offs[row + 1] - 1
+    if not whole:  # letters of scripts written without blanks stand beside others
+        first |= (buf[at - 1] == 32) | (buf[at] >= 128)
+        last |= (buf[at + size] == 32) | (buf[at + size - 1] >= 128)
+    alone &= first & last
+    at, item, row = at[alone], item[alone], row[alone]
+    return [(r, i, 0, s, s + size) for r, i, s in sorted(zip(row.tolist(), item.tolist(), (at - offs[row]).tolist()))]
+
+
+def search(texts: pa.Array, index: Index, q: int) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, edits, start, end) of each occurrence; overlapping finds of an item are the one of fewest edits."""
+    buf, offs = normalised(texts)
+    at, item, place = shared_grams(buf, offs, index, q)
+    if not len(at):
+        return []
     row = np.searchsorted(offs, at, side="right") - 1
     able = index.least[item] >= 1
     at, item, place, row = at[able], item[able], place[able], row[able]
@@ -165,6 +191,20 @@ def search(texts: pa.Array, index: Index, q: int) -> list[tuple[int, int, int, i
     return [(r, i, *x) for (r, i), own in sorted(found.items()) for x in sorted(own, key=lambda x: x[1])]
 
 
+def by_length(table: pa.Table, q: int, rate: float) -> list[tuple[int, bool, Index]]:
+    """(q-gram length, whether items are that long, index) of the items that share a length: ``q`` for all but short ones."""
+    texts = table["text"].combine_chunks()
+    size = np.maximum(np.diff(normalised(texts)[1]) - 1, 0)
+    length = np.minimum(q, size // ((size * rate).astype(np.int64) + 1))
+    alone = size < q
+    length[alone] = size[alone]
+    out = []
+    for n, short in sorted({(int(n), bool(a)) for n, a in zip(length, alone) if n}):
+        at = pa.array(np.flatnonzero((length == n) & (alone == short)))
+        out.append((n, short, build(table["item"].take(at).to_pylist(), texts.take(at), n, rate)))
+    return out
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[pa.Table]:
     """The stated queries in blocks of bounded size, one in the driver at a time."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -181,13 +221,20 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES,
+    short: str | None = None,
 ) -> DataFrame:
     """``<id>, <item>, edits, start, end``: every occurrence of a benchmark item in a document.
 
     ``start`` and ``end`` are places in the compared form of the text.  An item
     of m characters may differ by floor(m * edit_rate) edits, or as many as
-    the lemma allows.  Items that have fewer than ``q`` characters have no
-    q-gram and are not searched.  Null texts hold nothing; repeated rows
+    the lemma allows.  ``short`` names what is done with items for which ``q``
+    is too long: None keeps to ``q``, so those of fewer than ``q`` characters are
+    not searched and some others have fewer edits than the rate gives.
+    ``"words"`` gives each item all its edits, and finds items of
+    fewer than ``q`` characters unchanged where they are words of their own (an
+    end that is not an ASCII letter or digit may touch others);
+    ``"whole"`` finds these only in documents that hold nothing else.  Items
+    without letters and digits are never found.  Null texts hold nothing; repeated rows
     are searched each; an empty table on either side gives no rows; other
     columns are ignored; texts are read whole.
     """
@@ -198,19 +245,19 @@ def find_passages(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def occurrences(table: pa.Table) -> DataFrame:
-        ids = table["item"].to_pylist()
         kind = table.schema.field("item").type
-        shared = spark.sparkContext.broadcast(build(ids, table["text"].combine_chunks(), q, edit_rate))  # at most block_bytes of items
+        parts = [(q, False, build(table["item"].to_pylist(), table["text"].combine_chunks(), q, edit_rate))] if short is None else by_length(table, q, edit_rate)
+        shared = spark.sparkContext.broadcast(parts)  # at most block_bytes of items
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in slices(batches, "text"):
-                got = search(b.column("text"), index, q)
-                if got:
-                    row, item, edits, start, end = zip(*got)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("id").take(pa.array(row)), pa.array([index.ids[i] for i in item], kind), *(pa.array(x, pa.int32()) for x in (edits, start, end))],
-                        names=["id", "item", "edits", "start", "end"])
+                for length, alone, index in shared.value:
+                    got = search_short(b.column("text"), index, length, short == "whole") if alone else search(b.column("text"), index, length)
+                    if got:
+                        row, item, edits, start, end = zip(*got)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column("id").take(pa.array(row)), pa.array([index.ids[i] for i in item], kind), *(pa.array(x, pa.int32()) for x in (edits, start, end))],
+                            names=["id", "item", "edits", "start", "end"])
 
         return source.mapInArrow(rows, schema)
 
@@ -224,6 +271,9 @@ def find_passages(
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search_by) -> DataFrame:
-    """The rows of ``docs`` whose id has no occurrence of a benchmark item, all columns as they were."""
-    hit = find_passages(docs, benchmark, id_col, text_col, **search_by).select(F.col(id_col).alias("_hit_id")).distinct()
+    """The rows of ``docs`` whose id has no occurrence of a benchmark item, all columns as they were.
+
+    Items too short for a q-gram remove a document only where they are its whole text.
+    """
+    hit = find_passages(docs, benchmark, id_col, text_col, **{"short": "whole", **search_by}).select(F.col(id_col).alias("_hit_id")).distinct()
     return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")

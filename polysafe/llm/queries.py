@@ -120,7 +120,7 @@ FROM d LEFT JOIN r USING (doc_id)
 @register
 def op7_decontamination(spark, sf_dir):
     """Every occurrence of a benchmark item in whole documents."""
-    return decontam.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short="words")
 
 
 @register

@@ -97,3 +97,38 @@ def test_empty_tables(spark):
     assert decontam.find_passages(docs_frame(spark, []), items_frame(spark, some)).collect() == []
     assert decontam.find_passages(docs_frame(spark, some), items_frame(spark, [])).collect() == []
     assert decontam.without_passages(docs_frame(spark, some), items_frame(spark, [])).count() == 1
+
+
+def test_short_items_as_words_or_whole_texts(spark):
+    items = [(1, "Forty-two"), (2, "é"), (3, "東京"), (4, "..."), (5, "no"), (6, None), (7, "abcdefghij klmnopqrst")]
+    docs = [(1, "forty two"), (2, "It is forty, two; not fortytwo"), (3, "forty twos"), (4, "私は東京に東京"), (5, "no, no nono"), (6, "No!"), (7, None), (8, ""),
+            (9, "see abcdefghij kXmnopqrst here"), (10, "fortyé")]
+
+    def found(**by):
+        got = decontam.find_passages(docs_frame(spark, docs), items_frame(spark, items), **by).collect()
+        return sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in got)
+
+    near = (9, 7, 1, 4, 25)
+    words = [(1, 1, 0, 0, 9), (2, 1, 0, 6, 15), (4, 3, 0, 6, 12), (4, 3, 0, 15, 21), (5, 5, 0, 0, 2), (5, 5, 0, 3, 5), (6, 5, 0, 0, 2), (10, 2, 0, 5, 7)]
+    assert found() == []
+    assert found(short="words") == sorted([*words, near])
+    assert found(short="words", block_bytes=20) == sorted([*words, near])
+    assert found(short="whole") == sorted([(1, 1, 0, 0, 9), (6, 5, 0, 0, 2), near])
+    kept = decontam.without_passages(docs_frame(spark, docs), items_frame(spark, items)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3, 4, 5, 7, 8, 10]
+
+
+def test_short_items_against_plain_words(spark):
+    docs, items = corpus(5)
+    items = [*items, *((200 + k, w) for k, w in enumerate(["the", "re on", "x", "of.the", "count"]))]
+    got = decontam.find_passages(docs_frame(spark, docs), items_frame(spark, items), short="words").where("item_id >= 200 or item_id = 102").collect()
+    want = []
+    for d, text in docs:
+        for i, item in items:
+            a = plain(item)
+            if (i >= 200 or i == 102) and a:
+                padded, at = f" {plain(text)} ", -1
+                while (at := padded.find(f" {a} ", at + 1)) >= 0:
+                    start = len(padded[1:at + 1].encode())
+                    want.append((d, i, 0, start, start + len(a.encode())))
+    assert sorted(tuple(r) for r in got) == sorted(want) and len({w[1] for w in want}) >= 4
