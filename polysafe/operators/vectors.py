@@ -4,8 +4,8 @@
   array expressions; the direction is a scalar subquery (one array), not a join;
 * projections: PCA fitted on one set and applied to another (Spark ML, with
   the centring and sign convention of the study), scope-wise standardisation;
-* linear probes (logistic regression, linear SVM) with in-sample accuracy and
-  ROC AUC; the rank-based AUC is computed with a distributed cumulative sum
+* a logistic probe by Spark ML with in-sample accuracy (the study's probes are
+  in ``probes``); the rank-based AUC is computed with a distributed cumulative sum
   (range partitioning + per-partition offsets), never a single-task sort.
 """
 
@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -140,8 +139,8 @@ def standardize(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -
 
 # --- probes -----------------------------------------------------------------------
 
-def fit_probe(df: DataFrame, features: Sequence[str], label: str, kind: str = "logistic"):
-    """Linear probe matching an L2 (C=1) classifier on unstandardised features.
+def fit_probe(df: DataFrame, features: Sequence[str], label: str):
+    """Logistic probe matching an L2 (C=1) classifier on unstandardised features.
 
     The C=1 objective ``sum(loss) + ||w||^2 / 2`` equals Spark's
     ``mean(loss) + regParam ||w||^2 / 2`` up to a factor n with ``regParam = 1/n``.
@@ -149,37 +148,16 @@ def fit_probe(df: DataFrame, features: Sequence[str], label: str, kind: str = "l
     data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df) \
         .withColumn("_y", F.col(label).cast("double"))
     n = data.count()
-    if kind == "logistic":
-        est = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1),
-                                 elasticNetParam=0.0, standardization=False, tol=1e-7, family="binomial")
-    elif kind == "svm":
-        # hinge loss has no smooth optimum for OWL-QN to polish; every
-        # iteration is a distributed pass, so the option is capped at 25
-        est = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=25, regParam=1.0 / max(n, 1),
-                        standardization=False, tol=1e-6)
-    else:
-        raise NotImplementedError(kind)
+    est = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1),
+                             elasticNetParam=0.0, standardization=False, tol=1e-7, family="binomial")
     model = est.fit(data)
     return model, model.transform(data)
 
 
-def probe_scores(pred: DataFrame) -> DataFrame:
-    """Positive-class score: probability for logistic models, raw margin otherwise."""
-    if "probability" in pred.columns:
-        return pred.withColumn("_score", vector_to_array(F.col("probability"))[1])
-    return pred.withColumn("_score", vector_to_array(F.col("rawPrediction"))[1])
-
-
 def accuracy(pred: DataFrame) -> float:
     return pred.agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
 
 
-def auc_evaluator(pred: DataFrame) -> float:
-    ev = BinaryClassificationEvaluator(rawPredictionCol="_score", labelCol="_y", metricName="areaUnderROC",
-                                       numBins=0)
-    return ev.evaluate(probe_scores(pred))
-
-
 def cumulative_before(df: DataFrame, order: str, value: str, n_parts: int) -> DataFrame:
     """Adds ``_before`` = sum of ``value`` over rows strictly earlier in ``order``.
 
@@ -221,22 +199,3 @@ def auc_rank(df: DataFrame, score: str, label: str, group: str, n_parts: int = 6
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     return per.select(group, "n_pos", "n_neg",
                       F.try_divide(F.col("_num"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
-
-
-def decision_grid(points: DataFrame, x: str, y: str, coef: Sequence[float], intercept: float,
-                  scale: DataFrame) -> DataFrame:
-    """Decision values on a unit-step mesh covering the points (range widened by 1).
-
-    ``scale`` is one row ``(_mu_x, _sd_x, _mu_y, _sd_y)`` used to standardise
-    mesh points like the training points.
-    """
-    rng = points.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    xs = rng.select(F.explode(F.sequence(F.lit(0), F.ceil(F.col("_x1") - F.col("_x0") + 2).cast("int") - 1))
-                    .alias("_i"), "_x0", "_y0", "_y1") \
-        .withColumn("gx", F.col("_x0") - 1 + F.col("_i"))
-    grid = xs.select("gx", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_y1") - F.col("_y0") + 2).cast("int") - 1))
-                     .alias("_j"), "_y0").withColumn("gy", F.col("_y0") - 1 + F.col("_j")).select("gx", "gy")
-    s = scale.first()
-    zx = (F.col("gx") - F.lit(s["_mu_x"])) / F.lit(s["_sd_x"])
-    zy = (F.col("gy") - F.lit(s["_mu_y"])) / F.lit(s["_sd_y"])
-    return grid.withColumn("decision", F.lit(coef[0]) * zx + F.lit(coef[1]) * zy + F.lit(intercept))
