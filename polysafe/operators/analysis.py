@@ -157,10 +157,15 @@ def dimension_order(language: Column, dim: LanguageDim) -> Column:
     return dim.ord_col(language)
 
 
-def composition_order(model: Column, order: Sequence[str] = COMPOSITIONS) -> Column:
-    """Listed compositions first in list order, then the others (by name)."""
-    pos = F.array_position(F.array(*[F.lit(c) for c in order]), model)
-    return F.when(pos > 0, pos).otherwise(F.lit(len(order) + 1)).cast("int")
+def composition_order(scores: DataFrame, model: str = "model", order: Sequence[str] = COMPOSITIONS) -> Column:
+    """Listed compositions first in list order, then the others of ``scores`` by name, each with its own position.
+
+    The names of the others (as many as there are runs) come as a scalar subquery.
+    """
+    listed, own = F.array(*[F.lit(c) for c in order]), F.col(model)
+    others = scores.where(~own.isin(list(order))).agg(F.sort_array(F.collect_set(own))).scalar()
+    pos = F.array_position(listed, own)
+    return F.when(pos > 0, pos).otherwise(len(order) + F.array_position(others, own)).cast("int")
 
 
 def vanilla_vs_adversarial(scores: DataFrame, strict: bool = False) -> DataFrame:
@@ -176,7 +181,7 @@ def vanilla_vs_adversarial(scores: DataFrame, strict: bool = False) -> DataFrame
     both = wide.where(F.col("vanilla_refusal").isNotNull() & F.col("adversarial_refusal").isNotNull())
     if strict and both.isEmpty():
         raise ValueError("no common languages and compositions between the vanilla and adversarial scores")
-    return both.withColumn("model_ord", composition_order(F.col("model")))
+    return both.withColumn("model_ord", composition_order(both))
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

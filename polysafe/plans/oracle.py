@@ -120,7 +120,7 @@ SELECT v.model, v.language,
  v.refusal AS vanilla_refusal, v.over_refusal AS vanilla_over_refusal, v.harmonic AS vanilla_harmonic,
  a.refusal AS adversarial_refusal, a.over_refusal AS adversarial_over_refusal, a.harmonic AS adversarial_harmonic,
  CAST(CASE WHEN list_position({_COMP_LIST}, v.model) > 0 THEN list_position({_COMP_LIST}, v.model)
-      ELSE {len(COMPOSITIONS) + 1} END AS INTEGER) AS model_ord
+      ELSE {len(COMPOSITIONS)} + dense_rank() OVER (PARTITION BY list_position({_COMP_LIST}, v.model) > 0 ORDER BY v.model) END AS INTEGER) AS model_ord
 FROM harm v JOIN harm a ON v.model = a.model AND v.language = a.language
 WHERE v.prompt_type = 'vanilla' AND a.prompt_type = 'adversarial'
  AND v.refusal IS NOT NULL AND a.refusal IS NOT NULL""")

@@ -150,3 +150,10 @@ def test_vanilla_vs_adversarial_strict_empty(spark):
     assert analysis.vanilla_vs_adversarial(only_vanilla).count() == 0
     with pytest.raises(ValueError):
         analysis.vanilla_vs_adversarial(only_vanilla, strict=True)
+
+
+def test_unlisted_compositions_follow_in_an_order_of_their_own(spark):
+    rows = [(m,) for m in ("zz", "fr", "aa", "en", "zz", "lo_tt", None)]
+    df = spark.createDataFrame(rows, "model string")
+    got = {r.model: r.pos for r in df.withColumn("pos", analysis.composition_order(df)).collect()}
+    assert got == {"en": 1, "fr": 2, "lo_tt": 13, "aa": 14, "zz": 15, None: None}
