@@ -14,9 +14,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from polysafe.session import cut_lineage, join_checked, ship_package
 
@@ -32,19 +33,23 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def translate_udf(fn: Translator, batch_size: int = 64):
-    """``fn`` as an Arrow UDF of (text, language): one call for up to ``batch_size`` texts of one language; nulls are not sent."""
+def translated_rows(fn: Translator, batch_size: int = 64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over batches of ``text_key, language, text``, for ``mapInArrow``: one call for up to ``batch_size`` texts of one
+    language; rows without a text or a language are not sent and have no result.
 
-    @pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, language in batches:
-            out = pd.Series([None] * len(text), dtype=object)
-            wanted = text.notna() & language.notna()
-            for lang, rows in text[wanted].groupby(language[wanted], sort=False):
+    Only the texts of one call are Python objects at a time, and each call's
+    rows go out before the next, so a worker holds little beside an Arrow batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            language = b.column("language").to_pandas()
+            wanted = language[pc.and_(b.column("text").is_valid(), b.column("language").is_valid()).to_numpy(zero_copy_only=False)]
+            for lang, rows in wanted.groupby(wanted, sort=False).groups.items():
                 for at in range(0, len(rows), batch_size):
-                    part = rows.iloc[at:at + batch_size]
-                    out.loc[part.index] = list(fn(part, lang))
-            yield out
+                    part = b.take(pa.array(rows[at:at + batch_size]))
+                    said = pa.array(list(fn(part.column("text").to_pandas(), lang)), pa.string(), from_pandas=True)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEYS), said], names=[*KEYS, "translated"])
 
     return run
 
@@ -128,7 +133,7 @@ class TranslationStore:
         rows = rows.withColumn("text_key", text_digest(F.col("text")))
         todo = join_checked(rows, self.missing(wanted, id_col, text_col, language_col), ["row", *KEYS], "left_semi")
         dealt = todo.repartition(self.buckets, *KEYS).dropDuplicates(KEYS)
-        self._write(dealt.select(*KEYS, translate_udf(fn, batch_size)(F.col("text"), F.col("language")).alias("translated")))
+        self._write(dealt.select(*KEYS, "text").mapInArrow(translated_rows(fn, batch_size), _SCHEMA))
 
     def translate(self, wanted: DataFrame, fn: Translator, id_col: str, text_col: str = "text", language_col: str = "language",
                   batch_size: int = 64) -> DataFrame:

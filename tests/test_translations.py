@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,20 @@ def test_hot_texts_and_rows_without_text_are_spread(spark, tmp_path, monkeypatch
     rows = spark.range(600).selectExpr("id AS prompt_id", "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN concat('t', id) END AS text", "'fr' AS language")
     got = store.translate(rows, translator, "prompt_id").collect()
     assert len(got) == 600 and all(r.translated == (r.text and f"fr:{r.text}") for r in got)
+
+
+def test_a_worker_holds_the_texts_of_one_call_only():
+    """Each call's rows go out before the next call is made, whatever the size of the Arrow batch."""
+    calls = []
+
+    def fn(texts, language):
+        calls.append((language, list(texts)))
+        return [None if t == "n" else f"{language}:{t}" for t in texts]
+
+    rows = [("a", "fr"), ("b", "de"), (None, "fr"), ("c", None), ("n", "fr"), ("d", "fr"), ("e", "fr")]
+    batch = pa.RecordBatch.from_pydict({"text_key": [str(k).encode() for k in range(len(rows))], "language": [x for _, x in rows], "text": [t for t, _ in rows]})
+    out = translations.translated_rows(fn, 2)(iter([batch, batch.slice(0, 0)]))
+    assert next(out).to_pylist() == [{"text_key": b"0", "language": "fr", "translated": "fr:a"}, {"text_key": b"4", "language": "fr", "translated": None}]
+    assert calls == [("fr", ["a", "n"])]
+    assert [r["translated"] for part in out for r in part.to_pylist()] == ["fr:d", "fr:e", "de:b"]
+    assert calls[1:] == [("fr", ["d", "e"]), ("de", ["b"])]
