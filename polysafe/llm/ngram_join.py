@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -233,9 +234,21 @@ def signatures(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingl
     return docs.mapInArrow(rows, "sig long, guest byte, d1 long")
 
 
+def _asked(sig: np.ndarray, owner: np.ndarray, sigs: pa.ListArray) -> np.ndarray:
+    """Places in ``sig`` (of rows ``owner``) of the hashes that each row lists in ``sigs``."""
+    listed = sigs.flatten().to_numpy(zero_copy_only=False).view(U64)
+    lister = np.repeat(np.arange(len(sigs)), pc.fill_null(pc.list_value_length(sigs), 0).to_numpy(zero_copy_only=False))
+    values, own = np.unique(np.concatenate([sig, listed]), return_inverse=True)
+    pair = np.concatenate([owner, lister]) * len(values) + own
+    return np.flatnonzero(np.isin(pair[:len(sig)], pair[len(sig):]))
+
+
 def chains(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: int) -> DataFrame:
     """``sig, rep, low<l>, high<l>, room<l>``: parity of the elements in the ``l`` segments from an entry's own on.
 
+    Of every document (``id, text, sigs``) the entries listed in ``sigs`` only;
+    without that column, all.
+
     Of integers around a ring whose sum is positive, some one has only positive
     sums from it on (cycle lemma).  With v_i + 1 less the difference in segment
     i, similar sets so have an entry from which, for each l, the l segments
@@ -253,6 +266,9 @@ def chains(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: i
                 if not len(held):
                     continue
                 sig, at, element, slot, segment, owner = entries(grams, offs, held, scheme, bands, v)
+                if "sigs" in b.schema.names:
+                    used = _asked(sig, owner[at], b.column("sigs"))
+                    sig, at = sig[used], at[used]
                 bit = mix(element ^ U64(0xC4A1)) >> U64(57)
                 parity = np.zeros((2, len(segment)), U64)
                 np.bitwise_xor.at(parity, ((bit >> U64(6)).astype(np.int64), slot), U64(1) << (bit & U64(63)))
@@ -436,7 +452,8 @@ def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketc
     def add(pairs: DataFrame) -> None:
         nonlocal links, found
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stored(verified(near(pairs, sketches, percent), texts, percent, shingle), "links")
+        close = stored(near(pairs, sketches, percent), "close")  # what led to the pairs is let go before texts move
+        new = stored(verified(close, texts, percent, shingle), "links")
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
 
@@ -451,7 +468,8 @@ def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketc
     now = labelled()
     mixed = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     rest = stored(now.join(mixed, "sig", "left_semi"), "rest")
-    steps = chains(texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), bands, thresholds, shingle)
+    asked = rest.groupBy(F.col("rep").alias("id")).agg(F.collect_set("sig").alias("sigs"))  # no more than a text has entries
+    steps = chains(texts.join(asked, "id"), bands, thresholds, shingle)
     rest = rest.join(whole_words(sketches), "rep").join(steps, ["sig", "rep"], "left")
     pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
                                  & (F.col("x.guest") + F.col("y.guest") < 2) & _plausible("x", "y", percent) & _in_step("x", "y", percent))

@@ -190,3 +190,17 @@ def test_similar_sets_have_an_entry_whose_chains_are_in_room(thresholds):
     assert {p for p, similar in pairs.items() if similar} <= passed
     far = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])]
     assert len(far) > 100 and sum(p in passed for p in far) < len(far) / 4
+
+
+def test_chains_of_the_entries_asked_for(spark):
+    """Only listed entries leave the tasks: a document has hundreds of them, few of which meet another component."""
+    rows = corpus(8, [40, 90, 200], 2)
+    docs = frame(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    bands = Bands(80, 300)
+    all_of = {(r.sig, r.rep): r for r in ngram_join.chains(docs, bands, {}, 3).collect()}
+    some = random.Random(3).sample(sorted(all_of), 30)
+    asked = spark.createDataFrame([(rep, [s for s, r in some if r == rep] + [7]) for rep in {r for _, r in some}], "id long, sigs array<long>")
+    got = ngram_join.chains(docs.join(asked, "id"), bands, {}, 3).collect()
+    assert {(r.sig, r.rep): r for r in got} == {k: all_of[k] for k in some}
+    none = docs.selectExpr("id", "text", "array_except(array(1L), array(1L)) AS sigs")
+    assert ngram_join.chains(none, bands, {}, 3).collect() == []
