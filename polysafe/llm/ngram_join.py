@@ -20,7 +20,10 @@ more than one path, so each set is first compared with one leader of its
 buckets and then only with what is still in different components.  Those
 pairs must also pass the chains of segments that start where they meet
 (``chains``): groups of texts just below the similarity share most of their
-buckets, and would otherwise meet in each of them.
+buckets, and would otherwise meet in each of them.  With that filter, again
+first with the most central sets of the buckets (``probes``), whose links join
+most of a group; in what is left then, the main component of a bucket meets
+the others, but not itself.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Members that lead a bucket; a set is first compared with the one that leads most of its buckets.
 LEADERS = 2
+#: Rounds in which the sets of what is left are compared with leaders of their buckets only, before they are with each other.
+PROBES = 1
 #: Bits of the parity sketch, and of its folded form that travels with bucket members.
 SKETCH, FOLDED = 1024, 256
 WORDS = SKETCH // 64
@@ -296,24 +301,25 @@ def _apart(a: str, b: str, words: list[str]) -> Column:
 
 
 def whole_words(sketches: DataFrame) -> DataFrame:
-    """``rep, w0..``: the whole parity of each set (``id, parity``) as numbers."""
-    names = [f"w{k}" for k in range(WORDS)]
+    """``rep, w``: the whole parity of each set (``id, parity``) as numbers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.frombuffer(b"".join(b.column("parity").to_pylist()), ">i8").astype(np.int64).reshape(b.num_rows, WORDS)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(words[:, k]) for k in range(WORDS))], names=["rep", *names])
+            words = np.frombuffer(b"".join(b.column("parity").to_pylist()), ">i8").astype(np.int64)
+            at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(at, pa.array(words))], names=["rep", "w"])
 
-    return sketches.select("id", "parity").mapInArrow(rows, "rep long, " + ", ".join(f"{c} long" for c in names))
+    return sketches.select("id", "parity").mapInArrow(rows, "rep long, w array<long>")
 
 
 def _in_step(a: str, b: str, percent: int) -> Column:
     """The whole parities allow the similarity, and no chain from this entry on differs by more than its room; entries without chains pass."""
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    ok = (100 + percent) * _apart(a, b, [f"w{k}" for k in range(WORDS)]) <= (100 - percent) * both
+    ok = F.lit(True)
     for n in CHAINS:
         ok = ok & F.coalesce(_apart(a, b, [f"low{n}", f"high{n}"]) <= F.col(f"{a}.room{n}"), F.lit(True))
-    return ok
+    bits = F.zip_with(f"{a}.w", f"{b}.w", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return ok & ((100 + percent) * F.aggregate(bits, F.lit(0), lambda all_bits, x: all_bits + x) <= (100 - percent) * both)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -440,6 +446,19 @@ def _similar(source: DataFrame, percent: int, shingle: int) -> DataFrame:
     return out.select("id", F.col("n").alias("n_shingles"), ids[0].alias("class_id"), ids[1].alias("component_id"))
 
 
+def central(rest: DataFrame) -> DataFrame:
+    """``rep, degree``: members of all buckets of a set together; the sets in the middle of a group of near copies meet most."""
+    crowd = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
+    return rest.select("sig", "rep").join(crowd, "sig").groupBy("rep").agg(F.sum("members").alias("degree"))
+
+
+def probes(now: DataFrame, r: int) -> DataFrame:
+    """The rows of ``now`` that lead their buckets in round ``r``: the most central one and ``LEADERS`` others, the band's own sets first."""
+    keys = [F.struct("guest", -F.col("degree"), "rep"), *(F.struct("guest", F.xxhash64(F.lit(r), F.lit(k), "sig", "rep"), F.col("rep")) for k in range(LEADERS))]
+    lead = now.groupBy("sig").agg(F.array(*(F.min_by("rep", k) for k in keys)).alias("reps"))
+    return now.join(lead.select("sig", F.explode(F.array_distinct("reps")).alias("rep")), ["sig", "rep"], "left_semi")
+
+
 def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketches: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     sketch = ["p0", "p1", "p2", "p3"]
     links, found = None, None
@@ -467,11 +486,26 @@ def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketc
     add(led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
     now = labelled()
     mixed = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = stored(now.join(mixed, "sig", "left_semi"), "rest")
+    rest = stored(now.join(mixed, "sig", "left_semi").drop("c"), "rest")
     asked = rest.groupBy(F.col("rep").alias("id")).agg(F.collect_set("sig").alias("sigs"))  # no more than a text has entries
     steps = chains(texts.join(asked, "id"), bands, thresholds, shingle)
-    rest = rest.join(whole_words(sketches), "rep").join(steps, ["sig", "rep"], "left")
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-                                 & (F.col("x.guest") + F.col("y.guest") < 2) & _plausible("x", "y", percent) & _in_step("x", "y", percent))
+    rest = stored(rest.join(central(rest), "rep").join(whole_words(sketches), "rep").join(steps, ["sig", "rep"], "left"), "steps")
+
+    def split() -> DataFrame:
+        now = rest.join(found, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+        parts = now.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("members"))
+        mixed = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("members", "c")).alias("most")).where("parts > 1")
+        return now.join(mixed.select("sig", "most"), "sig")
+
+    alike = (F.col("x.c") != F.col("y.c")) & (F.col("x.guest") + F.col("y.guest") < 2) & _plausible("x", "y", percent) & _in_step("x", "y", percent)
+    for r in range(PROBES):
+        now = split()
+        led = now.alias("x").join(probes(now, r).alias("y"), (F.col("x.sig") == F.col("y.sig")) & alike)
+        led = led.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).count()
+        add(led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+    now = split()
+    few = now.where("c <> most").alias("x")  # a bucket's main component is met by the others, not by itself
+    once = (F.col("y.c") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep"))
+    pairs = few.join(now.alias("y"), (F.col("x.sig") == F.col("y.sig")) & once & alike)
     add(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     return found

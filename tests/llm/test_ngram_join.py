@@ -204,3 +204,32 @@ def test_chains_of_the_entries_asked_for(spark):
     assert {(r.sig, r.rep): r for r in got} == {k: all_of[k] for k in some}
     none = docs.selectExpr("id", "text", "array_except(array(1L), array(1L)) AS sigs")
     assert ngram_join.chains(none, bands, {}, 3).collect() == []
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_texts(spark, monkeypatch):
+    """Variants that link through a few central ones are not compared pair by pair."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(240):  # two texts link when they differ in three words from the base together
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3, 3, 3))):
+            copy[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    counts = []
+    real = ngram_join.stored
+
+    def stored(df, name, free=True):
+        out = real(df, name, free)
+        if name == "close":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = ngram_join.similar_components(frame(spark, rows), percent=80, shingle=5).collect()
+    want = brute(rows, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    sets = [shingle_set(t, 5) for _, t in rows]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert links > 10 * len(rows)
+    assert max(counts) < 3 * len(rows), counts
