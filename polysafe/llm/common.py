@@ -50,6 +50,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(rows: int, least: int) -> int:
+    """Partitions of ``least`` rows at least, for ``coalesce``: a small table is not strewn over as many files as there are shuffle partitions."""
+    return max(1, -(-rows // least))
+
+
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty texts."""
     if isinstance(arr, pa.ChunkedArray):

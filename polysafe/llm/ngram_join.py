@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from polysafe.llm.common import U64, mix, prepare, shuffle_parts, signed, slices, span_hash, stored, text_buffer, windows_hash, word_spans
+from polysafe.llm.common import U64, mix, parts_for, prepare, shuffle_parts, signed, slices, span_hash, stored, text_buffer, windows_hash, word_spans
 from polysafe.llm.components import components
 from polysafe.llm.repeats import NULL_ID
 from polysafe.llm.rows import each_row
@@ -59,6 +59,8 @@ MANY = 100
 CHAINS = (2, 4, 8, 16, 32)
 #: Comparisons of two bucket members that cost as much as one more index entry.
 ENTRY_COST = 50
+#: Close pairs that a task verifies at least, where there are so many.
+PAIRS = 512
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -472,7 +474,7 @@ def _components(held: DataFrame, bands: Bands, thresholds: dict[int, int], sketc
         nonlocal links, found
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         close = stored(near(pairs, sketches, percent), "close")  # what led to the pairs is let go before texts move
-        new = stored(verified(close, texts, percent, shingle), "links")
+        new = stored(verified(close, texts, percent, shingle).coalesce(parts_for(close.count(), PAIRS)), "links")
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
 

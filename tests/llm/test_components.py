@@ -2,7 +2,7 @@
 
 import random
 
-from polysafe.llm.components import components
+from polysafe.llm.components import EDGES, components
 
 
 def brute(edges):
@@ -33,3 +33,21 @@ def test_random_graphs_chains_and_stars(spark):
 def test_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == []
+
+
+def test_small_graphs_take_few_partitions(spark):
+    """Files of a round follow its edges, not the shuffle partitions; a larger graph is still spread."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        small = components(spark.createDataFrame([(k, k + 1) for k in range(0, 60, 2)], "a long, b long"))
+        assert small.rdd.getNumPartitions() == 1
+        assert {(r.node, r.component) for r in small.collect()} == {(n, n - n % 2) for n in range(60)}
+        large = components(spark.range(0, 6 * EDGES, 2).selectExpr("id AS a", "id + 1 AS b"))
+        assert large.rdd.getNumPartitions() == 3
+        assert large.where("component <> node - node % 2").isEmpty() and large.count() == 6 * EDGES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
