@@ -6,13 +6,14 @@ are in the same band or the next; a band's scheme hashes the universe into
 segments and gives segment i a threshold v_i of -1 (skipped), 0 or 1 with
 sum(v_i + 1) = H + 1: some segment then differs in at most v_i elements.
 Segments of threshold 0 are indexed by their subset, those of threshold 1 by
-the subset and all its one-deletion neighbours.  Schemes of ``MANY`` segments
-or more leave out empty subsets, so there a pair is lost if all its agreeing
-segments are empty: with a chance below 1e-18 under random hashing at 80 % and
-90 %, but of about 1e-12 at 50 %.  The thresholds start at 0;
-where corpus counts say that a segment's subsets are so poor that their
-chance matches cost more than the deletions of another segment, the first is
-skipped and the other raised.
+the subset and all its one-deletion neighbours.  Nothing is indexed by an
+empty subset, in which all sets that have nothing in a segment would meet,
+in numbers that grow with the corpus: where nothing is left of a segment, the
+ones after it are added until something is (``entries``), with the deletions
+that the cycle lemma (``chains``) allows so many segments.  The thresholds
+start at 0; where corpus counts say that a segment's entries, with those added
+for its empty subsets, are more than the deletions of another segment, the
+first is skipped and the other raised.
 
 Sets that meet are filtered by size and by the parity of hashed elements (a
 lower bound of the difference), then verified exactly.  Components need no
@@ -52,13 +53,8 @@ PROBES = 1
 #: Bits of the parity sketch, and of its folded form that travels with bucket members.
 SKETCH, FOLDED = 1024, 256
 WORDS = SKETCH // 64
-#: With so many segments, subsets that are empty are not indexed: of sets within the allowed difference each segment
-#: agrees and has an element with a probability over 0.34 at 80 and 90 %, so all of 100 fail with one below 1e-18.
-MANY = 100
 #: Segments of the chains, each twice the one before, that a pair must pass from the entry where it meets.
 CHAINS = (2, 4, 8, 16, 32)
-#: Comparisons of two bucket members that cost as much as one more index entry.
-ENTRY_COST = 50
 #: Close pairs that a task verifies at least, where there are so many.
 PAIRS = 512
 
@@ -155,55 +151,84 @@ def allocate(docs: DataFrame, bands: Bands, shingle: int) -> dict[int, int]:
     """Thresholds other than 0, by segment number: -1 and 1 in equal numbers within each scheme.
 
     Counted over all documents; one number per segment, whose count depends on
-    the longest set only.  Empty subsets of a segment all meet each other;
-    skipping segment i for raising j pays when their pairs cost more than
-    the deletions that j adds to the index.
+    the longest set only.  A set has one entry of a segment, or where its subset
+    is empty about those of the next one with its one-deletion neighbours;
+    skipping segment i for raising j pays when these are more than the
+    deletions that j adds to the index.
     """
     spread = bands.base[-1]
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poor, total = np.zeros(spread, np.int64), np.zeros(spread, np.int64)
+        sets, poor, total = (np.zeros(spread, np.int64) for _ in range(3))
         for b in slices(batches, "text"):
             grams, offs = shingles(b.column("text"), shingle)
             rows = np.flatnonzero(np.diff(offs))
             if len(rows):
                 _, slot, segment, _ = in_segments(grams, offs, rows, bands.of(np.diff(offs)[rows]), bands)
                 held = np.bincount(slot, minlength=len(segment))
+                sets += np.bincount(segment, minlength=spread)
                 poor += np.bincount(segment[held == 0], minlength=spread)
                 total += np.bincount(segment, held, minlength=spread).astype(np.int64)
-        at = np.flatnonzero(total + poor)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(poor[at]), pa.array(total[at])], names=["segment", "poor", "total"])
+        at = np.flatnonzero(sets)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in (sets, poor, total))], names=["segment", *names])
 
-    seen = docs.mapInArrow(counts, "segment long, poor long, total long").groupBy("segment").agg(F.sum("poor").alias("poor"), F.sum("total").alias("total"))
+    names = ["sets", "poor", "total"]
+    seen = docs.mapInArrow(counts, "segment long, sets long, poor long, total long").groupBy("segment").agg(*(F.sum(c).alias(c) for c in names))
     out: dict[int, int] = {}
-    poor, total = np.zeros(spread, np.int64), np.zeros(spread, np.int64)
+    sets, poor, total = (np.zeros(spread, np.int64) for _ in range(3))
     for r in seen.collect():
-        poor[r.segment], total[r.segment] = r.poor, r.total
+        sets[r.segment], poor[r.segment], total[r.segment] = r.sets, r.poor, r.total
     for scheme in range(len(bands.segments)):
         own = np.arange(bands.base[scheme], bands.base[scheme + 1])
-        if not 2 <= len(own) < MANY:
-            continue
         order = own[np.argsort(poor[own], kind="stable")]
         for skip, up in zip(order[::-1], order[:len(own) // 2]):
-            if int(poor[skip]) ** 2 <= ENTRY_COST * int(total[up]):
+            if int(sets[skip]) ** 2 + int(poor[skip]) * int(total[skip]) <= int(sets[skip]) * int(total[up]):
                 break
             out[int(skip)], out[int(up)] = -1, 1
     return out
 
 
 def entries(grams: np.ndarray, offs: np.ndarray, rows: np.ndarray, scheme: np.ndarray, bands: Bands, v: np.ndarray):
-    """Index entries of the given rows under each row's scheme: (hash, slot) of each, and what ``in_segments`` gives."""
+    """Index entries of the given rows under each row's scheme: (hash, slot of the first segment) of each, and what ``in_segments`` gives.
+
+    From the segment where a chain of two similar sets starts, the first l
+    segments differ in at most ``room`` elements, the sum of their v_i + 1 less
+    one, for each l.  So where the first l - 1 have nothing in common, either
+    set can be rid of all it has there and of what the l-th has for itself with
+    ``room`` deletions.  What is left of the l-th, if anything, is the entry.
+    """
     element, slot, segment, owner = in_segments(grams, offs, rows, scheme, bands)
     part = mix(element ^ U64(0xBEEF))
     total = np.zeros(len(segment), U64)
     np.add.at(total, slot, part)
-    salt = mix(segment.astype(U64) ^ U64(0xF00D))
     held = np.bincount(slot, minlength=len(segment))
-    many = bands.segments[np.searchsorted(bands.base, segment, side="right") - 1] >= MANY
-    used = np.flatnonzero((v[segment] >= 0) & ~(many & (held == 0)))
-    near = v[segment][slot] == 1
-    sig = np.concatenate([mix(total[used] ^ salt[used]), mix((total[slot[near]] - part[near]) ^ salt[slot[near]])])
-    return sig, np.concatenate([used, slot[near]]), element, slot, segment, owner
+    begin = np.concatenate(([0], np.cumsum(held)))
+    part = part[np.argsort(slot, kind="stable")]
+    m = bands.segments[scheme]
+    first, m = np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m), np.repeat(m, m)
+    start = np.flatnonzero(v[segment] >= 0)
+    here, spent, room = start, np.zeros(len(start), np.int64), v[segment[start]].astype(np.int64)
+    sigs, at, length = [], [], 1
+    while len(start):
+        salt = mix((segment[start].astype(U64) ^ U64(0xF00D)) + (U64(length - 1) << U64(40)))
+        left = np.flatnonzero(held[here])
+        rest, after, deleted = total[here[left]], begin[here[left]], 0
+        while len(left):
+            sigs.append(mix(rest ^ salt[left]))
+            at.append(start[left])
+            deleted += 1
+            more = deleted <= np.minimum(room - spent, held[here] - 1)[left]
+            left, rest, after = left[more], rest[more], after[more]
+            choices = begin[here[left] + 1] - after
+            one = np.repeat(after - (np.cumsum(choices) - choices), choices) + np.arange(choices.sum())
+            left, rest, after = np.repeat(left, choices), np.repeat(rest, choices) - part[one], one + 1
+        spent = spent + held[here]
+        on = (spent <= room) & (length < m[start])
+        start, spent, room = start[on], spent[on], room[on]
+        here = first[start] + (start - first[start] + length) % m[start]
+        room = room + v[segment[here]] + 1
+        length += 1
+    return np.concatenate([np.zeros(0, U64), *sigs]), np.concatenate([np.zeros(0, np.int64), *at]), element, slot, segment, owner
 
 
 def _schemes(grams: np.ndarray, offs: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -260,7 +285,6 @@ def chains(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: i
     sums from it on (cycle lemma).  With v_i + 1 less the difference in segment
     i, similar sets so have an entry from which, for each l, the l segments
     differ in fewer than the sum of their v_i + 1: in ``room`` at most.
-    Schemes of ``MANY`` segments, whose empty entries are not indexed, have no rows here.
     """
     v = _levels(bands, thresholds)
 
@@ -268,10 +292,6 @@ def chains(docs: DataFrame, bands: Bands, thresholds: dict[int, int], shingle: i
         for b in slices(batches, "text"):
             grams, offs = shingles(b.column("text"), shingle)
             for _, held, scheme in _schemes(grams, offs, bands):
-                few = bands.segments[scheme] < MANY
-                held, scheme = held[few], scheme[few]
-                if not len(held):
-                    continue
                 sig, at, element, slot, segment, owner = entries(grams, offs, held, scheme, bands, v)
                 if "sigs" in b.schema.names:
                     used = _asked(sig, owner[at], b.column("sigs"))
@@ -315,7 +335,7 @@ def whole_words(sketches: DataFrame) -> DataFrame:
 
 
 def _in_step(a: str, b: str, percent: int) -> Column:
-    """The whole parities allow the similarity, and no chain from this entry on differs by more than its room; entries without chains pass."""
+    """The whole parities allow the similarity, and no chain from this entry on differs by more than its room."""
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
     ok = F.lit(True)
     for n in CHAINS:

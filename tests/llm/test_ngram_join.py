@@ -233,3 +233,38 @@ def test_pairs_of_a_group_of_near_copies_grow_with_its_texts(spark, monkeypatch)
     links = sum(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
     assert links > 10 * len(rows)
     assert max(counts) < 3 * len(rows), counts
+
+
+def test_unrelated_texts_do_not_meet(spark):
+    """Texts without a common shingle share no entry, however many there are; they met wherever both had nothing in a segment."""
+    rows = [(k, " ".join(f"{k}_{j}" for j in range(40 + k % 30))) for k in range(400)]
+    docs = frame(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    bands = Bands(80, 100)
+    assert ngram_join.allocate(docs, bands, 5) == {}
+    met = ngram_join.signatures(docs, bands, {}, 5)
+    assert met.select("sig", "d1").distinct().count() == met.select("sig").distinct().count() > 400 * 10
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_similar_sets_share_an_entry_also_where_their_segments_are_empty(percent):
+    rng = random.Random(percent)
+    bands = Bands(percent, 400)
+    similar = 0
+    for k in range(300):
+        v = np.zeros(bands.base[-1], np.int8)
+        for scheme in range(len(bands.segments) * (k % 2)):
+            own = list(range(bands.base[scheme], bands.base[scheme + 1]))
+            rng.shuffle(own)
+            for j in range(len(own) // 2):
+                v[own[2 * j]], v[own[2 * j + 1]] = -1, 1
+        a = {rng.getrandbits(64) for _ in range(rng.choice((3, 9, 30, 90, 250)))}
+        b = set(rng.sample(sorted(a), rng.randrange(len(a) * percent // 100, len(a)) or 1))
+        b |= {rng.getrandbits(64) for _ in range(rng.randrange(1 + (100 * len(b) // percent - len(a))))} if 100 * len(b) > percent * len(a) else set()
+        if 100 * len(a & b) < percent * len(a | b):
+            continue
+        similar += 1
+        scheme = bands.of(np.array([min(len(a), len(b))]))
+        sigs = [ngram_join.entries(np.array(sorted(s), np.uint64), np.array([0, len(s)]), np.array([0]), scheme, bands, v)[0].tolist() for s in (a, b)]
+        assert set(sigs[0]) & set(sigs[1])
+        assert all(len(set(s)) == len(s) for s in sigs)
+    assert similar > 100
